@@ -38,7 +38,9 @@ DESCRIPTIONS = {
     "10_x": "10 consecutive on same side of CL (10_x)",
 }
 
-X, CL, SIGMA = F.col("value"), F.col("zone_cl"), F.col("zone_sigma")
+
+def _columns() -> tuple[Column, Column, Column]:
+    return F.col("value"), F.col("zone_cl"), F.col("zone_sigma")
 
 
 def _side(value: Column, high: Column, low: Column, strict: bool = True) -> Column:
@@ -81,7 +83,7 @@ class _Rule:
 
 def _steps(w: WindowSpec) -> dict[str, Column]:
     """Direction of the step into each row; null on the first row."""
-    return {"_step": F.signum(X - F.lag("value").over(w))}
+    return {"_step": F.signum(F.col("value") - F.lag("value").over(w))}
 
 
 def _turns(w: WindowSpec) -> dict[str, Column]:
@@ -91,11 +93,12 @@ def _turns(w: WindowSpec) -> dict[str, Column]:
 
 
 def _nelson(test: int, n: int, window: int) -> _Rule:
-    inside = (X > CL - SIGMA) & (X < CL + SIGMA)
+    x, cl, sigma = _columns()
+    inside = (x > cl - sigma) & (x < cl + sigma)
     if test == 1:
-        return _Rule(0, lambda w: (X > F.col("ucl")) | (X < F.col("lcl")))
+        return _Rule(0, lambda w: (x > F.col("ucl")) | (x < F.col("lcl")))
     if test == 2:
-        return _Rule(n - 1, lambda w: _all_same(_side(X, CL, CL), n, w))
+        return _Rule(n - 1, lambda w: _all_same(_side(x, cl, cl), n, w))
     if test == 3:
         back = n - 2
         return _Rule(
@@ -116,7 +119,7 @@ def _nelson(test: int, n: int, window: int) -> _Rule:
         )
     if test in (5, 6):
         width = 2.0 if test == 5 else 1.0
-        side = _side(X, CL + width * SIGMA, CL - width * SIGMA, strict=False)
+        side = _side(x, cl + width * sigma, cl - width * sigma, strict=False)
         return _Rule(window - 1, lambda w: _some_same(side, n, window, w))
     if test == 7:
         return _Rule(n - 1, lambda w: _all_true(inside, n, w))
@@ -126,25 +129,26 @@ def _nelson(test: int, n: int, window: int) -> _Rule:
 
 
 def _westgard(rule: str) -> _Rule:
-    one = _side(X, CL + SIGMA, CL - SIGMA)
-    two = _side(X, CL + 2.0 * SIGMA, CL - 2.0 * SIGMA)
+    x, cl, sigma = _columns()
+    one = _side(x, cl + sigma, cl - sigma)
+    two = _side(x, cl + 2.0 * sigma, cl - 2.0 * sigma)
     if rule == "1_2s":
         return _Rule(0, lambda w: two != 0)
     if rule == "1_3s":
-        return _Rule(0, lambda w: _side(X, CL + 3.0 * SIGMA, CL - 3.0 * SIGMA) != 0)
+        return _Rule(0, lambda w: _side(x, cl + 3.0 * sigma, cl - 3.0 * sigma) != 0)
     if rule == "2_2s":
         return _Rule(1, lambda w: _all_same(two, 2, w))
     if rule == "r_4s":
         return _Rule(
             1,
             lambda w: F.coalesce(
-                F.abs(X - F.lag("value").over(w)) > 4.0 * SIGMA, F.lit(False)
+                F.abs(x - F.lag("value").over(w)) > 4.0 * sigma, F.lit(False)
             ),
         )
     if rule == "4_1s":
         return _Rule(3, lambda w: _all_same(one, 4, w))
     if rule == "10_x":
-        return _Rule(9, lambda w: _all_same(_side(X, CL, CL), 10, w))
+        return _Rule(9, lambda w: _all_same(_side(x, cl, cl), 10, w))
     raise ValueError(f"unknown Westgard rule {rule!r}")
 
 
