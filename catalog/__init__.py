@@ -1,0 +1,6 @@
+"""The registered queries."""
+
+from catalog import charts, rules  # noqa: F401
+from catalog.base import CASES, Case
+
+__all__ = ["CASES", "Case"]

@@ -73,7 +73,8 @@ def attribute(
     binomial = kind in ("p", "np", "laney_p")
     unit = F.sqrt(rate * (1.0 - rate)) if binomial else F.sqrt(rate)
     aggregates = {
-        "rate": F.sum("x") / F.sum("n"),
+        "sum_x": F.sum("x"),
+        "sum_n": F.sum("n"),
         "n_bar": F.avg("n"),
         "root_n": F.avg(F.sqrt("n")),
         "inverse_root_n": F.avg(1.0 / F.sqrt("n")),
@@ -93,7 +94,8 @@ def attribute(
         derived = {"center": rate + F.lit(0.0), "sigma_hat": unit * F.col("inverse_root_n")}
         if kind.startswith("laney"):
             seq = _residual_ranges(seq, binomial)
-            aggregates["sigma_z"] = F.avg("z_mr") / MR_DIVISOR
+            aggregates["z_mr_bar"] = F.avg("z_mr")
+            derived["sigma_z"] = F.col("z_mr_bar") / MR_DIVISOR
             width = width * F.col("sigma_z")
         limits = binomial_limits if binomial else poisson_limits
         lines = {"value": x / n, **limits(rate, n, width)}
@@ -101,7 +103,7 @@ def attribute(
         kind,
         seq,
         aggregates,
-        {**derived, "method": F.lit(kind)},
+        [{"rate": F.col("sum_x") / F.col("sum_n")}, {**derived, "method": F.lit(kind)}],
         {**lines, **zone_lines("center", "sigma_hat")},
         k_sigma=k_sigma,
         extra_columns=("subgroup", "n"),
@@ -110,8 +112,9 @@ def attribute(
 
 def _residual_ranges(seq: Sequence, binomial: bool) -> Sequence:
     """|z_i - z_(i-1)| of standardized residuals (sigma 1 where it is 0)."""
-    seq = seq.attach({"_rate": F.sum("x") / F.sum("n")})
+    seq = seq.attach({"_x": F.sum("x"), "_n": F.sum("n")})
+    seq = seq.with_columns({"_rate": F.col("_x") / F.col("_n")})
     sigma = (binomial_sigma if binomial else poisson_sigma)(F.col("_rate"), F.col("n"))
     z = (F.col("x") / F.col("n") - F.col("_rate")) / F.when(sigma > 0, sigma).otherwise(1.0)
     seq = moving_range(seq.with_columns({"_z": z}), value="_z", name="z_mr")
-    return seq.with_df(seq.df.drop("_z", "_rate"))
+    return seq.with_df(seq.df.drop("_z", "_rate", "_x", "_n"))

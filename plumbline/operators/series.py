@@ -146,7 +146,7 @@ class Sequence:
     def attach(
         self, aggregates: Mapping[str, Column], medians: Mapping[str, str] | None = None
     ) -> Sequence:
-        """The same aggregates as columns of every row."""
+        """The same aggregates as columns of every row (each a single aggregate function)."""
         if self.blocked:
             return self.with_df(join_keys(self.df, self.params(aggregates, medians), self.keys))
         everything = Window.partitionBy(*self.keys)

@@ -20,7 +20,7 @@ from plumbline.operators.chart import (
     zone_lines,
 )
 from plumbline.operators.series import IDX, Roles, Sequence, join_keys
-from plumbline.operators.subgroups import harmonic_size, subgroups, typical_size
+from plumbline.operators.subgroups import subgroups, typical_size
 
 INDIVIDUAL_SIGMA = ("moving_range", "median_moving_range", "levey_jennings", "range", "stddev")
 
@@ -197,8 +197,8 @@ def _xbar(kind: str, statistic: str, df, roles, k_sigma, zone_scale, missing, si
     return build(
         kind,
         seq,
-        {"center": F.avg("mean"), "harmonic_n": harmonic_size(), **sigma},
-        {"method": F.lit(statistic)},
+        {"center": F.avg("mean"), "inverse_n": F.avg(1.0 / F.col("n")), **sigma},
+        {"method": F.lit(statistic), "harmonic_n": 1.0 / F.col("inverse_n")},
         {
             "value": F.col("mean"),
             **band("center", k_sigma * F.col("sigma_hat") / F.sqrt("n")),
@@ -385,7 +385,11 @@ def three_way(
     within = F.coalesce(F.col("sigma_w"), F.lit(0.0))
     nominal = F.greatest(F.rint("harmonic_n"), F.lit(2.0)).cast("int")
     steps = [
-        {"sigma_within": within, "sigma_mr": F.col("mr_bar") / MR_DIVISOR},
+        {
+            "harmonic_n": 1.0 / F.col("inverse_n"),
+            "sigma_within": within,
+            "sigma_mr": F.col("mr_bar") / MR_DIVISOR,
+        },
         {
             "sigma_between": F.sqrt(
                 F.greatest(
@@ -405,7 +409,7 @@ def three_way(
         seq,
         {
             "center": F.avg("mean"),
-            "harmonic_n": harmonic_size(),
+            "inverse_n": F.avg(1.0 / F.col("n")),
             "mr_bar": F.avg("mr"),
             "n_used": F.count("mean"),
             "sigma_w": sigma["sigma_hat"],

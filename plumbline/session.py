@@ -17,6 +17,7 @@ def local_session(cores: str | int = "*", app: str = "plumbline", **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
