@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.chart import measurements, order_of
 from plumbline.operators.series import IDX, Roles, Sequence, join_keys, sequence
+from plumbline.session import durable
 
 MIN_POINTS = 10
 MODELS = ("naive", "drift", "linear", "seasonal", "smoothing")
@@ -126,12 +127,11 @@ def _model_value(model: str, fit: str, size: Column, position: Column, season: C
     return season
 
 
-def _season_table(seq: Sequence, sizes: DataFrame, until: str) -> DataFrame:
-    """The last ``period`` values before ``until``: at most 48 rows per key."""
-    rows = join_keys(seq.df, sizes, seq.keys)
+def _season_table(rows: DataFrame, until: str, keys: list[str]) -> DataFrame:
+    """The last ``period`` values before ``until``."""
     tail = (F.col(IDX) < F.col(until)) & (F.col(IDX) >= F.col(until) - F.col("period"))
     return rows.where(tail).select(
-        *seq.keys, (F.col(IDX) % F.col("period")).alias("_slot"), F.col("value").alias("_season")
+        *keys, (F.col(IDX) % F.col("period")).alias("_slot"), F.col("value").alias("_season")
     )
 
 
@@ -171,7 +171,8 @@ def forecast(
     # what smoothing says for a row is its level one row before
     seq = seq.frame(1, lambda w: {"_before": F.coalesce(F.lag("_level").over(w), F.col("_start")),
                                   "_previous": F.lag("value").over(w)})
-    rows = join_keys(seq.df, sizes, keys, "inner")
+    # Every model reads these rows, several times: they are computed and written once.
+    rows = durable(join_keys(seq.df, sizes, keys, "inner"))
     position, value = F.col(IDX), F.col("value")
     fits = rows.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in ("n", "period", "train")],
@@ -182,7 +183,7 @@ def forecast(
     tail = join_keys(rows.drop("n", "period", "train"), fits, keys).where(
         position >= F.col("train")
     ).withColumn("_slot", position % F.col("period"))
-    tail = join_keys(tail, _season_table(seq, sizes, "train"), [*keys, "_slot"])
+    tail = join_keys(tail, _season_table(rows, "train", keys), [*keys, "_slot"])
     errors = tail.groupBy(*keys).agg(
         *[
             F.avg(
@@ -207,8 +208,10 @@ def forecast(
             )
         )
     )
-    chosen = join_keys(fits, errors, keys).withColumn("_best", ranked).withColumns(
-        {"model": F.coalesce(F.col("_best.model"), F.lit("naive")), "mape": F.col("_best.mape")}
+    chosen = durable(
+        join_keys(fits, errors, keys).withColumn("_best", ranked).withColumns(
+            {"model": F.coalesce(F.col("_best.model"), F.lit("naive")), "mape": F.col("_best.mape")}
+        )
     )
     # -- in-sample one-step residuals of the chosen model
     full = join_keys(rows.drop("n", "period", "train"), chosen, keys)
@@ -227,12 +230,11 @@ def forecast(
     )
     residuals = full.groupBy(*keys).agg(F.stddev_samp(value - said).alias("residual_sigma"))
     scale = F.coalesce(F.nullif(F.col("residual_sigma"), F.lit(0.0)), F.lit(1e-10))
-    drifts = drift(seq).select(*keys, "drift_score", "drift_label")
+    drifts = drift(seq.with_df(rows)).select(*keys, "drift_score", "drift_label")
     summary = join_keys(join_keys(chosen, residuals, keys), drifts, keys).withColumn(
         "residual_sigma", scale
     )
-    projection = project(summary, _season_table(seq, sizes.withColumn("_end", F.col("n")), "_end"),
-                         keys, horizon, confidence)
+    projection = project(summary, _season_table(rows, "n", keys), keys, horizon, confidence)
     out_of_control = steps_to_breach(projection, keys, ucl, lcl)
     summary = join_keys(summary, out_of_control, keys)
     return (

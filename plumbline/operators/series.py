@@ -218,23 +218,28 @@ class Sequence:
 
     def last_known(self, **columns: Column) -> Sequence:
         """The latest non-null value at or before each row."""
-        return self._known(F.last, (Window.unboundedPreceding, 0), F.max_by,
-                           (Window.unboundedPreceding, -1), columns)
+        return self._known(columns, F.max_by, backwards=False)
 
     def next_known(self, **columns: Column) -> Sequence:
-        """The earliest non-null value at or after each row."""
-        return self._known(F.first, (0, Window.unboundedFollowing), F.min_by,
-                           (1, Window.unboundedFollowing), columns)
+        """The earliest non-null value at or after each row.
+
+        Rows are read backwards: a frame that ends at the last row of a partition
+        would be evaluated anew for every row.
+        """
+        return self._known(columns, F.min_by, backwards=True)
+
+    def _known(self, columns: Mapping[str, Column], extreme, *, backwards: bool) -> Sequence:
+        direction = F.desc if backwards else F.asc
+
+        def known(c, by: list[str], order: str, end: int) -> Column:
+            w = Window.partitionBy(*by).orderBy(direction(order))
+            return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end))
 
-    def _known(self, pick, inside, extreme, outside, columns: Mapping[str, Column]) -> Sequence:
         if not self.blocked:
-            w = self._window().rowsBetween(*inside)
-            return self.with_columns(
-                {n: pick(c, ignorenulls=True).over(w) for n, c in columns.items()}
-            )
+            return self.with_columns({n: known(c, self.keys, IDX, 0) for n, c in columns.items()})
         return self._carried(
             local={
-                f"_l_{n}": (lambda w, c=c: pick(c, ignorenulls=True).over(w.rowsBetween(*inside)))
+                f"_l_{n}": (lambda w, c=c: known(c, [*self.keys, BLOCK], IDX, 0))
                 for n, c in columns.items()
             },
             block={
@@ -242,9 +247,7 @@ class Sequence:
                 for n, c in columns.items()
             },
             carry={
-                f"_c_{n}": (
-                    lambda w, n=n: pick(f"_b_{n}", ignorenulls=True).over(w.rowsBetween(*outside))
-                )
+                f"_c_{n}": (lambda w, n=n: known(F.col(f"_b_{n}"), self.keys, BLOCK, -1))
                 for n in columns
             },
             combine={n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in columns},
