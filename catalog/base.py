@@ -1,8 +1,8 @@
 """Registered queries: a Spark plan, the columns it answers with, and SQL that must agree.
 
 ``columns`` names the result columns in both languages.  A trailing ``~`` rounds
-to six digits (sums of doubles differ in the last bits), ``#`` casts to a 64 bit
-integer.
+to six digits, ``^`` to four (sums of doubles differ in the last bits), ``#`` casts
+to a 64 bit integer.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ class Case:
 
 
 CASES: dict[str, Case] = {}
+DIGITS = {"~": 6, "^": 4}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,21 +43,21 @@ def scratch(spark: SparkSession) -> str:
 
 
 def _split(spec: str) -> tuple[str, str]:
-    return (spec[:-1], spec[-1]) if spec[-1] in "~#" else (spec, "")
+    return (spec[:-1], spec[-1]) if spec[-1] in "~^#" else (spec, "")
 
 
 def _spark_column(spec: str) -> Column:
     name, kind = _split(spec)
     c = F.col(name)
-    if kind == "~":
-        return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name)
+    if kind in DIGITS:
+        return (F.round(c.cast("double"), DIGITS[kind]) + F.lit(0.0)).alias(name)
     return (c.cast("long") if kind == "#" else c).alias(name)
 
 
 def _sql_column(spec: str) -> str:
     name, kind = _split(spec)
-    if kind == "~":
-        return f"round(CAST({name} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
+    if kind in DIGITS:
+        return f"round(CAST({name} AS DOUBLE), {DIGITS[kind]}) + CAST(0 AS DOUBLE) AS {name}"
     return f"CAST({name} AS BIGINT) AS {name}" if kind == "#" else name
 
 

@@ -527,7 +527,7 @@ cs AS (
   FROM cz WINDOW w AS (PARTITION BY event_type ORDER BY idx ROWS UNBOUNDED PRECEDING))"""
 
 
-@case("cusum_chart", "C21", f"{SERIES} {LINES} c_minus~ signal_upper signal_lower", CUSUM_SQL + """,
+@case("cusum_chart", "C21", f"{SERIES} idx# value^ ucl~ cl~ lcl~ c_minus^ signal_upper signal_lower", CUSUM_SQL + """,
 answer AS (
   SELECT event_type, phase, idx, c_plus AS value, c_minus, 5.0 AS ucl, 0.0 AS cl, -5.0 AS lcl,
          c_plus > 5 AS signal_upper, c_minus < -5 AS signal_lower FROM cs)""")
@@ -535,7 +535,7 @@ def cusum_chart(spark, d):
     return time_weighted.cusum(events(spark, d), EVENT_VALUES).points
 
 
-@case("cusum_chart_blocks", "C21 O1", f"{SERIES} idx# value~ c_minus~", CUSUM_SQL + """,
+@case("cusum_chart_blocks", "C21 O1", f"{SERIES} idx# value^ c_minus^", CUSUM_SQL + """,
 answer AS (SELECT event_type, phase, idx, c_plus AS value, c_minus FROM cs)""")
 def cusum_chart_blocks(spark, d):
     return time_weighted.cusum(events(spark, d), EVENT_VALUES, block_rows=300).points
@@ -555,7 +555,7 @@ def cusum_shift_starts(spark, d):
     return time_weighted.cusum(events(spark, d), EVENT_VALUES, h=3.0).notes["shifts"]
 
 
-@case("cusum_vmask_chart", "C22", f"{SERIES} {LINES} vertex_x~ vertex_y~ upper_slope~ lower_slope~ signal",
+@case("cusum_vmask_chart", "C22", f"{SERIES} idx# value^ ucl~ cl~ lcl~ vertex_x~ vertex_y^ upper_slope~ lower_slope~ signal",
       CUSUM_SQL + """,
 answer AS (
   SELECT event_type, phase, idx, total AS value, 5.0 AS ucl, 0.0 AS cl, -5.0 AS lcl, idx + 5.0 AS vertex_x,
@@ -600,7 +600,7 @@ t2 AS (
          z * (iac * x + ibc * y + icc * z) AS c2 FROM dev)"""
 
 
-@case("hotelling_t2_chart", "C23 A15", "l_returnflag phase idx# value~ ucl~ share_0~ share_1~ share_2~ signal",
+@case("hotelling_t2_chart", "C23 A15", "l_returnflag phase idx# value^ ucl~ share_0^ share_1^ share_2^ signal",
       T2_SQL + f""",
 answer AS (SELECT *, c0 + c1 + c2 AS value, c0 AS share_0, c1 AS share_1, c2 AS share_2,
                   {chi2_quantile(0.9973, 3)!r} AS ucl, c0 + c1 + c2 > {chi2_quantile(0.9973, 3)!r} AS signal FROM t2)""")
@@ -610,7 +610,7 @@ def hotelling_t2_chart(spark, d):
 
 
 # The F quantile depends on n, so only the statistic is compared.
-@case("hotelling_t2_first_stage", "C23", "l_returnflag phase idx# value~", T2_SQL + """,
+@case("hotelling_t2_first_stage", "C23", "l_returnflag phase idx# value^", T2_SQL + """,
 answer AS (SELECT *, c0 + c1 + c2 AS value FROM t2)""")
 def hotelling_t2_first_stage(spark, d):
     return multivariate.hotelling_t2(table(spark, d, "lineitem"), LINE_ROLES, LINE_VALUES).points

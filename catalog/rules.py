@@ -174,6 +174,10 @@ def capability_indices(spark, d):
     return able(spark, d)[1].withColumn("grade", grade(F.col("cpk")))
 
 
+def only(spark, d, generator, **options):
+    return findings.findings(findings.facts(chart(spark, d), **options), [generator])
+
+
 # -- findings --------------------------------------------------------------------------------
 FINDING = f"{SERIES} severity title metric_value~"
 
@@ -188,8 +192,7 @@ answer AS (
          CASE WHEN flags = 0 THEN 'Process Stable' WHEN minor THEN 'Minor Instability'
               ELSE 'Process Unstable' END AS title, flags AS metric_value FROM g)""")
 def finding_stability(spark, d):
-    c = chart(spark, d)
-    return findings.stability(c, rules.violations(c), findings.standards())
+    return only(spark, d, "stability")
 
 
 @case("finding_per_rule", "N2", FINDING + " detail", RULES + """,
@@ -203,7 +206,7 @@ answer AS (
            WHEN '5' THEN '2 of 3 in Zone A or beyond, same side (Test 5)' END AS detail
   FROM vio5 GROUP BY event_type, phase, test_id)""")
 def finding_per_rule(spark, d):
-    return findings.per_rule(rules.violations(chart(spark, d)), ["event_type", "phase"])
+    return only(spark, d, "rule")
 
 
 @case("finding_phase_shift", "N3", "o_orderpriority phase severity metric_value~", """
@@ -224,8 +227,8 @@ answer AS (
 def finding_phase_shift(spark, d):
     orders = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
     roles = Roles("o_totalprice", "o_orderkey", "o_orderpriority", phase="year")
-    c = variables.imr(orders, roles)
-    return findings.phase_shift(c.params, phase_table(orders, roles), c.keys)
+    known = findings.facts(variables.imr(orders, roles), phases=phase_table(orders, roles))
+    return findings.findings(known, ["phase_shift"])
 
 
 @case("finding_capability", "N4", FINDING, CAP_SQL + """,
@@ -235,8 +238,8 @@ answer AS (
          CASE WHEN cpk >= 1.33 THEN 'Capable' WHEN cpk >= 1 THEN 'Marginal Capability'
               ELSE 'Not Capable' END AS title FROM able)""")
 def finding_capability(spark, d):
-    c, table_ = able(spark, d)
-    return findings.capability_verdict(table_, c.keys, findings.standards())
+    c, indices = able(spark, d)
+    return findings.findings(findings.facts(c, capability=indices), ["capability"])
 
 
 @case("finding_centering", "N5", FINDING, CAP_SQL + """,
@@ -247,8 +250,8 @@ answer AS (
          CASE WHEN ratio >= 0.9 THEN 'Well Centered' WHEN ratio >= 0.9 * 0.78 THEN 'Off Center'
               ELSE 'Significantly Off Center' END AS title FROM r)""")
 def finding_centering(spark, d):
-    c, table_ = able(spark, d)
-    return findings.centering(table_, c.keys, findings.standards())
+    c, indices = able(spark, d)
+    return findings.findings(findings.facts(c, capability=indices), ["centering"])
 
 
 @case("finding_statistics", "N6 A9", f"{SERIES} metric_value~ detail", EVENTS + """,
@@ -258,7 +261,7 @@ answer AS (
                 stddev_samp(value), median(value), min(value), max(value)) AS detail
   FROM pts GROUP BY ALL)""")
 def finding_statistics(spark, d):
-    return findings.statistics_summary(chart(spark, d))
+    return only(spark, d, "statistics")
 
 
 @case("finding_sigma_method", "N7", f"{SERIES} metric_value~ detail", EVENTS + """,
@@ -266,8 +269,7 @@ answer AS (
   SELECT event_type, phase, sigma_hat AS metric_value,
          printf('Estimated via moving_range using %d observations.', n_used) AS detail FROM par)""")
 def finding_sigma_method(spark, d):
-    c = chart(spark, d)
-    return findings.sigma_note(c.params, c.keys)
+    return only(spark, d, "sigma_method")
 
 
 @case("finding_zones", "N8", f"{SERIES} severity metric_value~", EVENTS + """,
@@ -276,7 +278,7 @@ z AS (SELECT event_type, phase, avg(CASE WHEN abs(value - center) / sigma_hat <=
 answer AS (SELECT *, share AS metric_value,
                   CASE WHEN abs(share - 0.6827) > 0.2 THEN 'warning' ELSE 'info' END AS severity FROM z)""")
 def finding_zones(spark, d):
-    return findings.zone_distribution(chart(spark, d), findings.standards())
+    return only(spark, d, "zones")
 
 
 @case("zone_counts", "N8", f"{SERIES} n# zone_a# zone_b# zone_c# beyond#", EVENTS + """,
@@ -287,7 +289,8 @@ answer AS (
          count(*) FILTER (dist > 2 AND dist <= 3) AS zone_a, count(*) FILTER (dist > 3) AS beyond
   FROM z GROUP BY ALL)""")
 def zone_count_query(spark, d):
-    return findings.zone_counts(chart(spark, d))
+    rows = findings.facts(chart(spark, d)).df
+    return rows.withColumn("n", F.col("zone_n"))
 
 
 @case("finding_runs", "N9", FINDING, EVENTS + """,
@@ -304,7 +307,7 @@ answer AS (
          CASE WHEN z < -1.96 THEN 'Shift Pattern' WHEN z > 1.96 THEN 'Oscillation Pattern'
               ELSE 'Runs Normal' END AS title FROM y)""")
 def finding_runs(spark, d):
-    return findings.runs_detection(chart(spark, d), findings.standards())
+    return only(spark, d, "runs")
 
 
 @case("finding_patterns", "N10", FINDING, RULES + """,
@@ -314,8 +317,7 @@ answer AS (
               ELSE 'Mixture Pattern' END AS title
   FROM vio8 WHERE test_id IN ('3', '7', '8') GROUP BY event_type, phase, test_id)""")
 def finding_patterns(spark, d):
-    c = chart(spark, d)
-    return findings.patterns(rules.violations(c, ALL_NELSON), c.keys)
+    return only(spark, d, "patterns", nelson=ALL_NELSON)
 
 
 @cache

@@ -1,21 +1,23 @@
 """Findings: rows that say what a chart shows.
 
-Columns: the chart's keys, generator, category, severity, title, metric_label,
-metric_value, detail.  Every generator works on all keys at once.
+One pass over the points collects the facts of every key (counts per rule, zones,
+runs, moments); the findings are then expressions over that table of one row per
+key.  Columns of a finding: the chart's keys, generator, category, severity, title,
+metric_label, metric_value, detail.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.capability import grade
 from plumbline.operators.chart import Chart
-from plumbline.operators.rules import described
-from plumbline.operators.series import PHASE, join_keys, medians_of
+from plumbline.operators.rules import DESCRIPTIONS, NELSON_DEFAULT, flag_name, with_rules
+from plumbline.operators.series import IDX, PHASE, join_keys, medians_of
 from plumbline.operators.variables import runs_test
 
 # Thresholds, each of which can be overridden.
@@ -32,7 +34,7 @@ CENTERING_WARNING = 0.78
 EXPECTED_ZONE_C = 0.6827
 RANK = {"good": 0, "info": 1, "warning": 2, "danger": 3}
 HEALTH = {"good": "Healthy", "info": "Normal", "warning": "Attention", "danger": "Critical"}
-RESULT = ("generator", "category", "severity", "title", "metric_label", "metric_value", "detail")
+CATEGORIES = ("stability", "capability", "statistical", "pattern")
 
 
 def standards(overrides: Mapping[str, float] | None = None) -> dict[str, float]:
@@ -42,97 +44,180 @@ def standards(overrides: Mapping[str, float] | None = None) -> dict[str, float]:
     return {**STANDARDS, **(overrides or {})}
 
 
-def _finding(
-    df: DataFrame, keys: list[str], generator: str, category: str, severity, title, label: str,
-    value: Column, detail: Column,
-) -> DataFrame:
-    lit = lambda v: F.lit(v) if isinstance(v, str) else v
-    columns = (lit(generator), lit(category), lit(severity), lit(title), lit(label),
-               value.cast("double"), detail)
-    return df.select(*keys, *[c.alias(n) for n, c in zip(RESULT, columns)])
+@dataclass(frozen=True)
+class Facts:
+    """One row per key, and what is known about it."""
 
+    df: DataFrame
+    keys: list[str]
+    rules: tuple[str, ...]
+    limits: Mapping[str, float] = field(default_factory=standards)
+    has_phases: bool = False
+    has_capability: bool = False
 
-def violation_totals(violations: DataFrame, keys: list[str]) -> DataFrame:
-    return violations.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("flags"), F.count_distinct("test_id").alias("rules")
-    )
+
+def zone_aggregates() -> dict[str, Column]:
+    """Points per zone: C within 1 sigma, B within 2, A within 3, beyond."""
+    distance = F.abs(F.col("value") - F.col("zone_cl")) / F.col("zone_sigma")
+    d = F.when((F.col("zone_sigma") > 0) & F.col("value").isNotNull(), distance)
+    return {
+        "zone_n": F.count(d),
+        "zone_c": F.count_if(d <= 1),
+        "zone_b": F.count_if((d > 1) & (d <= 2)),
+        "zone_a": F.count_if((d > 2) & (d <= 3)),
+        "beyond": F.count_if(d > 3),
+    }
 
 
-def stability(chart: Chart, violations: DataFrame, limits: Mapping[str, float]) -> DataFrame:
+def facts(
+    chart: Chart,
+    *,
+    nelson: Iterable[int] = NELSON_DEFAULT,
+    westgard: Iterable[str] = (),
+    custom: Mapping[int, Mapping[str, int]] | None = None,
+    capability: DataFrame | None = None,
+    phases: DataFrame | None = None,
+    overrides: Mapping[str, float] | None = None,
+) -> Facts:
+    nelson, westgard = tuple(nelson), tuple(westgard)
+    rules = (*map(str, nelson), *westgard)
     keys = chart.keys
-    totals = chart.sequence.df.groupBy(*keys).agg(F.count("value").alias("points"))
-    table = join_keys(totals, violation_totals(violations, keys), keys).na.fill(
-        0, ["flags", "rules"]
+    above = F.col("value") > F.col("zone_cl")
+    before = lambda w: {
+        "_was": F.lag("value").over(w) > F.lag("zone_cl").over(w)
+    }
+    seq = with_rules(chart, nelson, westgard, custom, also=before)
+    turned = (F.col(IDX) == 0) | (F.col("_was") != above)
+    aggregates = {
+        "points": F.count("value"),
+        "mean": F.avg("value"),
+        "std": F.coalesce(F.stddev_samp("value"), F.lit(0.0)),
+        "min": F.min("value"),
+        "max": F.max("value"),
+        "n_above": F.count_if(above),
+        "n_below": F.count_if(~above),
+        "n_runs": F.count_if(turned),
+        **zone_aggregates(),
+        **{flag_name(r): F.count_if(F.col(flag_name(r))) for r in rules},
+    }
+    if not seq.blocked:
+        aggregates["median"] = F.median("value")
+    table = seq.df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
+    if seq.blocked:
+        table = join_keys(table, medians_of(seq.df, keys, "value", "median", blocked=True), keys)
+    params = chart.params
+    if "center" not in params.columns:
+        params = params.withColumn("center", F.lit(None).cast("double"))
+    table = join_keys(
+        table, params.select(*keys, "center", "sigma_hat", "method", "n_used"), keys
+    )
+    table = runs_test(table)
+    if capability is not None:
+        table = join_keys(table, capability.select(*keys, "cp", "cpk", "pp", "ppk"), keys)
+    if phases is not None:
+        # against the phase before, in order of appearance
+        table = join_keys(table, phases.select(*keys, "phase_rank"), keys)
+        w = Window.partitionBy(*[k for k in keys if k != PHASE]).orderBy("phase_rank")
+        table = table.withColumns(
+            {
+                "from_phase": F.lag(PHASE).over(w),
+                "from_center": F.lag("center").over(w),
+                "from_sigma": F.lag("sigma_hat").over(w),
+            }
+        )
+    return Facts(table, keys, rules, standards(overrides), phases is not None,
+                 capability is not None)
+
+
+def _entry(generator: str, category: str, severity, title, label: str, value: Column,
+           detail: Column) -> Column:
+    def text(v) -> Column:
+        return F.lit(v) if isinstance(v, str) else v
+
+    return F.struct(
+        F.lit(generator).alias("generator"),
+        F.lit(category).alias("category"),
+        text(severity).alias("severity"),
+        text(title).alias("title"),
+        F.lit(label).alias("metric_label"),
+        value.cast("double").alias("metric_value"),
+        detail.alias("detail"),
     )
-    percent = F.coalesce(F.try_divide(F.col("flags"), F.col("points")) * 100.0, F.lit(0.0))
+
+
+def _total(columns: list[Column]) -> Column:
+    return sum(columns[1:], columns[0]) if columns else F.lit(0)
+
+
+def stability(f: Facts) -> list[Column]:
+    counts = [F.col(flag_name(r)) for r in f.rules]
+    flags = _total(counts)
+    fired = _total([(c > 0).cast("int") for c in counts])
+    percent = F.coalesce(F.try_divide(flags, F.col("points")) * 100.0, F.lit(0.0))
     minor = (
-        (F.col("rules") <= 2)
-        & (F.col("flags") <= limits["max_ooc_count"])
-        & (percent <= limits["max_ooc_percent"])
+        (fired <= 2)
+        & (flags <= f.limits["max_ooc_count"])
+        & (percent <= f.limits["max_ooc_percent"])
     )
-    severity = F.when(F.col("flags") == 0, "good").when(minor, "warning").otherwise("danger")
+    severity = F.when(flags == 0, "good").when(minor, "warning").otherwise("danger")
     title = (
-        F.when(F.col("flags") == 0, "Process Stable").when(minor, "Minor Instability")
+        F.when(flags == 0, "Process Stable").when(minor, "Minor Instability")
         .otherwise("Process Unstable")
     )
     detail = F.when(
-        F.col("flags") == 0, "No rule violations detected. Process is in statistical control."
-    ).otherwise(F.format_string("%d rules triggered across %d points", "rules", "flags"))
-    return _finding(table, keys, "stability", "stability", severity, title, "OOC Points",
-                    F.col("flags"), detail)
-
-
-def per_rule(violations: DataFrame, keys: list[str]) -> DataFrame:
-    table = violations.groupBy(*keys, "test_id").agg(F.count(F.lit(1)).alias("n"))
-    severity = F.when(F.col("test_id") == "1", "danger").otherwise("warning")
-    return _finding(table, keys, "rule", "stability", severity,
-                    F.concat(F.lit("Rule "), "test_id"), "Points", F.col("n"),
-                    described(F.col("test_id")))
-
-
-def phase_shift(params: DataFrame, phases: DataFrame, keys: list[str]) -> DataFrame:
-    """Each phase against the one before it in order of appearance."""
-    series = [k for k in keys if k != PHASE]
-    table = join_keys(params.select(*keys, "center", "sigma_hat"),
-                      phases.select(*keys, "phase_rank"), keys)
-    w = Window.partitionBy(*series).orderBy("phase_rank")
-    table = table.withColumns(
-        {
-            "_from": F.lag(PHASE).over(w),
-            "_center": F.lag("center").over(w),
-            "_sigma": F.lag("sigma_hat").over(w),
-        }
-    ).where(F.col("_center").isNotNull() & F.col("center").isNotNull())
-    shift = F.col("center") - F.col("_center")
-    sigmas = F.when(F.col("_sigma") > 0, F.abs(shift) / F.col("_sigma")).otherwise(0.0)
+        flags == 0, "No rule violations detected. Process is in statistical control."
+    ).otherwise(F.format_string("%d rules triggered across %d points", fired, flags))
+    return [_entry("stability", "stability", severity, title, "OOC Points", flags, detail)]
+
+
+def per_rule(f: Facts) -> list[Column]:
+    return [
+        F.when(
+            F.col(flag_name(r)) > 0,
+            _entry("rule", "stability", "danger" if r == "1" else "warning", f"Rule {r}", "Points",
+                   F.col(flag_name(r)), F.lit(DESCRIPTIONS[r])),
+        )
+        for r in f.rules
+    ]
+
+
+def phase_shift(f: Facts) -> list[Column]:
+    if not f.has_phases:
+        return []
+    shift = F.col("center") - F.col("from_center")
+    before = F.col("from_sigma")
+    sigmas = F.when(before > 0, F.abs(shift) / before).otherwise(0.0)
     severity = F.when(sigmas > 1.5, "danger").when(sigmas > 0.5, "warning").otherwise("info")
     change = F.when(
-        F.col("_sigma") > 0,
-        (F.coalesce(F.col("sigma_hat"), F.lit(0.0)) - F.col("_sigma")) / F.col("_sigma") * 100.0,
+        before > 0, (F.coalesce("sigma_hat", F.lit(0.0)) - before) / before * 100.0
     ).otherwise(0.0)
-    detail = F.format_string("%s → %s: sigma %+.1f%%", "_from", PHASE, change)
-    return _finding(table, keys, "phase_shift", "stability", severity, "Phase Shift",
-                    "Mean Shift", shift, detail)
+    detail = F.format_string("%s → %s: sigma %+.1f%%", "from_phase", PHASE, change)
+    return [
+        F.when(
+            shift.isNotNull(),
+            _entry("phase_shift", "stability", severity, "Phase Shift", "Mean Shift", shift, detail),
+        )
+    ]
 
 
-def capability_verdict(capability: DataFrame, keys: list[str], limits) -> DataFrame:
-    table = capability.where(F.col("cpk").isNotNull()).withColumn(
-        "_grade", grade(F.col("cpk"), limits["cpk"], limits["cpk_marginal"])
-    )
-    g = F.col("_grade")
+def capability_verdict(f: Facts) -> list[Column]:
+    if not f.has_capability:
+        return []
+    g = grade(F.col("cpk"), f.limits["cpk"], f.limits["cpk_marginal"])
     severity = F.when(g == "good", "good").when(g == "marginal", "warning").otherwise("danger")
     title = (
         F.when(g == "good", "Capable").when(g == "marginal", "Marginal Capability")
         .otherwise("Not Capable")
     )
     detail = F.format_string("Cp %.2f, Cpk %.2f, Pp %.2f, Ppk %.2f", "cp", "cpk", "pp", "ppk")
-    return _finding(table, keys, "capability", "capability", severity, title, "Cpk",
-                    F.col("cpk"), detail)
+    entry = _entry("capability", "capability", severity, title, "Cpk", F.col("cpk"), detail)
+    return [F.when(F.col("cpk").isNotNull(), entry)]
 
 
-def centering(capability: DataFrame, keys: list[str], limits) -> DataFrame:
-    table = capability.where(F.col("cpk").isNotNull() & (F.col("cp") != 0))
-    ratio, good = F.try_divide("cpk", "cp"), limits["centering"]
+def centering(f: Facts) -> list[Column]:
+    if not f.has_capability:
+        return []
+    ratio, good = F.try_divide("cpk", "cp"), f.limits["centering"]
     low = good * CENTERING_WARNING
     severity = F.when(ratio >= good, "good").when(ratio >= low, "warning").otherwise("danger")
     title = (
@@ -140,88 +225,45 @@ def centering(capability: DataFrame, keys: list[str], limits) -> DataFrame:
         .otherwise("Significantly Off Center")
     )
     detail = F.format_string("Cpk/Cp ratio: %.0f%%", ratio * 100.0)
-    return _finding(table, keys, "centering", "capability", severity, title, "Cpk/Cp", ratio,
-                    detail)
-
-
-def statistics_summary(chart: Chart) -> DataFrame:
-    keys, rows = chart.keys, chart.sequence.df
-    table = rows.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    middle = medians_of(rows, keys, "value", "median", blocked=chart.sequence.blocked)
-    table = join_keys(table, middle, keys).where(F.col("n") > 0)
+    entry = _entry("centering", "capability", severity, title, "Cpk/Cp", ratio, detail)
+    return [F.when(ratio.isNotNull(), entry)]
+
+
+def statistics_summary(f: Facts) -> list[Column]:
     detail = F.format_string(
         "N=%d, Mean=%.4f, Std=%.4f, Median=%.4f, Range=[%.4f, %.4f].",
-        "n", "mean", "std", "median", "min", "max",
+        "points", "mean", "std", "median", "min", "max",
     )
-    return _finding(table, keys, "statistics", "statistical", "info", "Summary Statistics", "N",
-                    F.col("n"), detail)
+    entry = _entry("statistics", "statistical", "info", "Summary Statistics", "N",
+                   F.col("points"), detail)
+    return [F.when(F.col("points") > 0, entry)]
 
 
-def sigma_note(params: DataFrame, keys: list[str]) -> DataFrame:
-    table = params.where(F.col("sigma_hat").isNotNull())
+def sigma_note(f: Facts) -> list[Column]:
     detail = F.format_string("Estimated via %s using %d observations.", "method", "n_used")
-    return _finding(table, keys, "sigma_method", "statistical", "info", "Sigma Method", "sigma",
-                    F.col("sigma_hat"), detail)
+    entry = _entry("sigma_method", "statistical", "info", "Sigma Method", "sigma",
+                   F.col("sigma_hat"), detail)
+    return [F.when(F.col("sigma_hat").isNotNull(), entry)]
 
 
-def zone_counts(chart: Chart) -> DataFrame:
-    """Points per zone: C within 1 sigma, B within 2, A within 3, beyond."""
-    distance = F.abs(F.col("value") - F.col("zone_cl")) / F.col("zone_sigma")
-    d = F.col("_d")
-    return (
-        chart.sequence.df.where((F.col("zone_sigma") > 0) & F.col("value").isNotNull())
-        .withColumn("_d", distance)
-        .groupBy(*chart.keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(d <= 1).alias("zone_c"),
-            F.count_if((d > 1) & (d <= 2)).alias("zone_b"),
-            F.count_if((d > 2) & (d <= 3)).alias("zone_a"),
-            F.count_if(d > 3).alias("beyond"),
-        )
-    )
+def zone_distribution(f: Facts) -> list[Column]:
+    def share(c: str) -> Column:
+        return F.try_divide(F.col(c), F.col("zone_n"))
 
-
-def zone_distribution(chart: Chart, limits) -> DataFrame:
-    table = zone_counts(chart)
-    share = F.col("zone_c") / F.col("n")
-    off = F.abs(share - EXPECTED_ZONE_C) > limits["zone_deviation"]
-    part = lambda c: F.col(c) / F.col("n") * 100.0
+    inner = share("zone_c")
+    off = F.abs(inner - EXPECTED_ZONE_C) > f.limits["zone_deviation"]
     detail = F.format_string(
         "Zone C: %.1f%%, B: %.1f%%, A: %.1f%%, Beyond: %.1f%%.",
-        part("zone_c"), part("zone_b"), part("zone_a"), part("beyond"),
-    )
-    return _finding(table, chart.keys, "zones", "statistical",
-                    F.when(off, "warning").otherwise("info"), "Zone Distribution", "Zone C", share,
-                    detail)
-
-
-def side_runs(chart: Chart) -> DataFrame:
-    """Runs above / not above the zone line (ties count as below), with their z."""
-    seq, keys = chart.sequence, chart.keys
-    above = F.col("value") > F.col("zone_cl")
-    seq = seq.with_df(seq.df.where(F.col("value").isNotNull()).withColumn("_above", above))
-    seq = seq.frame(1, lambda w: {"_was": F.lag("_above").over(w)})
-    changed = F.col("_was").isNull() | (F.col("_was") != F.col("_above"))
-    table = seq.df.groupBy(*keys).agg(
-        F.count_if(F.col("_above")).alias("n_above"),
-        F.count_if(~F.col("_above")).alias("n_below"),
-        F.count_if(changed).alias("n_runs"),
+        *[share(c) * 100.0 for c in ("zone_c", "zone_b", "zone_a", "beyond")],
     )
-    return runs_test(table)
+    entry = _entry("zones", "statistical", F.when(off, "warning").otherwise("info"),
+                   "Zone Distribution", "Zone C", inner, detail)
+    return [F.when(F.col("zone_n") > 0, entry)]
 
 
-def runs_detection(chart: Chart, limits) -> DataFrame:
-    table = side_runs(chart).where(
-        (F.col("n_above") + F.col("n_below") >= 10) & F.col("z").isNotNull()
-    )
-    z, bound = F.col("z"), limits["runs_z"]
+def runs_detection(f: Facts) -> list[Column]:
+    """Runs above / not above the centre (ties count as below), from ten points up."""
+    z, bound = F.col("z"), f.limits["runs_z"]
     title = (
         F.when(z < -bound, "Shift Pattern").when(z > bound, "Oscillation Pattern")
         .otherwise("Runs Normal")
@@ -229,8 +271,8 @@ def runs_detection(chart: Chart, limits) -> DataFrame:
     severity = F.when(F.abs(z) > bound, "warning").otherwise("info")
     detail = F.format_string("%d runs observed, %.1f expected. Z=%.2f.", "n_runs",
                              "expected_runs", "z")
-    return _finding(table, chart.keys, "runs", "pattern", severity, title, "Runs",
-                    F.col("n_runs"), detail)
+    entry = _entry("runs", "pattern", severity, title, "Runs", F.col("n_runs"), detail)
+    return [F.when((F.col("points") >= 10) & z.isNotNull(), entry)]
 
 
 # Rules that are patterns of their own.
@@ -241,47 +283,41 @@ PATTERNS = {
 }
 
 
-def patterns(violations: DataFrame, keys: list[str]) -> DataFrame:
-    table = (
-        violations.where(F.col("test_id").isin(list(PATTERNS)))
-        .groupBy(*keys, "test_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def patterns(f: Facts) -> list[Column]:
+    return [
+        F.when(
+            F.col(flag_name(r)) > 0,
+            _entry(name, "pattern", "warning", title, "Points", F.col(flag_name(r)),
+                   F.lit(DESCRIPTIONS[r])),
+        )
+        for r, (name, title) in PATTERNS.items()
+        if r in f.rules
+    ]
 
-    def pick(part: int) -> Column:
-        out = F.lit(None).cast("string")
-        for test, names in PATTERNS.items():
-            out = F.when(F.col("test_id") == test, names[part]).otherwise(out)
-        return out
 
-    return _finding(table, keys, pick(0), "pattern", "warning", pick(1), "Points", F.col("n"),
-                    described(F.col("test_id")))
+GENERATORS: dict[str, Callable[[Facts], list[Column]]] = {
+    "stability": stability,
+    "rule": per_rule,
+    "phase_shift": phase_shift,
+    "capability": capability_verdict,
+    "centering": centering,
+    "statistics": statistics_summary,
+    "sigma_method": sigma_note,
+    "zones": zone_distribution,
+    "runs": runs_detection,
+    "patterns": patterns,
+}
 
 
-def findings(
-    chart: Chart,
-    violations: DataFrame,
-    *,
-    capability: DataFrame | None = None,
-    phases: DataFrame | None = None,
-    overrides: Mapping[str, float] | None = None,
-) -> DataFrame:
-    """Every generator that has what it needs, in one table."""
-    limits, keys = standards(overrides), chart.keys
-    parts = [
-        stability(chart, violations, limits),
-        per_rule(violations, keys),
-        statistics_summary(chart),
-        sigma_note(chart.params, keys),
-        zone_distribution(chart, limits),
-        runs_detection(chart, limits),
-        patterns(violations, keys),
-    ]
-    if phases is not None and "center" in chart.params.columns:
-        parts.append(phase_shift(chart.params, phases, keys))
-    if capability is not None:
-        parts += [capability_verdict(capability, keys, limits), centering(capability, keys, limits)]
-    return reduce(DataFrame.unionByName, parts)
+def findings(f: Facts, generators: Iterable[str] = tuple(GENERATORS)) -> DataFrame:
+    """The findings of the chosen generators, one row each."""
+    unknown = set(generators) - set(GENERATORS)
+    if unknown:
+        raise ValueError(f"unknown generators: {sorted(unknown)}")
+    entries = [entry for g in generators for entry in GENERATORS[g](f)]
+    if not entries:
+        raise ValueError("the chosen generators need phases or capability")
+    return f.df.select(*f.keys, F.inline(F.array_compact(F.array(*entries))))
 
 
 def health(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -290,20 +326,17 @@ def health(findings: DataFrame, keys: list[str]) -> DataFrame:
     for name, value in RANK.items():
         rank = F.when(F.col("severity") == name, value).otherwise(rank)
 
-    def figure(generator: str, column: str) -> Column:
-        return F.max(F.when(F.col("generator") == generator, F.col(column)))
+    def figure(generator: str) -> Column:
+        return F.max(F.when(F.col("generator") == generator, F.col("metric_value")))
 
     table = findings.withColumn("_rank", rank).groupBy(*keys).agg(
         F.max_by("severity", "_rank").alias("severity"),
         F.count_if(F.col("severity") == "danger").alias("n_danger"),
         F.count_if(F.col("severity") == "warning").alias("n_warning"),
-        figure("stability", "metric_value").alias("ooc_count"),
-        figure("capability", "metric_value").alias("cpk"),
-        figure("statistics", "metric_value").alias("n"),
-        *[
-            F.count_if(F.col("category") == c).alias(f"n_{c}")
-            for c in ("stability", "capability", "statistical", "pattern")
-        ],
+        figure("stability").alias("ooc_count"),
+        figure("capability").alias("cpk"),
+        figure("statistics").alias("n"),
+        *[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in CATEGORIES],
     )
     labels = F.create_map(*[F.lit(v) for pair in HEALTH.items() for v in pair])
     return table.withColumn("label", F.element_at(labels, F.col("severity")))

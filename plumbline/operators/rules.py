@@ -181,13 +181,17 @@ def with_rules(
     nelson: Iterable[int] = NELSON_DEFAULT,
     westgard: Iterable[str] = (),
     custom: Mapping[int, Mapping[str, int]] | None = None,
+    also: Callable[[WindowSpec], Mapping[str, Column]] | None = None,
 ) -> Sequence:
-    """The chart's points with one boolean column per rule."""
+    """The chart's points with one boolean column per rule.
+
+    ``also`` adds columns that look back one row, over the same frame.
+    """
     rules = chosen_rules(nelson, westgard, custom)
     seq = chart.sequence
-    if not rules:
+    if not rules and also is None:
         return seq
-    helpers = []
+    helpers = [] if also is None else [also]
     if {"3", "4"} & rules.keys():
         helpers.append(_steps)
     if "4" in rules:
@@ -198,7 +202,8 @@ def with_rules(
             flag_name(t): F.coalesce(r.flag(w), F.lit(False)) for t, r in rules.items()
         }
 
-    seq = seq.frame(max(r.halo for r in rules.values()), *helpers, flags)
+    halo = max([r.halo for r in rules.values()] + ([1] if also else []))
+    seq = seq.frame(halo, *helpers, flags)
     return seq.with_df(seq.df.drop("_step", "_turn"))
 
 

@@ -6,7 +6,7 @@ Everything returned is lazy; each table is its own Spark plan.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +20,8 @@ from plumbline.operators import (
     variables,
 )
 from plumbline.operators.capability import NOT_CAPABLE_KINDS, capability
-from plumbline.operators.chart import Chart
-from plumbline.operators.findings import findings, health
+from plumbline.operators.chart import Chart, individuals
+from plumbline.operators.findings import facts, findings, health
 from plumbline.operators.rules import (
     NELSON_DEFAULT,
     violation_counts,
@@ -89,13 +89,16 @@ class Analysis:
     phases: DataFrame
 
     def findings(self, overrides: Mapping[str, float] | None = None) -> DataFrame:
-        return findings(
+        known = facts(
             self.chart,
-            self.violations,
+            nelson=self.recipe.nelson,
+            westgard=self.recipe.westgard,
+            custom=self.recipe.custom_rules,
             capability=self.capability,
             phases=self.phases,
             overrides=overrides,
         )
+        return findings(known)
 
     def health(self) -> DataFrame:
         return health(self.findings(), self.chart.keys)
@@ -133,10 +136,6 @@ def _charted_with_excluded(df: DataFrame, chart: Chart, recipe: Recipe) -> Chart
     """All rows, with lines estimated without the excluded ones."""
     if recipe.kind not in CONSTANT_LINES:
         raise ValueError(f"exclusion is supported for {sorted(CONSTANT_LINES)}")
-    from dataclasses import replace
-
-    from plumbline.operators.chart import individuals
-
     lines = chart.sequence.df.where(F.col(IDX) == 0).select(
         *chart.keys, "ucl", "cl", "lcl", "zone_cl", "zone_sigma"
     )
