@@ -32,11 +32,14 @@ ROLE_NAMES = {
 }
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header; every cell stays text.  Empty files are errors."""
-    df = spark.read.option("header", True).option("multiLine", False).option(
-        "inferSchema", False
-    ).csv(path)
+def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header; every cell stays text.  Empty files are errors.
+
+    ``multi_line`` allows line breaks inside quotes; such files cannot be split
+    between tasks.
+    """
+    options = {"header": True, "inferSchema": False, "multiLine": multi_line, "escape": '"'}
+    df = spark.read.options(**options).csv(path)
     if not df.columns:
         raise ValueError("the file has no header")
     first = df.columns[0]
