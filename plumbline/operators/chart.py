@@ -20,7 +20,6 @@ from plumbline.operators.series import (
     PHASE,
     Roles,
     Sequence,
-    join_keys,
     phase_column,
     sequence,
 )
@@ -88,7 +87,8 @@ def order_of(roles: Roles) -> list[str]:
 
 
 def individuals(df: DataFrame, roles: Roles, *, missing: str = "drop", **sizing) -> Sequence:
-    return sequence(measurements(df, roles, missing=missing), roles.keys, order_of(roles), **sizing)
+    rows = measurements(df, roles, missing=missing)
+    return sequence(rows, roles.keys, order_of(roles), single=roles.single, **sizing)
 
 
 def build(
@@ -133,7 +133,7 @@ def build_joined(
 ) -> Chart:
     """As ``build`` for parameters that need more than plain aggregates (quantiles,
     fits, inverses): they are computed per key and joined to the rows."""
-    rows = seq.with_df(join_keys(seq.df, params, seq.keys))
+    rows = seq.with_df(seq.joined(seq.df, params))
     steps = [lines] if isinstance(lines, Mapping) else list(lines)
     return Chart(kind, seq.keys, params, rows.with_columns(*steps), k_sigma,
                  extra_columns=extra_columns)

@@ -29,7 +29,7 @@ def observations(df: DataFrame, roles: Roles, **sizing) -> Sequence:
     """Numbered values; missing and unparsable ones are dropped."""
     parsed = df.withColumn("_parsed", F.col(roles.value).try_cast("double"))
     rows = measurements(parsed, replace(roles, value="_parsed")).where(~F.isnan("value"))
-    return sequence(rows, roles.keys, order_of(roles), **sizing)
+    return sequence(rows, roles.keys, order_of(roles), single=roles.single, **sizing)
 
 
 def season_length(seq: Sequence) -> DataFrame:

@@ -20,7 +20,6 @@ from plumbline.operators.series import (
     PHASE,
     Roles,
     Sequence,
-    join_keys,
     phase_column,
     sequence,
 )
@@ -50,7 +49,7 @@ def variables(
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(roles.order_columns)],
         *[c.alias(f"v{i}") for i, c in enumerate(vector)],
     ).dropna(subset=[f"v{i}" for i in range(p)])
-    return sequence(rows, roles.keys, order_of(roles), **sizing), p
+    return sequence(rows, roles.keys, order_of(roles), single=roles.single, **sizing), p
 
 
 def moments(
@@ -176,7 +175,7 @@ def hotelling_t2(
     else:
         limit = F.lit(chi2_quantile(1.0 - alpha, p))
     params = _params(params.withColumn("limit", limit), "hotelling_t2", k_sigma)
-    rows = seq.with_df(join_keys(seq.df, params, seq.keys))
+    rows = seq.with_df(seq.joined(seq.df, params))
     shares, t2 = quadratic_form([F.col(f"v{i}") - F.get("mean_vector", i) for i in range(p)])
     rows = rows.with_columns({"contributions": shares, "value": t2}, *_lines(k_sigma))
     return Chart("hotelling_t2", seq.keys, params, rows, k_sigma,
@@ -210,7 +209,7 @@ def mewma(
     params = moments(seq, p, known_mean, known_cov)
     limit = F.lit(chi2_quantile(1.0 - alpha, p))
     params = _params(params.withColumn("limit", limit), "mewma", k_sigma)
-    rows = seq.with_df(join_keys(seq.df, params, seq.keys))
+    rows = seq.with_df(seq.joined(seq.df, params))
     rows = rows.smoothed(
         lam,
         {f"z{i}": (F.col(f"v{i}") - F.get("mean_vector", i), F.lit(0.0)) for i in range(p)},

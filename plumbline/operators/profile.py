@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.chart import measurements
 from plumbline.operators.prep import is_missing, numeric
-from plumbline.operators.series import Roles, join_keys, medians_of, order_statistics
+from plumbline.operators.series import (
+    Roles,
+    attach_row,
+    join_keys,
+    medians_of,
+    order_statistics,
+)
 
 ALL = "_all"
 BINS = 12
@@ -26,7 +32,7 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
         F.max("v").alias("max"),
         F.count_if(F.col("v").isNull()).alias("missing"),
     )
-    return join_keys(stats, medians_of(rows, [ALL], "v", "median"), [ALL]).drop(ALL)
+    return attach_row(stats, medians_of(rows, [ALL], "v", "median").drop(ALL)).drop(ALL)
 
 
 def profile_base(df: DataFrame, columns: Listing[str], *, approximate: bool = False) -> DataFrame:
@@ -52,6 +58,13 @@ def profile_base(df: DataFrame, columns: Listing[str], *, approximate: bool = Fa
     return out.withColumn("missing_pct", share)
 
 
+def _beside(rows: DataFrame, small: DataFrame, by: Listing[str]) -> DataFrame:
+    """Per-group figures on every row; without groups they are one row."""
+    if not by:
+        return attach_row(rows, small.drop(ALL))
+    return join_keys(rows, small.drop(ALL), list(by))
+
+
 def numbers(df: DataFrame, column: str, by: Listing[str] = ()) -> DataFrame:
     rows = df.select(F.lit("all").alias(ALL), *by, numeric(F.col(column)).alias("v"))
     return rows.where(F.col("v").isNotNull())
@@ -99,7 +112,7 @@ def outlier_count(df: DataFrame, column: str, by: Listing[str] = ()) -> DataFram
     moments = rows.groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
     far = F.abs(F.col("v") - F.col("_m")) > 3.0 * F.col("_s")
     return (
-        join_keys(rows, moments, keys).groupBy(*keys).agg(F.count_if(far).alias("outliers"))
+        _beside(rows, moments, by).groupBy(*keys).agg(F.count_if(far).alias("outliers"))
     ).drop(ALL)
 
 
@@ -112,7 +125,7 @@ def histogram(df: DataFrame, column: str, by: Listing[str] = (), *, bins: int =
     ends = ends.withColumn("_width", F.when(span == 0, 1.0).otherwise(span) / bins)
     at = F.least(F.floor((F.col("v") - F.col("_low")) / F.col("_width")), F.lit(bins - 1))
     counted = (
-        join_keys(rows, ends, keys).groupBy(*keys, at.cast("int").alias("bin"))
+        _beside(rows, ends, by).groupBy(*keys, at.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
     # one array per key instead of one row per bin: bins are few and fixed

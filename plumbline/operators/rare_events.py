@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import NORMAL, chi2_quantile_of
 from plumbline.operators.chart import Chart, build_joined, individuals, positive, zone_lines
@@ -61,12 +64,21 @@ def g(
 def weibull_fit(seq: Sequence, *, steps: int = 8) -> DataFrame:
     """Maximum likelihood Weibull shape and scale per key, location 0, values > 0 only.
 
-    Newton's method on the shape.  Equal values are counted once and for all; each
-    step is one grouped aggregation over those counts, so no key has to fit into
-    one task.  Values are divided by their maximum, which keeps powers below 1.
-    Keys with fewer than two positive values, or all equal, get nulls.
+    Newton's method on the shape.  Values are divided by their maximum, which keeps
+    powers below 1.  Keys with fewer than two positive values, or all equal, get nulls.
+
+    Keys known to be small (a plain sequence) are fitted where their rows are, after
+    one shuffle.  Otherwise equal values are counted once and each step is one
+    grouped aggregation over those counts, so no key has to fit into one task.
     """
     keys = seq.keys
+    if not seq.blocked:
+        rows = seq.df.where(F.col("value") > 0).select(*keys, "value")
+        shape = T.StructType(
+            [f for f in rows.schema.fields if f.name in keys]
+            + [T.StructField("shape", T.DoubleType()), T.StructField("scale", T.DoubleType())]
+        )
+        return rows.groupBy(*keys).applyInPandas(_small_fit(keys, steps), shape)
     counts = (
         seq.df.where(F.col("value") > 0)
         .groupBy(*keys, "value")
@@ -105,6 +117,29 @@ def weibull_fit(seq: Sequence, *, steps: int = 8) -> DataFrame:
     raise AssertionError("unreachable")
 
 
+def _small_fit(keys: list[str], steps: int):
+    """The same steps over the values of one key."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[keys].iloc[:1].assign(shape=None, scale=None)
+        x = rows["value"].to_numpy()
+        deviation = np.log(x).std()
+        if len(x) < 2 or deviation == 0:
+            return out
+        y = x / x.max()
+        ln = np.log(y)
+        k = math.pi / math.sqrt(6.0) / deviation
+        for _ in range(steps):
+            power = y**k
+            total = power.sum()
+            ratio = (power * ln).sum() / total
+            slope = -1.0 / (k * k) - ((power * ln * ln).sum() / total - ratio * ratio)
+            k = max(k - (1.0 / k + ln.mean() - ratio) / slope, k / 10.0)
+        return out.assign(shape=k, scale=x.max() * (y**k).mean() ** (1.0 / k))
+
+    return fit
+
+
 def weibull_quantile(p: float):
     return F.col("scale") * F.pow(F.lit(-math.log1p(-p)), 1.0 / F.col("shape"))
 

@@ -65,9 +65,19 @@ class Roles:
     def keys(self) -> list[str]:
         return [*self.series_columns, PHASE]
 
+    @property
+    def single(self) -> bool:
+        """All rows are one series and one phase."""
+        return not self.series_columns and self.phase is None
+
 
-def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys of which any may be null; the keys of ``left`` are kept.
+def join_keys(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, nulls: bool = True
+) -> DataFrame:
+    """Join on ``keys``; those of ``left`` are kept.
+
+    ``nulls=False`` says that no key is null: plain equality can use a partitioning
+    by the keys that is already there, null-safe equality cannot.
 
     No side is broadcast by hint: AQE broadcasts the small side once it has seen
     its size, and splits skewed partitions of a sort-merge join otherwise.
@@ -75,14 +85,43 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     condition = None
     for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+        mine, theirs = F.col(k), F.col(f"_right_{k}")
+        same = mine.eqNullSafe(theirs) if nulls else mine == theirs
         condition = same if condition is None else condition & same
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def attach_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The columns of a one-row table on every row: a scalar subquery, not a join."""
+    row = right.agg(F.first(F.struct(*right.columns))).scalar()
+    return left.withColumns({c: row.getField(c) for c in right.columns})
+
+
+@dataclass(frozen=True)
+class Sizes:
+    largest: int
+    total: int
+    nulls: bool
+
+
+def group_sizes(df: DataFrame, keys: list[str]) -> Sizes:
+    """Rows of the largest key, rows in all, and whether any key is null.
+
+    Rows are counted with a partial aggregation; one row is collected.
+    """
+    some_null = F.lit(False)
+    for k in keys:
+        some_null = some_null | F.col(k).isNull()
+    row = (
+        df.groupBy(*keys).count()
+        .agg(F.max("count"), F.sum("count"), F.max(some_null.cast("int")))
+        .first()
+    )
+    return Sizes(row[0] or 0, row[1] or 0, bool(row[2]))
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key: counted with a partial aggregation, one number collected."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return group_sizes(df, keys).largest
 
 
 def phase_column(df: DataFrame, phase: str | None) -> Column:
@@ -103,6 +142,8 @@ class Sequence:
     blocked: bool
     block_rows: int
     order: tuple[str, ...] = ()
+    nulls: bool = True
+    single: bool = False
 
     # -- plumbing -----------------------------------------------------------
     def with_df(self, df: DataFrame) -> Sequence:
@@ -140,15 +181,21 @@ class Sequence:
         out = self.df.groupBy(*self.keys).agg(*[a.alias(n) for n, a in named.items()])
         if self.blocked:
             for n, c in medians.items():
-                out = join_keys(out, medians_of(self.df, self.keys, c, n, blocked=True), self.keys)
+                out = self.joined(out, medians_of(self.df, self.keys, c, n, blocked=True))
         return out
 
+    def joined(self, left: DataFrame, right: DataFrame, *extra: str, how: str = "left") -> DataFrame:
+        """Two tables joined on the keys of this sequence (and ``extra`` columns)."""
+        if self.single and not extra and how == "left":
+            return attach_row(left, right.drop(*self.keys))
+        return join_keys(left, right, [*self.keys, *extra], how, nulls=self.nulls)
+
     def attach(
         self, aggregates: Mapping[str, Column], medians: Mapping[str, str] | None = None
     ) -> Sequence:
         """The same aggregates as columns of every row (each a single aggregate function)."""
         if self.blocked:
-            return self.with_df(join_keys(self.df, self.params(aggregates, medians), self.keys))
+            return self.with_df(self.joined(self.df, self.params(aggregates, medians)))
         everything = Window.partitionBy(*self.keys)
         columns = {n: a.over(everything) for n, a in aggregates.items()}
         columns.update({n: F.median(c).over(everything) for n, c in (medians or {}).items()})
@@ -181,15 +228,19 @@ class Sequence:
         combine: Mapping[str, Column],
         scratch: Iterable[str],
     ) -> Sequence:
-        """Scan inside blocks, scan the table of blocks, put both together."""
+        """Scan inside blocks, scan the table of blocks, put both together.
+
+        The scanned rows are read twice, for the table of blocks and for the result;
+        they are written once, so that chained scans do not multiply.
+        """
         cut, window = self._cut(self.df, self._home(self.block_rows))
-        rows = cut.withColumns({n: f(window) for n, f in local.items()})
+        rows = durable(cut.withColumns({n: f(window) for n, f in local.items()}))
         blocks = rows.groupBy(*self.keys, BLOCK).agg(*[a.alias(n) for n, a in block.items()])
         across = Window.partitionBy(*self.keys).orderBy(BLOCK)
         carries = blocks.select(
             *self.keys, BLOCK, *[f(across).alias(n) for n, f in carry.items()]
         )
-        out = join_keys(rows, carries, [*self.keys, BLOCK])
+        out = self.joined(rows, carries, BLOCK)
         out = out.withColumns(dict(combine)).drop(BLOCK, *scratch, *carry)
         return self.with_df(out)
 
@@ -321,24 +372,32 @@ def sequence(
     block_rows: int | None = None,
     blocked: bool | None = None,
     sized_by: DataFrame | None = None,
+    single: bool = False,
 ) -> Sequence:
     """Number the rows of every key from 0 in the given order.
 
     ``sized_by`` is a cheaper table with at least as many rows per key, used for
-    the size check; ``blocked`` skips the check.
+    the size check; ``blocked`` skips the check.  ``single`` says that the keys are
+    constant.
     """
     keys, order = listed(keys), listed(order)
     size = configured_block_rows(df.sparkSession, block_rows)
+    sizes = None
     if blocked is None:
-        blocked = largest_group(sized_by if sized_by is not None else df, keys) > size
+        sizes = group_sizes(sized_by if sized_by is not None else df, keys)
+        blocked = sizes.largest > size
+    nulls = sizes is None or sizes.nulls
     if not blocked:
         window = Window.partitionBy(*keys).orderBy(*order)
-        numbered = df.withColumn(IDX, (F.row_number().over(window) - 1).cast("long"))
-        return Sequence(numbered, keys, False, size, tuple(order))
-    return Sequence(_number_blocked(df, keys, order, size), keys, True, size, tuple(order))
+        df = df.withColumn(IDX, (F.row_number().over(window) - 1).cast("long"))
+    else:
+        df = _number_blocked(df, keys, order, size, sizes, nulls)
+    return Sequence(df, keys, blocked, size, tuple(order), nulls, single)
 
 
-def _number_blocked(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
+def _number_blocked(
+    df: DataFrame, keys: list[str], order: list[str], size: int, sizes: Sizes | None, nulls: bool
+) -> DataFrame:
     """Dense positions without ever sorting one key in one task.
 
     The range partitioning follows the data, so its cuts must not be drawn twice:
@@ -346,7 +405,7 @@ def _number_blocked(df: DataFrame, keys: list[str], order: list[str], size: int)
     both the table of runs and the rows themselves are read from there.
     """
     spark = df.sparkSession
-    total = df.count()
+    total = sizes.total if sizes else df.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / size))
     cuts = [*keys, *order]
     at = "_at"
@@ -370,7 +429,7 @@ def _number_blocked(df: DataFrame, keys: list[str], order: list[str], size: int)
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     return (
-        join_keys(rows, shifts, [*keys, "_part"])
+        join_keys(rows, shifts, [*keys, "_part"], nulls=nulls)
         .withColumn(IDX, F.col("_pos") + F.col("_shift"))
         .drop(at, "_part", "_pos", "_shift")
     )

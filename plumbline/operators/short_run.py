@@ -68,7 +68,8 @@ def short_run(
     off = F.col("value") - F.col("target")
     if scaling == "standardized":
         off = F.when(F.col("product_sigma") > 0, F.try_divide(off, F.col("product_sigma"))).otherwise(0.0)
-    seq = sequence(joined, roles.keys, order_of(roles), sized_by=rows, **sizing)
+    seq = sequence(joined, roles.keys, order_of(roles), sized_by=rows, single=roles.single,
+                   **sizing)
     seq = seq.with_columns({"transformed": off})
     seq = moving_range(seq, value="transformed")
     center = F.avg("transformed") if scaling == "centered" else F.avg(F.lit(0.0))

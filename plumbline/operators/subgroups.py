@@ -79,7 +79,7 @@ def subgroups(
     """
     table = subgroup_table(df, roles, statistics, missing=missing, median=median)
     sizing.setdefault("sized_by", measurements(df, roles, missing=missing))
-    seq = sequence(table, roles.keys, ["_first", "subgroup"], **sizing)
+    seq = sequence(table, roles.keys, ["_first", "subgroup"], single=roles.single, **sizing)
     keep = [*roles.keys, "idx", "subgroup", "n", *statistics, *(["median"] if median else [])]
     return seq.with_df(seq.df.select(*keep))
 

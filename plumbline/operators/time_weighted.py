@@ -20,8 +20,9 @@ from plumbline.operators.chart import (
     positive,
     zone_lines,
 )
-from plumbline.operators.series import BLOCK, IDX, Roles, Sequence, join_keys
+from plumbline.operators.series import BLOCK, IDX, Roles, Sequence
 from plumbline.operators.subgroups import subgroups
+from plumbline.session import durable
 
 
 def charted_values(df: DataFrame, roles: Roles, *, missing: str = "drop", **sizing) -> Sequence:
@@ -135,6 +136,7 @@ def cusum_statistics(seq: Sequence, z: Column, k: float, head_start: float = 0.0
             "_c_down": F.col("_down") - F.greatest(F.lit(0.0), F.max("_down").over(w)),
         }
     )
+    rows = durable(rows)
     blocks = rows.groupBy(*seq.keys, BLOCK).agg(
         *[F.max_by(c, IDX).alias(c) for c in ("_up", "_down", "_c_up", "_c_down")]
     )
@@ -144,7 +146,7 @@ def cusum_statistics(seq: Sequence, z: Column, k: float, head_start: float = 0.0
             {"_in_up": F.lit(0.0), "_in_down": F.lit(0.0)}
         ).schema,
     )
-    rows = join_keys(rows, inflow, [*seq.keys, BLOCK]).withColumns(
+    rows = seq.joined(rows, inflow, BLOCK).withColumns(
         {
             "c_plus": F.greatest(F.col("_c_up"), F.col("_in_up") + F.col("_up")),
             "c_minus": F.least(F.col("_c_down"), F.col("_in_down") + F.col("_down")),

@@ -231,7 +231,7 @@ def _spread_chart(kind: str, statistic: str, df, roles, k_sigma, missing, sizing
     positive(k_sigma, "k_sigma")
     seq, sigma = _dispersion(df, roles, statistic, missing, sizing)
     column, wide = ("range", k.d3) if statistic == "range" else ("std", k.c5)
-    seq = seq.with_df(join_keys(seq.df, typical_size(seq), seq.keys))
+    seq = seq.with_df(seq.joined(seq.df, typical_size(seq)))
     return build(
         kind,
         seq,

@@ -9,6 +9,7 @@ from plumbline.operators.prep import numeric, trimmed
 from plumbline.operators.series import IDX, listed, sequence
 
 SAMPLE_ROWS = 50
+MAX_COLUMNS = 10_000
 MAJORITY = 0.8
 
 # Date shapes that count as a datetime, and names that suggest a role.
@@ -175,12 +176,15 @@ def write_csv(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
 def document_columns(df: DataFrame, raw: str, order: str) -> list[str]:
     """Union of the keys of all documents, in order of first appearance.
 
-    A dataset has few distinct keys; only those come to the driver.
+    They become columns, so they are few; more than MAX_COLUMNS is an error.
     """
     keys = F.posexplode(F.json_object_keys(raw))
     table = df.select(F.col(order).alias("_at"), keys.alias("_pos", "key"))
     first = table.groupBy("key").agg(F.min(F.struct("_at", "_pos")).alias("_first"))
-    return [r["key"] for r in first.orderBy("_first").collect()]
+    names = [r["key"] for r in first.orderBy("_first").limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"the documents have more than {MAX_COLUMNS} distinct keys")
+    return names
 
 
 def document_table(df: DataFrame, raw: str, order: str, columns: list[str] | None = None) -> DataFrame:

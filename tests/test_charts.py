@@ -147,6 +147,8 @@ def test_t_chart(spark):
     # likelihood equations hold
     assert 1 / k + np.log(x).mean() == pytest.approx((x**k * np.log(x)).sum() / (x**k).sum())
     assert beta == pytest.approx((x**k).mean() ** (1 / k))
+    big = rare_events.t(rows(spark, mixed), ONE, blocked=True, block_rows=3).params.first()
+    assert (big["shape"], big["scale"]) == pytest.approx((k, beta))
     none = rare_events.t(rows(spark, [0.0, 4.0, 0.0]), ONE).params.first()
     assert none["shape"] is None
 
