@@ -513,7 +513,7 @@ def ewma_of_subgroup_means(spark, d):
 @case("ewma_forecast", "C20", f"{SERIES} forecast~", EWMA_SQL + """,
 answer AS (SELECT event_type, phase, max_by(value, idx) AS forecast FROM ew GROUP BY ALL)""")
 def ewma_forecast(spark, d):
-    return time_weighted.ewma(events(spark, d), EVENT_VALUES).notes["forecast"]
+    return time_weighted.ewma(events(spark, d), EVENT_VALUES).note("forecast")
 
 
 CUSUM_SQL = EVENTS + """,
@@ -552,7 +552,7 @@ lg AS (
 answer AS (SELECT *, idx AS signal_idx, coalesce(zero + 1, 0) AS shift_start FROM lg
            WHERE sig AND NOT coalesce(was, false))""")
 def cusum_shift_starts(spark, d):
-    return time_weighted.cusum(events(spark, d), EVENT_VALUES, h=3.0).notes["shifts"]
+    return time_weighted.cusum(events(spark, d), EVENT_VALUES, h=3.0).note("shifts")
 
 
 @case("cusum_vmask_chart", "C22", f"{SERIES} idx# value^ ucl~ cl~ lcl~ vertex_x~ vertex_y^ upper_slope~ lower_slope~ signal",

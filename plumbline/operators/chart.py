@@ -46,15 +46,20 @@ class Chart:
     params: DataFrame
     sequence: Sequence
     k_sigma: float
-    values: DataFrame | None = None
     secondary: Sequence | None = None
     extra_columns: tuple[str, ...] = ()
-    notes: dict[str, DataFrame] = field(default_factory=dict)
+    notes: Mapping[str, Callable[[], DataFrame]] = field(default_factory=dict)
 
     @property
     def points(self) -> DataFrame:
         return self.sequence.df.select(*self.keys, IDX, *POINT_COLUMNS, *self.extra_columns)
 
+    def note(self, name: str) -> DataFrame:
+        """A further table of the chart, planned when asked for."""
+        if name not in self.notes:
+            raise ValueError(f"chart {self.kind} has no {name}; it has {sorted(self.notes)}")
+        return self.notes[name]()
+
     @property
     def secondary_points(self) -> DataFrame:
         """The dispersion half of a paired chart (moving ranges, ranges, deviations)."""
@@ -103,7 +108,7 @@ def build(
     secondary: Callable[[Sequence], Sequence] | None = None,
     finish: Callable[[Sequence], Sequence] | None = None,
     extra_columns: tuple[str, ...] = (),
-    values: DataFrame | None = None,
+    notes: Mapping[str, Callable[[], DataFrame]] | None = None,
 ) -> Chart:
     """Aggregate per key, derive the parameters, draw the lines.
 
@@ -119,7 +124,7 @@ def build(
     full = full.with_columns(lines)
     if finish:
         full = finish(full)
-    return Chart(kind, seq.keys, params, full, k_sigma, values, pair, extra_columns)
+    return Chart(kind, seq.keys, params, full, k_sigma, pair, extra_columns, notes or {})
 
 
 def build_joined(

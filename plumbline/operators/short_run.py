@@ -73,7 +73,7 @@ def short_run(
     seq = seq.with_columns({"transformed": off})
     seq = moving_range(seq, value="transformed")
     center = F.avg("transformed") if scaling == "centered" else F.avg(F.lit(0.0))
-    chart = build(
+    return build(
         "short_run",
         seq,
         {"center": center, "mr_bar": F.avg("mr"), "n_used": F.count("value")},
@@ -90,9 +90,8 @@ def short_run(
         k_sigma=k_sigma,
         secondary=_dispersion,
         extra_columns=("product", "observed"),
+        notes={"products": lambda: stats},
     )
-    chart.notes["products"] = stats
-    return chart
 
 
 def _dispersion(seq: Sequence) -> Sequence:

@@ -68,8 +68,8 @@ def ewma(
     positive(k_sigma, "k_sigma")
     if not 0 < lam <= 1:
         raise ValueError(f"lam must be in (0, 1], got {lam}")
-    raw = charted_values(df, roles, missing=missing, **sizing)
-    seq, params = _fitted(raw, target, None)
+    seq = charted_values(df, roles, missing=missing, **sizing)
+    seq, params = _fitted(seq, target, None)
     seq = seq.smoothed(lam, {"ewma": (F.col("value"), F.col("target"))})
     seq = seq.frame(
         1,
@@ -95,8 +95,11 @@ def ewma(
         },
         {"signal": (F.col("value") > F.col("ucl")) | (F.col("value") < F.col("lcl"))},
     )
-    forecast = seq.df.groupBy(*seq.keys).agg(F.max_by("ewma", IDX).alias("forecast"))
-    return Chart("ewma", seq.keys, params, seq, k_sigma, raw.df,
+
+    def forecast() -> DataFrame:
+        return seq.df.groupBy(*seq.keys).agg(F.max_by("ewma", IDX).alias("forecast"))
+
+    return Chart("ewma", seq.keys, params, seq, k_sigma,
                  extra_columns=("observed", "residual", "signal"), notes={"forecast": forecast})
 
 
@@ -223,8 +226,8 @@ def cusum(
     """Tabular CUSUM; charts C+ between -h and h, C- alongside."""
     positive(k_sigma, "k_sigma")
     _check_cusum(h, k, head_start)
-    raw = charted_values(df, roles, missing=missing, **sizing)
-    seq, params = _fitted(raw, target, sigma)
+    seq = charted_values(df, roles, missing=missing, **sizing)
+    seq, params = _fitted(seq, target, sigma)
     seq = cusum_statistics(seq, _standardized(), k, head_start)
     seq = seq.with_columns(
         {
@@ -238,9 +241,9 @@ def cusum(
             **zone_lines(F.lit(0.0), F.col("sigma_hat")),
         }
     )
-    return Chart("cusum", seq.keys, params, seq, k_sigma, raw.df,
+    return Chart("cusum", seq.keys, params, seq, k_sigma,
                  extra_columns=("observed", "c_minus", "signal_upper", "signal_lower"),
-                 notes={"shifts": shift_starts(seq)})
+                 notes={"shifts": lambda: shift_starts(seq)})
 
 
 def cusum_vmask(
@@ -260,8 +263,8 @@ def cusum_vmask(
     positive(k_sigma, "k_sigma")
     _check_cusum(h, k, 0.0)
     positive(d_units, "d_units")
-    raw = charted_values(df, roles, missing=missing, **sizing)
-    seq, params = _fitted(raw, target, sigma)
+    seq = charted_values(df, roles, missing=missing, **sizing)
+    seq, params = _fitted(seq, target, sigma)
     seq = seq.running_sum(_sum=_standardized())
     seq = cusum_statistics(seq, _standardized(), k)
     lead = h / (2.0 * k)
@@ -281,6 +284,6 @@ def cusum_vmask(
         }
     )
     mask = {"lead_distance": F.lit(lead), "half_angle": F.lit(math.atan(k / d_units))}
-    return Chart("cusum_vmask", seq.keys, params.withColumns(mask), seq, k_sigma, raw.df,
+    return Chart("cusum_vmask", seq.keys, params.withColumns(mask), seq, k_sigma,
                  extra_columns=("observed", "vertex_x", "vertex_y", "upper_slope", "lower_slope",
                                 "signal"))

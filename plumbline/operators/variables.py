@@ -74,7 +74,6 @@ def imr(
         k_sigma=k_sigma,
         medians=medians,
         secondary=lambda s: _range_part(s, k_sigma, 2),
-        values=seq.df,
     )
 
 
@@ -103,7 +102,6 @@ def _overall(seq: Sequence, k_sigma: float, kind: str) -> Chart:
         {"method": F.lit("levey_jennings")},
         {**band("center", k_sigma * F.col("sigma_hat")), **zone_lines("center", "sigma_hat")},
         k_sigma=k_sigma,
-        values=seq.df,
     )
 
 
@@ -321,7 +319,6 @@ def run_chart(
         {**band("center", k_sigma * F.col("sigma_hat")), **zone_lines("center", "sigma_hat")},
         k_sigma=k_sigma,
         medians=medians,
-        values=seq.df,
     )
     side = F.when(F.col("value") > F.col("cl"), 1).when(F.col("value") < F.col("cl"), -1)
     sided = chart.sequence.with_columns({"_side": side.otherwise(0)})
@@ -331,9 +328,7 @@ def run_chart(
     )
     params = join_keys(chart.params, sides, seq.keys)
     params = join_keys(params, count_runs(sided, "_side"), seq.keys)
-    return Chart(
-        "run", seq.keys, runs_test(params), chart.sequence, k_sigma, values=seq.df
-    )
+    return Chart("run", seq.keys, runs_test(params), chart.sequence, k_sigma)
 
 
 def runs_test(params: DataFrame) -> DataFrame:

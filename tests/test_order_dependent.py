@@ -101,7 +101,7 @@ def test_ewma(table, series, mode, lam):
         np.testing.assert_allclose(got[s]["value"], want, rtol=1e-12)
         before = np.r_[9.5, want[:-1]]
         np.testing.assert_allclose(got[s]["residual"], v - before, atol=1e-9)
-    ends = {r["s"]: r["forecast"] for r in chart.notes["forecast"].collect()}
+    ends = {r["s"]: r["forecast"] for r in chart.note("forecast").collect()}
     assert ends["s5"] == pytest.approx(loops.ewma(series["s5"], 9.5, lam)[-1])
 
 
@@ -112,7 +112,7 @@ def test_cusum_and_shift_starts(table, series, mode, head):
         table, ROLES, target=10.0, sigma=1.0, h=4.0, k=0.5, head_start=head, **mode
     )
     got = by_series(chart.points, "value", "c_minus", "signal_upper", "signal_lower")
-    starts = chart.notes["shifts"].toPandas()
+    starts = chart.note("shifts").toPandas()
     for s, v in series.items():
         up, down = loops.cusum(v, 10.0, 1.0, 0.5, head)
         np.testing.assert_allclose(got[s]["value"], up, atol=1e-9)
