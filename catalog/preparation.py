@@ -46,7 +46,7 @@ def csv_preview(spark, d):
     return tables.preview(tables.ordered_rows(table(spark, d, "orders"), "o_orderkey"))
 
 
-def _type_sql(columns: list[str]) -> str:
+def _type_sql(columns: list[str], source: str = "events", order: str = "event_id") -> str:
     parts = [
         f"""SELECT '{c}' AS name, {i} AS ordinal, count(v) AS present,
   count(TRY_CAST(v AS DOUBLE)) AS numbers, count(*) FILTER (TRY_CAST(v AS DOUBLE) IS NULL AND
@@ -55,7 +55,7 @@ def _type_sql(columns: list[str]) -> str:
         for i, c in enumerate(columns)
     ]
     return (
-        "first50 AS (SELECT * FROM events ORDER BY event_id LIMIT 50), counted AS ("
+        f"first50 AS (SELECT * FROM {source} ORDER BY {order} LIMIT 50), counted AS ("
         + " UNION ALL ".join(parts)
         + """), typed AS (SELECT name, ordinal, CASE WHEN numbers / present > 0.8 THEN 'numeric'
   WHEN dates / present > 0.8 THEN 'datetime' ELSE 'text' END AS dtype FROM counted)"""
@@ -76,10 +76,11 @@ def role_suggestions(spark, d):
     return tables.schema_profile(events(spark, d), "event_id")
 
 
-@case("role_fallback", "S4", "name ordinal# dtype role", """
-answer AS (SELECT * FROM (VALUES ('o_orderkey', 0, 'numeric', 'value'), ('o_orderstatus', 1, 'text', NULL),
-  ('stage', 2, 'text', 'phase'), ('o_orderdate', 3, 'datetime', NULL)) t(name, ordinal, dtype, role)
-  WHERE (SELECT count(*) FROM orders) > 0)""")
+@case("role_fallback", "S4", "name ordinal# dtype role", "staged AS (SELECT *, o_orderpriority AS stage FROM orders), "
+      + _type_sql(["o_orderkey", "o_orderstatus", "stage", "o_orderdate"], "staged", "o_orderkey") + """,
+answer AS (
+  SELECT *, CASE WHEN ordinal = (SELECT min(ordinal) FROM typed WHERE dtype = 'numeric') THEN 'value'
+                 WHEN name = 'stage' THEN 'phase' END AS role FROM typed)""")
 def role_fallback(spark, d):
     rows = table(spark, d, "orders").select(
         "o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("stage"), "o_orderdate"

@@ -7,14 +7,19 @@ charted rows.
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NORMAL = NormalDist()
 
+# Ship these functions with the tasks, so that workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def lower_gamma(a: float, x: float) -> float:
     """Regularized lower incomplete gamma: series below a + 1, continued fraction above."""

@@ -34,6 +34,12 @@ CENTERING_WARNING = 0.78
 EXPECTED_ZONE_C = 0.6827
 RANK = {"good": 0, "info": 1, "warning": 2, "danger": 3}
 HEALTH = {"good": "Healthy", "info": "Normal", "warning": "Attention", "danger": "Critical"}
+TITLES = {
+    "stability": {"good": "Process Stable", "warning": "Minor Instability", "danger": "Process Unstable"},
+    "capability": {"good": "Capable", "warning": "Marginal Capability", "danger": "Not Capable"},
+    "centering": {"good": "Well Centered", "warning": "Off Center", "danger": "Significantly Off Center"},
+}
+STABLE = "No rule violations detected. Process is in statistical control."
 CATEGORIES = ("stability", "capability", "statistical", "pattern")
 
 
@@ -145,6 +151,15 @@ def _entry(generator: str, category: str, severity, title, label: str, value: Co
     )
 
 
+def _title(generator: str, severity: Column) -> Column:
+    by_severity = TITLES[generator]
+    return (
+        F.when(severity == "good", by_severity["good"])
+        .when(severity == "warning", by_severity["warning"])
+        .otherwise(by_severity["danger"])
+    )
+
+
 def _total(columns: list[Column]) -> Column:
     return sum(columns[1:], columns[0]) if columns else F.lit(0)
 
@@ -160,13 +175,10 @@ def stability(f: Facts) -> list[Column]:
         & (percent <= f.limits["max_ooc_percent"])
     )
     severity = F.when(flags == 0, "good").when(minor, "warning").otherwise("danger")
-    title = (
-        F.when(flags == 0, "Process Stable").when(minor, "Minor Instability")
-        .otherwise("Process Unstable")
+    detail = F.when(flags == 0, STABLE).otherwise(
+        F.format_string("%d rules triggered across %d points", fired, flags)
     )
-    detail = F.when(
-        flags == 0, "No rule violations detected. Process is in statistical control."
-    ).otherwise(F.format_string("%d rules triggered across %d points", fired, flags))
+    title = _title("stability", severity)
     return [_entry("stability", "stability", severity, title, "OOC Points", flags, detail)]
 
 
@@ -205,10 +217,7 @@ def capability_verdict(f: Facts) -> list[Column]:
         return []
     g = grade(F.col("cpk"), f.limits["cpk"], f.limits["cpk_marginal"])
     severity = F.when(g == "good", "good").when(g == "marginal", "warning").otherwise("danger")
-    title = (
-        F.when(g == "good", "Capable").when(g == "marginal", "Marginal Capability")
-        .otherwise("Not Capable")
-    )
+    title = _title("capability", severity)
     detail = F.format_string("Cp %.2f, Cpk %.2f, Pp %.2f, Ppk %.2f", "cp", "cpk", "pp", "ppk")
     entry = _entry("capability", "capability", severity, title, "Cpk", F.col("cpk"), detail)
     return [F.when(F.col("cpk").isNotNull(), entry)]
@@ -220,10 +229,7 @@ def centering(f: Facts) -> list[Column]:
     ratio, good = F.try_divide("cpk", "cp"), f.limits["centering"]
     low = good * CENTERING_WARNING
     severity = F.when(ratio >= good, "good").when(ratio >= low, "warning").otherwise("danger")
-    title = (
-        F.when(ratio >= good, "Well Centered").when(ratio >= low, "Off Center")
-        .otherwise("Significantly Off Center")
-    )
+    title = _title("centering", severity)
     detail = F.format_string("Cpk/Cp ratio: %.0f%%", ratio * 100.0)
     entry = _entry("centering", "capability", severity, title, "Cpk/Cp", ratio, detail)
     return [F.when(ratio.isNotNull(), entry)]

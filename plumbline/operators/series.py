@@ -454,7 +454,11 @@ def order_statistics(
     if blocked is None:
         blocked = largest_group(present, keys) > size
     counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    seq = sequence(counts, keys, "_v", blocked=blocked, block_rows=size)
+    if blocked:
+        # many rows, but perhaps few values: write the counts down and look at them
+        seq = sequence(durable(counts), keys, "_v", block_rows=size)
+    else:
+        seq = sequence(counts, keys, "_v", blocked=False, block_rows=size)
     seq = seq.attach({"_total": F.sum("_n")}).running_sum(_upto=F.col("_n"))
 
     def hit(rank: Column) -> Column:

@@ -12,11 +12,13 @@ from plumbline.operators.series import (
     PHASE,
     Roles,
     Sequence,
+    group_sizes,
     join_keys,
     medians_of,
     phase_column,
     sequence,
 )
+from plumbline.session import block_rows, durable
 
 STATISTICS = {
     "mean": F.avg,
@@ -74,11 +76,18 @@ def subgroups(
 ) -> Sequence:
     """Subgroup statistics numbered in order of first appearance.
 
-    There are never more subgroups than rows, so the raw rows serve as the
-    (cheaper) size check.
+    There are never more subgroups than rows, so the raw rows serve as a cheap size
+    check.  If they are too many for one task, the subgroups are written down and
+    counted themselves: mostly they are few.
     """
     table = subgroup_table(df, roles, statistics, missing=missing, median=median)
-    sizing.setdefault("sized_by", measurements(df, roles, missing=missing))
+    if sizing.get("blocked") is None:
+        limit = block_rows(df.sparkSession, sizing.get("block_rows"))
+        raw = group_sizes(measurements(df, roles, missing=missing), roles.keys)
+        if raw.largest <= limit:
+            sizing["blocked"] = False
+        else:
+            table = durable(table)
     seq = sequence(table, roles.keys, ["_first", "subgroup"], single=roles.single, **sizing)
     keep = [*roles.keys, "idx", "subgroup", "n", *statistics, *(["median"] if median else [])]
     return seq.with_df(seq.df.select(*keep))

@@ -337,3 +337,13 @@ def test_constants():
 def test_bad_arguments(spark, kind, options):
     with pytest.raises(ValueError):
         draw(kind, rows(spark, [1, 2, 3]), ONE, **options)
+
+
+def test_many_rows_in_few_subgroups_stay_in_one_piece(spark):
+    df = grouped(spark, [[float(i % 7 + g) for i in range(40)] for g in range(5)])
+    few = variables.xbar_r(df, GROUPED, block_rows=50)
+    many = variables.xbar_r(df, Roles("x", "t"), block_rows=50)
+    assert not few.sequence.blocked and many.sequence.blocked
+    whole = variables.xbar_r(df, GROUPED)
+    assert sorted(map(tuple, few.points.collect())) == sorted(map(tuple, whole.points.collect()))
+    assert many.points.count() == 200
