@@ -117,4 +117,4 @@ def _residual_ranges(seq: Sequence, binomial: bool) -> Sequence:
     sigma = (binomial_sigma if binomial else poisson_sigma)(F.col("_rate"), F.col("n"))
     z = (F.col("x") / F.col("n") - F.col("_rate")) / F.when(sigma > 0, sigma).otherwise(1.0)
     seq = moving_range(seq.with_columns({"_z": z}), value="_z", name="z_mr")
-    return seq.with_df(seq.df.drop("_z", "_rate", "_x", "_n"))
+    return seq.drop("_z", "_rate", "_x", "_n")

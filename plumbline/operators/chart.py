@@ -138,7 +138,7 @@ def build_joined(
 ) -> Chart:
     """As ``build`` for parameters that need more than plain aggregates (quantiles,
     fits, inverses): they are computed per key and joined to the rows."""
-    rows = seq.with_df(seq.joined(seq.df, params))
+    rows = seq.beside(params)
     steps = [lines] if isinstance(lines, Mapping) else list(lines)
     return Chart(kind, seq.keys, params, rows.with_columns(*steps), k_sigma,
                  extra_columns=extra_columns)

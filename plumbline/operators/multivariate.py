@@ -17,11 +17,13 @@ from plumbline.functions.quantiles import chi2_quantile, f_quantile_of
 from plumbline.operators.chart import Chart, order_of, positive, zone_lines
 from plumbline.operators.series import (
     IDX,
+    LOOK_BACK,
     PHASE,
     Roles,
     Sequence,
     phase_column,
     sequence,
+    smoothing_back,
 )
 
 UNROLLED = 10
@@ -175,7 +177,7 @@ def hotelling_t2(
     else:
         limit = F.lit(chi2_quantile(1.0 - alpha, p))
     params = _params(params.withColumn("limit", limit), "hotelling_t2", k_sigma)
-    rows = seq.with_df(seq.joined(seq.df, params))
+    rows = seq.beside(params)
     shares, t2 = quadratic_form([F.col(f"v{i}") - F.get("mean_vector", i) for i in range(p)])
     rows = rows.with_columns({"contributions": shares, "value": t2}, *_lines(k_sigma))
     return Chart("hotelling_t2", seq.keys, params, rows, k_sigma,
@@ -209,8 +211,8 @@ def mewma(
     params = moments(seq, p, known_mean, known_cov)
     limit = F.lit(chi2_quantile(1.0 - alpha, p))
     params = _params(params.withColumn("limit", limit), "mewma", k_sigma)
-    rows = seq.with_df(seq.joined(seq.df, params))
-    rows = rows.smoothed(
+    rows = seq.beside(params)
+    rows = rows.reserve(smoothing_back(lam) + LOOK_BACK).smoothed(
         lam,
         {f"z{i}": (F.col(f"v{i}") - F.get("mean_vector", i), F.lit(0.0)) for i in range(p)},
     )

@@ -204,7 +204,7 @@ def with_rules(
 
     halo = max([r.halo for r in rules.values()] + ([1] if also else []))
     seq = seq.frame(halo, *helpers, flags)
-    return seq.with_df(seq.df.drop("_step", "_turn"))
+    return seq.drop("_step", "_turn")
 
 
 def point_rules(flagged: Sequence, rules: Iterable[str]) -> DataFrame:

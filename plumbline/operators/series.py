@@ -135,39 +135,84 @@ def phase_column(df: DataFrame, phase: str | None) -> Column:
     return F.when(blank, F.lit("default")).otherwise(text)
 
 
+# Copies of earlier rows a block is given when it is first cut: enough for a lag and
+# all rules in turn.
+LOOK_BACK = 64
+
+
 @dataclass(frozen=True)
 class Sequence:
-    df: DataFrame
+    """Numbered rows, and how to compute over them.
+
+    ``held`` are the rows; once cut into blocks it also has copies of the rows before
+    each block, of which the nearest ``copies`` are still good to look back on.
+    ``df`` are the rows alone.
+    """
+
+    held: DataFrame
     keys: list[str]
     blocked: bool
     block_rows: int
     order: tuple[str, ...] = ()
     nulls: bool = True
     single: bool = False
+    copies: int | None = None
+    reserved: int = LOOK_BACK
 
     # -- plumbing -----------------------------------------------------------
+    @property
+    def df(self) -> DataFrame:
+        return self.held if self.copies is None else self._own().drop(BLOCK)
+
     def with_df(self, df: DataFrame) -> Sequence:
-        return replace(self, df=df)
+        """Other rows under the same numbering."""
+        return replace(self, held=df, copies=None)
 
     def with_columns(self, *steps: Mapping[str, Column]) -> Sequence:
-        df = self.df
+        held = self.held
         for step in steps:
-            df = df.withColumns(dict(step))
-        return self.with_df(df)
+            held = held.withColumns(dict(step))
+        return replace(self, held=held)
+
+    def drop(self, *columns: str) -> Sequence:
+        return replace(self, held=self.held.drop(*columns))
+
+    def reserve(self, rows: int) -> Sequence:
+        """Foresee look-backs of ``rows`` in all, so that they share one shuffle."""
+        return replace(self, reserved=max(self.reserved, rows))
 
     def _window(self) -> WindowSpec:
         # Rows are already sorted by the order columns; asking for idx would sort again.
-        kept = self.order and set(self.order) <= set(self.df.columns)
+        kept = self.order and set(self.order) <= set(self.held.columns)
         return Window.partitionBy(*self.keys).orderBy(*(self.order if kept else (IDX,)))
 
-    def _cut(self, df: DataFrame, block: Column) -> tuple[DataFrame, WindowSpec]:
-        # The explicit repartition matters: a window over (keys, block) would also
-        # accept rows already hashed by keys alone, i.e. a giant key in one task.
-        cut = df.withColumn(BLOCK, block).repartition(*self.keys, BLOCK)
-        return cut, Window.partitionBy(*self.keys, BLOCK).orderBy(IDX)
+    def _block_window(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys, BLOCK).orderBy(IDX)
 
-    def _home(self, size: int) -> Column:
-        return F.floor(F.col(IDX) / size)
+    def _home(self) -> Column:
+        return F.floor(F.col(IDX) / self.block_rows)
+
+    def _own(self) -> DataFrame:
+        return self.held.where(F.col(BLOCK) == self._home())
+
+    def _cut(self, copies: int = 0) -> Sequence:
+        """Blocks with at least ``copies`` rows to look back on.
+
+        The windows that follow bring the shuffle by (keys, block); without any, none
+        happens.  They would also accept rows hashed by the keys alone, i.e. a giant
+        key in one task, so nothing before may leave them so (see ``beside``).
+        """
+        if self.copies is not None and self.copies >= copies:
+            return self
+        seq = self.with_df(self.df)
+        if copies:
+            copies = max(copies, min(self.reserved, self.block_rows))
+            seq = replace(seq, block_rows=max(self.block_rows, copies))
+        home, size = seq._home(), seq.block_rows
+        late = F.col(IDX) % size >= size - copies
+        block = F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home)))
+        held = seq.held.withColumn(BLOCK, block if copies else home)
+        return replace(seq, held=held, copies=copies)
 
     # -- aggregates of a whole key -------------------------------------------
     def params(
@@ -190,34 +235,45 @@ class Sequence:
             return attach_row(left, right.drop(*self.keys))
         return join_keys(left, right, [*self.keys, *extra], how, nulls=self.nulls)
 
+    def beside(self, params: DataFrame) -> Sequence:
+        """Parameters of each key on its rows.
+
+        In blocked form the join is null-safe whatever the keys: Spark then hashes
+        expressions of the keys, never the keys themselves, and a later window over
+        (keys, block) shuffles by both.
+        """
+        if self.blocked and not self.single:
+            return self.with_df(join_keys(self.df, params, self.keys))
+        return self.with_df(self.joined(self.df, params))
+
     def attach(
         self, aggregates: Mapping[str, Column], medians: Mapping[str, str] | None = None
     ) -> Sequence:
         """The same aggregates as columns of every row (each a single aggregate function)."""
-        if self.blocked:
-            return self.with_df(self.joined(self.df, self.params(aggregates, medians)))
-        everything = Window.partitionBy(*self.keys)
-        columns = {n: a.over(everything) for n, a in aggregates.items()}
-        columns.update({n: F.median(c).over(everything) for n, c in (medians or {}).items()})
-        return self.with_columns(columns)
+        if not self.blocked:
+            everything = Window.partitionBy(*self.keys)
+            columns = {n: a.over(everything) for n, a in aggregates.items()}
+            columns.update({n: F.median(c).over(everything) for n, c in (medians or {}).items()})
+            return self.with_columns(columns)
+        if self.copies is None:
+            return self.beside(self.params(aggregates, medians))
+        # One parameter row per block: the rows stay where they are, and those of a
+        # giant key are never asked to meet by key alone.
+        params = self.params({**aggregates, "_last": F.max(IDX)}, medians)
+        blocks = F.sequence(F.lit(0), F.floor(F.col("_last") / self.block_rows) + 1)
+        params = params.withColumn(BLOCK, F.explode(blocks)).drop("_last")
+        return replace(self, held=self.joined(self.held, params, BLOCK))
 
     # -- bounded frames -------------------------------------------------------
-    def frame(self, halo: int, *steps: Callable[[WindowSpec], Mapping[str, Column]]) -> Sequence:
-        """Add columns computed over at most ``halo`` preceding rows of the key."""
-        if not self.blocked:
-            window, out = self._window(), self.df
-            for step in steps:
-                out = out.withColumns(dict(step(window)))
-            return self.with_df(out)
-        size = max(self.block_rows, halo)
-        home = self._home(size)
-        copies = F.when(
-            F.col(IDX) % size >= size - halo, F.array(home, home + 1)
-        ).otherwise(F.array(home))
-        out, window = self._cut(self.df, F.explode(copies))
+    def frame(self, back: int, *steps: Callable[[WindowSpec], Mapping[str, Column]]) -> Sequence:
+        """Add columns computed over at most ``back`` preceding rows of the key."""
+        seq = self._cut(back) if self.blocked else self
+        window = seq._block_window() if self.blocked else seq._window()
+        held = seq.held
         for step in steps:
-            out = out.withColumns(dict(step(window)))
-        return self.with_df(out.where(F.col(BLOCK) == home).drop(BLOCK))
+            held = held.withColumns(dict(step(window)))
+        left = seq.copies - back if self.blocked else None
+        return replace(seq, held=held, copies=left)
 
     # -- prefix scans ----------------------------------------------------------
     def _carried(
@@ -233,8 +289,8 @@ class Sequence:
         The scanned rows are read twice, for the table of blocks and for the result;
         they are written once, so that chained scans do not multiply.
         """
-        cut, window = self._cut(self.df, self._home(self.block_rows))
-        rows = durable(cut.withColumns({n: f(window) for n, f in local.items()}))
+        rows, window = self._cut()._own(), self._block_window()
+        rows = durable(rows.withColumns({n: f(window) for n, f in local.items()}))
         blocks = rows.groupBy(*self.keys, BLOCK).agg(*[a.alias(n) for n, a in block.items()])
         across = Window.partitionBy(*self.keys).orderBy(BLOCK)
         carries = blocks.select(
@@ -318,8 +374,7 @@ class Sequence:
         if lam == 1.0:
             return self.with_columns({n: x for n, (x, _) in columns.items()})
         keep = 1.0 - lam
-        m = max(1, int(math.log(1e-30) / math.log(keep)))
-        reach = max(1, math.ceil(math.log(1e-20) / (m * math.log(keep))))
+        m, reach = stretches(lam)
         fade = keep**m
         at = F.col(IDX) % m + 1
         decay = F.pow(F.lit(keep), at)
@@ -354,14 +409,29 @@ class Sequence:
             return build
 
         seq = self.with_columns({"_stretch": F.floor(F.col(IDX) / m)})
-        seq = seq.frame(m * (reach + 1), within, *[chained(i) for i in range(1, reach + 1)])
+        seq = seq.frame(smoothing_back(lam), within, *[chained(i) for i in range(1, reach + 1)])
         flow = {
             n: F.col(f"_s0_{n}")
             + decay * F.coalesce(F.col(f"_s{reach}_{n}"), F.lit(0.0))
             + F.pow(F.lit(keep), F.col(IDX) + 1) * start
             for n, (_, start) in columns.items()
         }
-        return seq.with_df(seq.df.withColumns(flow).drop(*scratch))
+        return seq.with_columns(flow).drop(*scratch)
+
+
+def stretches(lam: float) -> tuple[int, int]:
+    """Rows per stretch, and how many stretches back matter, for smoothing with ``lam``."""
+    if lam == 1.0:
+        return 0, 0
+    decay = math.log(1.0 - lam)
+    m = max(1, int(math.log(1e-30) / decay))
+    return m, max(1, math.ceil(math.log(1e-20) / (m * decay)))
+
+
+def smoothing_back(lam: float) -> int:
+    """Rows that smoothing with ``lam`` looks back on."""
+    m, reach = stretches(lam)
+    return m * (reach + 1)
 
 
 def sequence(

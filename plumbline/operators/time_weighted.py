@@ -20,7 +20,14 @@ from plumbline.operators.chart import (
     positive,
     zone_lines,
 )
-from plumbline.operators.series import BLOCK, IDX, Roles, Sequence
+from plumbline.operators.series import (
+    BLOCK,
+    IDX,
+    LOOK_BACK,
+    Roles,
+    Sequence,
+    smoothing_back,
+)
 from plumbline.operators.subgroups import subgroups
 from plumbline.session import durable
 
@@ -69,6 +76,7 @@ def ewma(
     if not 0 < lam <= 1:
         raise ValueError(f"lam must be in (0, 1], got {lam}")
     seq = charted_values(df, roles, missing=missing, **sizing)
+    seq = seq.reserve(smoothing_back(lam) + LOOK_BACK)
     seq, params = _fitted(seq, target, None)
     seq = seq.smoothed(lam, {"ewma": (F.col("value"), F.col("target"))})
     seq = seq.frame(
@@ -128,10 +136,10 @@ def cusum_statistics(seq: Sequence, z: Column, k: float, head_start: float = 0.0
                 "c_minus": F.col("_down") - F.greatest(F.lit(head_start), F.max("_down").over(w)),
             },
         )
-        return seq.with_df(seq.df.drop("_z", "_up", "_down"))
-    cut, window = seq._cut(seq.df, seq._home(seq.block_rows))
-    w = window.rowsBetween(*upto)
-    rows = cut.withColumns(
+        return seq.drop("_z", "_up", "_down")
+    seq = seq._cut()
+    w = seq._block_window().rowsBetween(*upto)
+    rows = seq._own().withColumns(
         {"_up": F.sum(F.col("_z") - k).over(w), "_down": F.sum(F.col("_z") + k).over(w)}
     ).withColumns(
         {

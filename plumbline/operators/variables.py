@@ -229,7 +229,7 @@ def _spread_chart(kind: str, statistic: str, df, roles, k_sigma, missing, sizing
     positive(k_sigma, "k_sigma")
     seq, sigma = _dispersion(df, roles, statistic, missing, sizing)
     column, wide = ("range", k.d3) if statistic == "range" else ("std", k.c5)
-    seq = seq.with_df(seq.joined(seq.df, typical_size(seq)))
+    seq = seq.beside(typical_size(seq))
     return build(
         kind,
         seq,
@@ -268,7 +268,7 @@ def count_runs(seq: Sequence, side: str) -> DataFrame:
         )
         return kept.groupBy(*seq.keys).agg(F.sum("_turn").alias("n_runs"))
     # Per block: turns inside it, and its first and last side for the seams.
-    cut, w = seq._cut(seq.df.where(F.col(side) != 0), seq._home(seq.block_rows))
+    cut, w = seq._cut()._own().where(F.col(side) != 0), seq._block_window()
     previous = F.lag(side).over(w)
     turn = F.when(previous != F.col(side), 1).otherwise(0)
     blocks = (
