@@ -203,3 +203,11 @@ def test_size_check_picks_blocks(spark, table):
         assert individuals(table, ROLES).blocked
     finally:
         spark.conf.unset("spark.plumbline.blockRows")
+
+
+def test_giant_keys_are_never_ordered_in_one_task(table):
+    """Every window over charted values is partitioned by key and block."""
+    chart = variables.imr(table, ROLES, block_rows=50)
+    plan = rules.with_rules(chart).df._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "value#" in line]
+    assert windows and all("_block#" in line.rsplit("], [", 2)[-2] for line in windows)
