@@ -44,8 +44,8 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> Dat
     if not df.columns:
         raise ValueError("the file has no header")
     first = df.columns[0]
-    if first.startswith("﻿"):
-        df = df.withColumnRenamed(first, first.lstrip("﻿"))
+    if first.startswith("\ufeff"):
+        df = df.withColumnRenamed(first, first.lstrip("\ufeff"))
     if df.isEmpty():
         raise ValueError("the file has no rows")
     return df
