@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.minhash import Near, near_duplicates
 from plumbline.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +28,8 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), near=Near(width=2))

@@ -8,21 +8,45 @@ SQL = {
 WITH texts AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents
 ), placed AS (
-  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS at FROM texts
+  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM texts
 ), windows AS (
-  SELECT doc_id, at, array_to_string(words[at:at + 12], ' ') AS run FROM placed WHERE at + 12 <= len(words)
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS run FROM placed WHERE pos + 12 <= len(words)
 ), owners AS (
   SELECT run, min(doc_id) AS owner FROM windows GROUP BY run
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 13)) AS at
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos
   FROM windows JOIN owners USING (run) WHERE owner < doc_id
 ), kept AS (
-  SELECT doc_id, count(*) AS n_words, count(g.at) AS n_removed,
-         coalesce(string_agg(p.words[p.at], ' ' ORDER BY p.at) FILTER (g.at IS NULL), '') AS kept
-  FROM placed p LEFT JOIN gone g USING (doc_id, at) GROUP BY doc_id
+  SELECT p.doc_id, count(*) AS n_words, count(g.doc_id) AS n_removed,
+         coalesce(string_agg(p.words[p.pos], ' ' ORDER BY p.pos) FILTER (g.doc_id IS NULL), '') AS kept
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id
 )
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
+""",
+    "op3_minhash_near_dedup": rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) = 1 THEN [words[1]]
+         ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingle
+  FROM texts
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), meets AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_common
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM meets JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * n_common >= 80 * (p.n + q.n - n_common)
+), edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS label FROM documents
+  UNION
+  SELECT e.y, r.label FROM reach r JOIN edges e ON e.x = r.node
+), named AS (SELECT node, min(label) AS label FROM reach GROUP BY node)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, label AS component_id, t.doc_id = label AS kept
+FROM texts t LEFT JOIN sizes USING (doc_id) JOIN named ON node = t.doc_id
 """,
 }
