@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +18,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.chunks import ship
 from plumbline.llm.words import BYTE_BASE, gather, rolling, slices, utf8
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
 LANES = 4096
+SLICE = 2_000_000
+LONG = 200
+NEVER = 1 << 30
 
 #: Classes of code points.  The letters of contractions are letters with a class of their own.
 OTHER, LETTER, NUMBER, BLANK, WHITE, QUOTE, ONE, RV, ELL, EE, CUT = range(11)
@@ -117,30 +123,85 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in tokens])
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)])
+        splits = [(self.ranks[t[:i]] * len(tokens) + self.ranks[t[i:]], r) for t, r in self.ranks.items()
+                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        self.pairs, self.made = (np.array(c, np.int64) for c in zip(*sorted(splits)))
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Join the adjacent parts whose union has the lowest rank, until none is left."""
-        ranks = self.ranks
-        if piece in ranks:
-            return (ranks[piece],)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            pair = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
-            low = min(pair)
-            if low == 1 << 40:
-                break
-            at = pair.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
-
-    def ids(self, piece: bytes) -> tuple[int, ...]:
-        found = self.cache.get(piece)
-        if found is None:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            found = self.cache[piece] = self.merge(piece)
-        return found
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that two tokens make, ``NEVER`` where there is none."""
+        key = left * len(self.lengths) + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], NEVER)
+
+    def merge_long(self, piece: bytes) -> tuple[int, ...]:
+        """One piece, by a heap of its adjacent pairs."""
+        ids = [self.ranks[piece[i : i + 1]] for i in range(len(piece))]
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 1) for i, r in enumerate(self.ranked(np.array(ids[:-1]), np.array(ids[1:])).tolist()) if r < NEVER]
+        heapify(heap)
+        gone = [False] * n
+        now = {(i, j): rank for rank, i, j in heap}
+        while heap:
+            rank, i, j = heappop(heap)
+            if gone[i] or gone[j] or after[i] != j or now.get((i, j)) != rank:
+                continue
+            ids[i], gone[j], after[i] = rank, True, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n:
+                    now[a, b] = int(self.ranked(np.array([ids[a]]), np.array([ids[b]]))[0])
+                    if now[a, b] < NEVER:
+                        heappush(heap, (now[a, b], a, b))
+        return tuple(t for t, dead in zip(ids, gone) if not dead)
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Join, piece by piece, the adjacent parts whose union has the lowest rank, until none is left.
+
+        All pieces take each step together; pieces that are done leave.
+        """
+        out = [self.merge_long(p) if len(p) > LONG else () for p in pieces]
+        number = np.array([k for k, p in enumerate(pieces) if len(p) <= LONG], np.int64)
+        if not len(number):
+            return out
+        n = np.array([len(pieces[k]) for k in number])
+        token = self.bytes[np.frombuffer(b"".join(pieces[k] for k in number), np.uint8)]
+        first = np.concatenate(([0], np.cumsum(n)[:-1]))
+        rank = np.append(self.ranked(token[:-1], token[1:]), NEVER)
+        rank[first[1:] - 1] = NEVER
+        while len(number):
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), first)
+            low, at = best >> 32, best & 0xFFFFFFFF
+            done = low == NEVER
+            for k, a, size in zip(number[done].tolist(), first[done].tolist(), n[done].tolist()):
+                out[k] = tuple(token[a : a + size].tolist())
+            keep = np.repeat(~done, n)
+            at, low = at[~done], low[~done]
+            token[at] = low
+            end = (first + n)[~done]
+            keep[at + 1] = False
+            step = np.cumsum(keep) - 1
+            following = at + 2 < end
+            rank[at] = NEVER
+            rank[at[following]] = self.ranked(token[at[following]], token[at[following] + 2])
+            leading = at > first[~done]
+            rank[at[leading] - 1] = self.ranked(token[at[leading] - 1], token[at[leading]])
+            token, rank = token[keep], rank[keep]
+            number, n = number[~done], n[~done] - 1
+            first = step[first[~done]] if len(number) else first[:0]
+        return out
+
+    def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        found = [self.cache.get(p) for p in pieces]
+        new = [p for p, ids in zip(pieces, found) if ids is None]
+        if len(self.cache) + len(new) > CACHE_PIECES:
+            self.cache.clear()
+        made = dict(zip(new, self.merge(new)))
+        self.cache.update(islice(made.items(), CACHE_PIECES))
+        return [made[p] if ids is None else ids for p, ids in zip(pieces, found)]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return gather(self.data, self.starts[ids], self.lengths[ids])
@@ -151,8 +212,8 @@ def vocabulary(lines: bytes) -> Vocabulary:
     return Vocabulary(lines)
 
 
-def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts, first id of each text, byte offset in its text of each id's piece, and piece of each id."""
+def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts, first id of each text, and byte offset in its text of each id's piece."""
     lead = (data & 0xC0) != 0x80
     points = np.flatnonzero(lead)
     code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -166,7 +227,7 @@ def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     hashes = rolling(data.astype(np.uint64) + np.uint64(1), begins, ends, BYTE_BASE)
     _, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    merged = [vocab.ids(raw[a:b]) for a, b in zip(begins[sample].tolist(), ends[sample].tolist())]
+    merged = vocab.ids([raw[a:b] for a, b in zip(begins[sample].tolist(), ends[sample].tolist())])
     lengths = np.array([len(m) for m in merged], np.int64)
     flat = np.fromiter((i for m in merged for i in m), np.int64, int(lengths.sum()))
     where = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
@@ -175,7 +236,7 @@ def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     ends_of = np.concatenate(([0], np.cumsum(each)))
     piece_of_text = np.searchsorted(begins, offsets)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(piece_of_text))
-    return ids, ends_of[piece_of_text], np.repeat(begins - offsets[text], each), np.repeat(np.arange(len(begins)), each)
+    return ids, ends_of[piece_of_text], np.repeat(begins - offsets[text], each)
 
 
 def read_ranks(path: str) -> bytes:
@@ -183,53 +244,56 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-def bpe(docs: DataFrame, ranks: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+TOKENS = "doc_id long, ids array<int>, offsets array<int>, decoded binary"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def tokens(ids: np.ndarray, first: np.ndarray, at: np.ndarray, decoded: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    lists = pa.array(first, pa.int32())
+    return [
+        pa.ListArray.from_arrays(lists, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(lists, pa.array(at, pa.int32())),
+        pa.BinaryArray.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(decoded)]),
+    ]
+
+
+def digests(ids: np.ndarray, first: np.ndarray, at: np.ndarray, decoded: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Number of ids, and the hashes of ids (little-endian 32-bit integers) and of decoded bytes."""
+    flat, text = memoryview(ids.astype("<u4").tobytes()), memoryview(decoded.tobytes())
+    spans = lambda view, ends, w: [sha256(view[w * a : w * b]).hexdigest() for a, b in zip(ends, ends[1:])]
+    return [pa.array(np.diff(first), pa.int64()), pa.array(spans(flat, first.tolist(), 4), pa.string()),
+            pa.array(spans(text, bounds.tolist(), 1), pa.string())]
+
+
+def bpe(docs: DataFrame, ranks: str, id: str = "doc_id", text: str = "text",
+        finish: Callable[..., list[pa.Array]] = tokens, schema: str = TOKENS) -> DataFrame:
     """Encode each text by the ranks in the file ``ranks`` and decode it again.
 
     Pieces are those of the pattern of the byte-level rank files.  Their boundaries come
     from a scan of state transitions over classes of code points; equal pieces of a batch
-    are merged once, and a worker keeps up to ``CACHE_PIECES`` merged pieces.
-
-    Result: doc_id, ids (array<int>), offsets (byte in the text at which each id's piece
-    begins) and decoded (binary, equal to the text's UTF-8).  One row per input row, in
-    the order of the input's partitions.  A null text counts as empty and has no ids.
-    Repeated and missing ids are returned as they are; other columns are ignored.
+    are merged once, and a worker keeps up to ``CACHE_PIECES`` merged pieces.  ``finish``
+    turns ids, their bounds, offsets, decoded bytes and their bounds of some whole texts
+    into the columns of ``schema`` behind doc_id.
+
+    Result by default: doc_id, ids (array<int>), offsets (byte in the text at which each
+    id's piece begins) and decoded (binary, equal to the text's UTF-8).  One row per input
+    row.  A null text counts as empty and has no ids.  Repeated and missing ids are
+    returned as they are; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     lines = spark.sparkContext.broadcast(read_ranks(ranks))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(lines.value)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 1_000_000):
+            for a, b in slices(offsets, SLICE):
                 cut = offsets[a : b + 1]
-                ids, first, at, _ = encode(vocab, data[cut[0] : cut[-1]], cut - cut[0])
-                sizes = vocab.lengths[ids]
-                bytes_ = np.concatenate(([0], np.cumsum(sizes)))[first]
-                decoded = vocab.decode(ids)
-                bounds = pa.array(first, pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a),
-                    pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int32())),
-                    pa.ListArray.from_arrays(bounds, pa.array(at, pa.int32())),
-                    pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(bytes_.astype(np.int32)), pa.py_buffer(decoded)]),
-                ], names=["doc_id", "ids", "offsets", "decoded"])
+                ids, first, at = encode(vocab, data[cut[0] : cut[-1]], cut - cut[0])
+                bounds = np.concatenate(([0], np.cumsum(vocab.lengths[ids])))[first]
+                columns = finish(ids, first, at, vocab.decode(ids), bounds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=names)
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>, decoded binary")
-
-
-def digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the hashes of ids (little-endian 32-bit integers) and of decoded bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            first, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            raw = pa.array([flat[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), raw, batch.column(2)],
-                                             names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    rows = tokens.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
-    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.mapInArrow(run, schema)

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import dealt, deltas, expand, ship, sizes, squeeze, undo, unpack_tables
+from plumbline.llm.chunks import bucket_cuts, dealt, deltas, expand, ship, sizes, squeeze, undo, unpack_tables
 from plumbline.llm.storage import components, stored
 from plumbline.llm.words import mix, shingles, slices, split, utf8
 
@@ -29,10 +30,7 @@ class Near:
     coordinates: int = 64
     matches: int = 36
     seed: int = 7
-
-    @property
-    def prefix(self) -> int:
-        return self.coordinates - self.matches + 1
+    block: int = 256
 
 
 def _multipliers(near: Near) -> np.ndarray:
@@ -78,29 +76,82 @@ def signatures(docs: DataFrame, id: str, text: str, near: Near) -> DataFrame:
     )
 
 
-def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame, near: Near) -> DataFrame:
-    """rep, n and the packed shingle set of each wanted document, the text that has the wanted set's hashes."""
-    chunks = sizes(docs, text).chunks
-    packs = dealt(docs, id, text, chunks)
-    asked = wanted.select(F.pmod(F.xxhash64(F.lit(None).cast("string"), F.col("rep")), F.lit(chunks)).alias("chunk"), "rep", "h1")
-
-    def find(key: tuple[pa.Scalar, ...], packed: pa.Table, asked: pa.Table) -> pa.Table:
-        table, want = unpack_tables(packed["pack"]), dict(zip(asked["rep"].to_pylist(), asked["h1"].to_pylist()))
-        reps, blobs = [], []
-        if table is not None and want:
-            table = table.filter(pa.compute.is_in(table["id"], asked["rep"].combine_chunks()))
-            ids = table["id"].to_pylist()
-            for begin, rows, bounds, found in _text_sets(table["text"], near.width):
-                for row in range(rows):
-                    one = found[bounds[row] : bounds[row + 1]]
-                    rep = ids[begin + row]
+def _looked_at(docs: DataFrame, id: str, text: str, wanted: DataFrame, near: Near) -> DataFrame:
+    """rep, n, common, keys and packed set of the wanted documents that can have a partner among them.
+
+    Two similar sets share one of their ``n - ceil(n * percent / 100) + 1`` rarest shingles,
+    whatever the common order of rarity.  Chunks send their shingles with counts to buckets
+    of the hash space and get each one's frequency back, so a text that owes its equal
+    MinHash values to a passage of many documents finds its own shingles alone and drops out.
+    ``common`` counts the shingles that any other wanted document has: no overlap is larger.
+    """
+    size = sizes(docs, text)
+    chunk = F.pmod(F.xxhash64(F.lit(None).cast("string"), F.col("rep")), F.lit(size.chunks))
+    none = F.lit(None)
+    rows = dealt(docs, id, text, size.chunks).select(
+        "chunk", "pack", none.cast("long").alias("rep"), none.cast("long").alias("h1")
+    ).unionByName(wanted.select(chunk.alias("chunk"), none.cast("binary").alias("pack"), "rep", "h1"))
+    percent, width, buckets = near.percent, near.width, size.buckets
+
+    def sets(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Representatives of a chunk, bounds of their sets, and the sets, one behind the other."""
+        asked = table.filter(table["rep"].is_valid())
+        want = dict(zip(asked["rep"].to_pylist(), asked["h1"].to_pylist()))
+        texts = unpack_tables(table["pack"].drop_null())
+        reps, found, ends = [], [np.zeros(0, np.uint64)], [0]
+        if texts is not None and want:
+            texts = texts.filter(pc.is_in(texts["id"], asked["rep"].combine_chunks()))
+            ids = texts["id"].to_pylist()
+            for begin, n, bounds, hashes in _text_sets(texts["text"], width):
+                for row in range(n):
+                    one, rep = hashes[bounds[row] : bounds[row + 1]], ids[begin + row]
                     if len(one) and int(one.sum(dtype=np.uint64).view(np.int64)) == want.get(rep):
                         del want[rep]
                         reps.append(rep)
-                        blobs.append(squeeze(deltas(one)))
-        return pa.table({"rep": pa.array(reps, pa.int64()), "shingles": pa.array(blobs, pa.binary())})
-
-    return packs.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(find, "rep long, shingles binary")
+                        found.append(one)
+                        ends.append(ends[-1] + len(one))
+        return np.array(reps, np.int64), np.array(ends), np.concatenate(found)
+
+    def shares(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        hashes, counts = np.unique(sets(table)[2], return_counts=True)
+        bucket, cuts = bucket_cuts(hashes, buckets)
+        blobs = [squeeze(deltas(hashes[a:b]), counts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"bucket": bucket, "chunk": np.full(len(bucket), key[0].as_py(), np.int64),
+                         "counted": pa.array(blobs, pa.binary())})
+
+    def answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        read = [expand(blob.as_py(), 2) for blob in table["counted"]]
+        hashes = np.concatenate([undo(h) for h, _ in read])
+        _, place = np.unique(hashes, return_inverse=True)
+        total = np.bincount(place, np.concatenate([c for _, c in read]).astype(np.float64))
+        total = np.minimum(total, 255)[place].astype(np.uint64)
+        ends = np.cumsum([len(h) for h, _ in read])
+        blobs = [squeeze(total[e - len(h) : e]) for e, (h, _) in zip(ends, read)]
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "frequency": pa.array(blobs, pa.binary())})
+
+    def keyed(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+        reps, ends, found = sets(table)
+        n = np.diff(ends)
+        hashes, place = np.unique(found, return_inverse=True)
+        told = told.sort_by("bucket")
+        df = [expand(blob.as_py(), 1)[0] for blob in told["frequency"]]
+        df = np.concatenate(df)[place] if df else np.zeros(0, np.uint64)
+        row = np.repeat(np.arange(len(reps)), n)
+        order = np.lexsort((found, df, row))
+        rank = np.arange(len(found)) - ends[:-1][row]
+        needed = n - (n * percent + 99) // 100 + 1
+        picked = order[(rank < needed[row]) & (df[order] > 1)]
+        bounds = np.searchsorted(row[picked], np.arange(len(reps) + 1))
+        alive = np.flatnonzero(np.diff(bounds))
+        keys = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found[picked].view(np.int64)))
+        common = np.bincount(row, df > 1, len(reps)).astype(np.int64)
+        return pa.table({"rep": reps[alive], "n": n[alive], "common": common[alive], "keys": keys.take(pa.array(alive)),
+                         "shingles": pa.array([squeeze(deltas(found[ends[i] : ends[i + 1]])) for i in alive], pa.binary())})
+
+    shared = rows.groupBy("chunk").applyInArrow(shares, "bucket long, chunk long, counted binary")
+    told = shared.groupBy("bucket").applyInArrow(answers, "chunk long, bucket long, frequency binary")
+    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
+        keyed, "rep long, n long, common long, keys array<long>, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -128,19 +179,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return rows.mapInArrow(confirm, "a long, b long")
 
 
+def _tiled(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links between the members outside a list's largest component and all others, tile by tile.
+
+    Tiles hold ``block`` rows a side; a row goes to the tiles of its line or column.
+    Each row gets one link to every component of a tile that it reaches.
+    """
+    rows = members.select("value", "members", "others", "label", "largest", F.col("me.rep").alias("rep"))
+    rows = rows.join(sets.select("rep", "signature", "shingles"), "rep")
+    tiles = lambda n: F.ceil(F.col(n) / near.block)
+    own = lambda n: F.pmod(F.xxhash64("rep"), tiles(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (tiles(n) - 1).cast("long")))
+    row = ["rep", "label", "signature", "shingles"]
+    few = rows.where("label <> largest").select(own("others").alias("i"), every("members").alias("j"), "value", *row)
+    again = [F.col(c).alias(c) for c in ("value", *row)]
+    all_ = rows.select(every("others").alias("i"), own("members").alias("j"), *again)
+
+    def link(key: tuple[pa.Scalar, ...], few: pa.Table, all_: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if few.num_rows and all_.num_rows:
+            unpacked = lambda t: [undo(expand(b.as_py(), 1)[0]) for b in t["shingles"]]
+            signed = lambda t: np.array(t["signature"].to_pylist(), np.int32)
+            left, right = unpacked(few), unpacked(all_)
+            n = np.array([len(r) for r in right])
+            words, codes = np.unique(np.concatenate(right), return_inverse=True)
+            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            s, t, labels, reps = signed(few), signed(all_), all_["label"].to_numpy(), all_["rep"].to_numpy()
+            for x, (one, rep, label) in enumerate(zip(left, few["rep"].to_pylist(), few["label"].to_pylist())):
+                held = np.zeros(len(words), np.int32)
+                held[np.searchsorted(words, one[np.isin(one, words, assume_unique=True)])] = 1
+                both = np.add.reduceat(held[codes], starts)
+                good = (100 * both >= near.percent * (len(one) + n - both)) & (labels != label)
+                good = np.flatnonzero(good & ((s[x] == t).sum(axis=1) >= near.matches))
+                _, first = np.unique(labels[good], return_index=True)
+                found += [(min(rep, int(y)), max(rep, int(y))) for y in reps[good[first]]]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    tile = ("value", "i", "j")
+    return few.groupBy(*tile).cogroup(all_.groupBy(*tile)).applyInArrow(link, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
     """Link documents whose sets of shingles are similar, and name each component by its smallest id.
 
     Documents with equal sets form a class, which its smallest id represents.  Each
-    representative is posted under its coordinate-value pairs.  A value that nobody
-    shares cannot match: only representatives with ``matches`` shared values stay, and
-    of those only the rarest values that two matching signatures must have in common
-    (``prefix`` of them, those of one representative included) are kept as postings.
-    Members of a posting are first held against its smallest member; what that links is
-    one component and needs no more looking at.  Members outside the posting's largest
-    component are then held against all members of other components.  Every pair held
-    counts its equal values, and is confirmed on full sets if enough agree.  So no link
-    between components is lost, and a group of near copies costs one pair per copy.
+    representative is posted under its coordinate-value pairs; collisions are counted,
+    and only representatives with ``matches`` shared values stay.  Merging skips all
+    shingles but the prefix of rare ones that two similar sets must share, and those
+    are the lists that pairs come from.  Members of a list are first held against its
+    member with the fewest shingles of its own; what that links is one component and needs no more looking at.
+    Members outside the list's largest component are then held against all members of
+    other components, in lists over ``block`` members tile by tile.  Every pair held counts its equal MinHash values, and is confirmed
+    on full sets if enough agree.  So no link between components is lost, and a group of
+    near copies costs one pair per copy.
 
     Result: doc_id, n_shingles, component_id and kept (doc_id = component_id).  One row
     per distinct id; of rows that repeat an id, the one with the largest set (ties: the
@@ -157,29 +248,38 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", nea
 
     value = F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(0xFFFFFFFF))
     posted = classes.select("rep", F.posexplode("signature").alias("k", "v")).select("rep", value.alias("value"))
-    shared = posted.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    rare = posted.join(shared, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
-    rare = rare.where(F.size("values") >= near.matches)
-    rare = stored(rare.select("rep", F.slice("values", 1, F.size("values") - near.matches + 1).alias("values")))
-    postings = rare.select("rep", F.explode("values.value").alias("value"))
-
-    wanted = stored(classes.join(rare.select("rep"), "rep", "left_semi").select("rep", "h1", "signature"))
-    sets = stored(_sets(docs, id, text, wanted, near).join(wanted.select("rep", "signature"), "rep"))
-
-    smallest = postings.groupBy("value").agg(F.min("rep").alias("a"))
-    first = postings.join(smallest, "value").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(first, sets, near))
+    shared = posted.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value")
+    collided = posted.join(shared, "value").groupBy("rep").count().where(F.col("count") >= near.matches)
+    wanted = stored(classes.join(collided.select("rep"), "rep", "left_semi").select("rep", "h1", "signature"))
+    sets = stored(_looked_at(docs, id, text, wanted, near).join(wanted.select("rep", "signature"), "rep"))
+    me = F.struct("rep", "n", "common")
+    postings = sets.select(me.alias("me"), F.explode("keys").alias("value"))
+
+    def possible(x: str, y: str) -> Column:
+        overlap = F.least(F.col(f"{x}.common"), F.col(f"{y}.common"))
+        return overlap * 100 >= (F.col(f"{x}.n") + F.col(f"{y}.n") - overlap) * near.percent
+
+    own = (F.col("me.n") - F.col("me.common")) / F.col("me.n")
+    purest = postings.groupBy("value").agg(F.min(F.struct(own.alias("own"), "me")).alias("least"))
+    first = postings.join(purest.select("value", F.col("least.me").alias("pivot")), "value")
+    first = first.where("pivot.rep <> me.rep").where(possible("pivot", "me"))
+    first = first.select(F.least("pivot.rep", "me.rep").alias("a"), F.greatest("pivot.rep", "me.rep").alias("b"))
+    links = stored(_confirmed(first.distinct(), sets, near))
     label = components(links, "a", "b")
-    placed = stored(postings.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "value", "rep", F.coalesce("label", "rep").alias("label")))
+    placed = stored(postings.join(label, F.col("me.rep") == F.col("node"), "left").select(
+        "value", "me", F.coalesce("label", "me.rep").alias("label")))
     groups = placed.groupBy("value", "label").agg(F.count("*").alias("n"))
-    mixed = groups.groupBy("value").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest"))
-    mixed = mixed.where("labels > 1").select("value", "largest")
+    mixed = groups.groupBy("value").agg(
+        F.count("*").alias("labels"), F.sum("n").alias("members"), F.max("n").alias("most"),
+        F.max_by("label", F.struct("n", "label")).alias("largest"))
+    mixed = mixed.where("labels > 1").select("value", "members", (F.col("members") - F.col("most")).alias("others"), "largest")
     open_ = stored(placed.join(mixed, "value"))
-    few = open_.where("label <> largest").select("value", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    all_ = open_.select("value", F.col("rep").alias("y"), F.col("label").alias("ly"))
-    second = few.join(all_, "value").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    more = _confirmed(second.distinct(), sets, near)
+    short, long_ = open_.where(F.col("members") <= near.block), open_.where(F.col("members") > near.block)
+    few = short.where("label <> largest").select("value", F.col("me").alias("x"), F.col("label").alias("lx"))
+    all_ = short.select("value", F.col("me").alias("y"), F.col("label").alias("ly"))
+    second = few.join(all_, "value").where((F.col("lx") != F.col("ly")) & possible("x", "y"))
+    second = second.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    more = _confirmed(second.distinct(), sets, near).unionByName(_tiled(long_, sets, near))
     label = components(links.unionByName(more), "a", "b")
 
     named = classes.select(*key, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")

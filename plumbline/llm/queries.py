@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import bpe, digests
+from plumbline.llm.bpe import DIGESTS, bpe, digests
 from plumbline.llm.chat_format import conversation_records, format_chats, learned_text, read_back
 from plumbline.llm.minhash import Near, near_duplicates
 from plumbline.llm.secret_scan import BASE, listed, secret_scan
@@ -42,7 +42,7 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(bpe(table(spark, folder, "documents"), ranks))
+    return bpe(table(spark, folder, "documents"), ranks, finish=digests, schema=DIGESTS)
 
 
 @query
