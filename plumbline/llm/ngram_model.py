@@ -7,8 +7,9 @@ need.  Orders one and two have at most 65,792 entries and go to all shards.  Chu
 send their distinct n-grams, and the shards answer with log-probabilities, or with the
 log-ratio of two classes.
 
-Counts of the highest order belong to a class.  Lower orders use continuation counts
-that all classes share, so a rare expression backs off to the same ground in each.
+Orders three to six count by class: the highest its occurrences, the others how many
+bytes the class has seen before them.  Orders one and two are continuation counts that
+all classes share, so a rare expression backs off to the same ground in each.
 """
 
 from __future__ import annotations
@@ -114,6 +115,15 @@ def _suffixes(gram: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(gram & np.uint64((1 << 8 * order) - 1), return_counts=True)
 
 
+def _levels(gram: np.ndarray, n: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Order, n-grams and counts of one class, from order six down to three."""
+    levels = [(ORDER, gram, n)]
+    for order in range(ORDER - 1, 2, -1):
+        gram, n = _suffixes(gram, order)
+        levels.append((order, gram, n))
+    return levels
+
+
 def _merged(classes: int):
     """One count for a shard, and what the discounts need: how many n-grams have count 1, 2, 3 and 4."""
 
@@ -121,12 +131,10 @@ def _merged(classes: int):
         gram, counts = _read(table["counted"], classes)
         rows = [(0, 0, 0, 0, 0, 0, squeeze(deltas(gram), *counts))]
         few = lambda n: [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        rows += [(10 * ORDER + c, 0, *few(counts[c]), None) for c in range(classes)]
-        longer = gram
-        for order in range(ORDER - 1, 2, -1):
-            longer, n = _suffixes(longer, order)
-            rows.append((10 * order, 0, *few(n), None))
-        pair, n = _suffixes(longer, 2)
+        for c in range(classes):
+            for order, _, n in _levels(gram[counts[c] > 0], counts[c][counts[c] > 0]):
+                rows.append((10 * order + c, 0, *few(n), None))
+        pair, n = _suffixes(_suffixes(gram, 3)[0], 2)
         rows += [(20, int(p), int(k), 0, 0, 0, None) for p, k in zip(pair, n)]
         columns = list(zip(*rows))
         return pa.table({
@@ -150,7 +158,6 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 def interpolated(query: np.ndarray, lower: np.ndarray, gram: np.ndarray, n: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Probability of ``query`` n-grams from sorted n-grams, their counts and the next lower order's probability."""
-    gram, n = gram[n > 0], n[n > 0]
     if not len(gram):
         return lower
     context, first = np.unique(gram >> np.uint64(8), return_index=True)
@@ -167,27 +174,27 @@ class Shard:
     """The counts of one shard with the corpus-wide discounts and the counts of orders one and two."""
 
     def __init__(self, gram: np.ndarray, counts: np.ndarray, stats: list[dict]):
-        self.gram, self.counts = gram, counts
         found = {s["kind"]: discounts(s["n1"], s["n2"], s["n3"], s["n4"]) for s in stats if s["kind"] != 20}
         pairs = sorted((s["key"], s["n1"]) for s in stats if s["kind"] == 20)
         pair, n = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
         half = np.array([0.0, 0.5, 0.5, 0.5])
         few = lambda n: [int((n == k).sum()) for k in (1, 2, 3, 4)]
         one, ones = np.unique(pair & 255, return_counts=True)
-        self.levels = [(1, one.astype(np.uint64), ones, discounts(*few(ones))), (2, pair.astype(np.uint64), n, discounts(*few(n)))]
-        longer, levels = gram, []
-        for order in range(ORDER - 1, 2, -1):
-            longer, n = _suffixes(longer, order)
-            levels.append((order, longer, n, found.get(10 * order, half)))
-        self.levels += levels[::-1]
-        self.top = [found.get(10 * ORDER + c, half) for c in range(len(counts))]
+        self.shared = [(1, one.astype(np.uint64), ones, discounts(*few(ones))), (2, pair.astype(np.uint64), n, discounts(*few(n)))]
+        self.own = [
+            [(order, g, n, found.get(10 * order + c, half)) for order, g, n in _levels(gram[m > 0], m[m > 0])[::-1]]
+            for c, m in enumerate(counts)
+        ]
 
     def log_probabilities(self, query: np.ndarray) -> np.ndarray:
         """A row per class."""
-        p = np.full(len(query), 1 / 256)
-        for order, gram, n, d in self.levels:
-            p = interpolated(query & np.uint64((1 << 8 * order) - 1), p, gram, n, d)
-        return np.log(np.stack([interpolated(query, p, self.gram, n, d) for n, d in zip(self.counts, self.top)]))
+        def through(p: np.ndarray, levels: list) -> np.ndarray:
+            for order, gram, n, d in levels:
+                p = interpolated(query & np.uint64((1 << 8 * order) - 1), p, gram, n, d)
+            return p
+
+        p = through(np.full(len(query), 1 / 256), self.shared)
+        return np.log(np.stack([through(p, levels) for levels in self.own]))
 
 
 def _answers(classes: int):

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import DIGESTS, bpe, digests
 from plumbline.llm.chat_format import conversation_records, format_chats, learned_text, read_back
+from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.minhash import Near, near_duplicates
+from plumbline.llm.quality import quality
 from plumbline.llm.secret_scan import BASE, listed, secret_scan
 from plumbline.llm.substring_dedup import substring_dedup
+from plumbline.llm.top_k import top_k
+from plumbline.llm.toxicity import toxicity
+from plumbline.llm.url_filter import SiteRule, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +77,32 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.col("key").alias("conv_id"), F.size(read_back(F.col("formatted"))).cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"), F.char_length(learned).cast("long").alias("loss_chars"),
         F.sha2(learned, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "layout")
+
+
+@query
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = (
+        SiteRule("allow", "org", "/"), SiteRule("block", "example.org", "/es/"), SiteRule("block", "example.org", "/en/1"),
+        SiteRule("allow", "com", "/fr/"), SiteRule("block", "com", "/de/"),
+    )
+    return url_filter(table(spark, folder, "pages"), rules)
+
+
+@query
+def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))

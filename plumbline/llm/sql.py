@@ -63,5 +63,44 @@ SELECT conv_id, count(*) AS n_turns,
                 || replace(replace(text, '%', '%25'), '<|', '<%7C') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars,
        CASE WHEN count(*) = 2 AND list(role ORDER BY turn, role, text) = ['user', 'assistant'] THEN 'prompt' ELSE 'messages' END AS layout
 FROM turns GROUP BY conv_id
+""",
+    "op2_url_filter": r"""
+WITH rests AS (
+  SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+    CASE WHEN contains(low, '/casino/') THEN '/casino/' WHEN contains(low, '/wp-login.php') THEN '/wp-login.php'
+         WHEN regexp_matches(low, '\.doubleclick\.net([^a-z0-9_.%-]|$)') THEN '.doubleclick.net^'
+         WHEN regexp_matches(low, '[^a-z0-9_.%-]sessionid=') THEN '^sessionid='
+         WHEN regexp_matches(low, '/ads/.*banner', 's') THEN '/ads/*banner' END AS found
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN found IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IS NULL THEN found END AS pattern
+FROM ruled
+""",
+    "op4_top_k": r"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """,
 }

@@ -51,8 +51,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
              label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Score every text between a toxic and an ordinary model.
 
-    Both models count six-byte n-grams of lower-cased texts and share the continuation
-    counts of shorter ones.  Rows are dealt by crc32(id as text) mod 5: 0 is held out,
+    Each model counts the n-grams of three to six bytes of its class's lower-cased texts;
+    both share the continuation counts of one and two bytes.  Rows are dealt by crc32(id as text) mod 5: 0 is held out,
     1 to 3 are counted, and 4, which the models have not seen, fits a logistic curve
     through the length-normalised log-ratios (mean per byte, most toxic word, top five
     words) of at most ``fit_rows`` rows.
