@@ -26,7 +26,7 @@ from plumbline.llm.words import LOWER, slices, utf8
 
 ORDER = 6
 CHUNK_FACTOR = 4
-SLICE = 1_500_000
+SLICE = 1_000_000
 MERGED = "bucket long, kind int, key int, n1 long, n2 long, n3 long, n4 long, counted binary"
 STATS = "array<struct<kind:int,key:int,n1:long,n2:long,n3:long,n4:long>>"
 
@@ -35,13 +35,35 @@ def grams(data: np.ndarray, offsets: np.ndarray, lower: bool) -> np.ndarray:
     """One n-gram per byte, packed into an integer, the byte itself lowest; zeros stand before a text."""
     n, texts = np.diff(offsets), len(offsets) - 1
     room = np.zeros(len(data) + (ORDER - 1) * texts, np.uint8)
-    shift = np.repeat(np.arange(1, texts + 1) * (ORDER - 1), n)
-    at = np.arange(len(data)) + shift
+    at = np.arange(len(data)) + np.repeat(np.arange(1, texts + 1) * (ORDER - 1), n)
     room[at] = LOWER[data] if lower else data
-    out = np.zeros(len(data), np.uint64)
+    packed = np.zeros(len(room), np.uint64)
     for back in range(ORDER - 1, -1, -1):
-        out = (out << np.uint64(8)) | room[at - back]
-    return out
+        packed <<= np.uint64(8)
+        packed[back:] |= room[: len(room) - back]
+    return packed[at]
+
+
+class Table:
+    """A direct-mapped table of n-grams and values: a slot holds the last that was put there."""
+
+    BITS = 20
+
+    def __init__(self):
+        self.gram = np.full(1 << self.BITS, np.iinfo(np.uint64).max, np.uint64)
+        self.value = np.zeros(1 << self.BITS, np.float32)
+
+    def slot(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def absent(self, gram: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.gram[self.slot(gram)] != gram)
+
+    def put(self, gram: np.ndarray, value: np.ndarray | None = None) -> None:
+        slot = self.slot(gram)
+        self.gram[slot] = gram
+        if value is not None:
+            self.value[slot] = value
 
 
 def shard(gram: np.ndarray, buckets: int) -> np.ndarray:
@@ -60,11 +82,13 @@ def _by_shard(gram: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int], li
 
 def _distinct(table: pa.Table, lower: bool) -> np.ndarray:
     data, offsets = utf8(table["text"])
-    found = np.zeros(0, np.uint64)
+    seen, found = Table(), [np.zeros(0, np.uint64)]
     for a, b in slices(offsets, SLICE):
         cut = offsets[a : b + 1]
-        found = np.union1d(found, grams(data[cut[0] : cut[-1]], cut - cut[0], lower))
-    return found
+        gram = grams(data[cut[0] : cut[-1]], cut - cut[0], lower)
+        found.append(np.unique(gram[seen.absent(gram)]))
+        seen.put(found[-1])
+    return np.unique(np.concatenate(found))
 
 
 def _summed(parts: list[list[np.ndarray]], classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,11 +273,14 @@ def scored(docs: DataFrame, labels: DataFrame, classes: int, measure: Callable,
         for bucket, a, b in zip(part, cuts, cuts[1:]):
             value[order[a:b]] = np.frombuffer(given[bucket].as_py(), np.float16)
         data, offsets = utf8(table["text"])
-        parts = []
+        parts, cache = [], Table()
+        cache.put(gram, value)
         for a, b in slices(offsets, SLICE):
             cut = offsets[a : b + 1]
             piece, cut = data[cut[0] : cut[-1]], cut - cut[0]
-            each = value[np.searchsorted(gram, grams(piece, cut, lower))]
+            own = grams(piece, cut, lower)
+            each, rest = cache.value[cache.slot(own)], cache.absent(own)
+            each[rest] = value[np.searchsorted(gram, own[rest])]
             parts.append(pa.table({"id": table["id"].slice(a, b - a), **measure(piece, cut, each)}))
         return pa.concat_tables(parts).select(names)
 
