@@ -18,7 +18,6 @@ from plumbline.operators.series import IDX, listed, medians_of, sequence
 
 # Up to this many rows a page is served by a top-k; deeper pages use row positions.
 TOP_ROWS = 100_000
-MAX_RECODE_LITERALS = 200
 
 
 def _types(df: DataFrame) -> dict[str, str]:
@@ -107,7 +106,7 @@ def page(df: DataFrame, order: str | Listing[str], offset: int = 0, limit: int =
         return df.orderBy(*order).offset(offset).limit(limit)
     seq = sequence(df.withColumn("_all", F.lit("all")), "_all", order)
     inside = F.col(IDX).between(offset, offset + limit - 1)
-    return seq.df.where(inside).select(*df.columns)
+    return seq.df.where(inside).select(*df.columns).orderBy(*order)
 
 
 # -- missing values -------------------------------------------------------------
@@ -270,27 +269,23 @@ def recode(
     mapping: Mapping[str, str] | DataFrame,
     new_column: str | None = None,
 ) -> DataFrame:
-    """Replace values by a mapping; what is not in it stays.
+    """Replace values by a mapping; what is not in it stays, what maps to None becomes null.
 
-    A mapping of any size may come as a table (from, to).
+    A mapping of any size may come as a table (from, to); of rows that repeat ``from``
+    the smallest ``to`` counts.
     """
     _check_columns(df, [column])
     target = new_column or column
     text = F.col(column).cast("string")
-    if isinstance(mapping, DataFrame):
-        table = mapping.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
-        joined = df.join(table, text == F.col("_from"), "left")
-        hit = F.when(F.col("_from").isNotNull(), F.col("_to")).otherwise(text)
-        return joined.withColumn(target, hit).drop("_from", "_to")
-    if not mapping:
-        return df.withColumn(target, F.col(column))
-    if len(mapping) > MAX_RECODE_LITERALS:
-        table = df.sparkSession.createDataFrame(
-            [(str(k), v) for k, v in mapping.items()], "`from` string, `to` string"
-        )
-        return recode(df, column, table, new_column)
-    pairs = F.create_map(*[F.lit(str(v)) for pair in mapping.items() for v in pair])
-    return df.withColumn(target, F.coalesce(F.try_element_at(pairs, text), text))
+    if not isinstance(mapping, DataFrame):
+        if not mapping:
+            return df.withColumn(target, F.col(column))
+        pairs = [(str(k), None if v is None else str(v)) for k, v in mapping.items()]
+        mapping = df.sparkSession.createDataFrame(pairs, "`from` string, `to` string")
+    table = mapping.where(F.col("from").isNotNull()).groupBy(F.col("from").alias("_from")).agg(F.min("to").alias("_to"))
+    joined = df.join(table, text == F.col("_from"), "left")
+    hit = F.when(F.col("_from").isNotNull(), F.col("_to")).otherwise(text)
+    return joined.withColumn(target, hit).drop("_from", "_to")
 
 
 def bin_column(
@@ -311,7 +306,7 @@ def bin_column(
         ).scalar()
         low, width = ends["low"], (ends["high"] - ends["low"]) / bins
         # break points are rounded to six digits, half up
-        breaks = [F.floor((low + width * i) * 1e6 + 0.5) / 1e6 for i in range(1, bins)]
+        breaks = [F.round(low + width * i, 6) for i in range(1, bins)]
     label = F.lit(f"bin_{len(breaks) + 1}")
     for i, upper in reversed(list(enumerate(breaks, start=1))):
         label = F.when(c <= upper, f"bin_{i}").otherwise(label)

@@ -130,7 +130,9 @@ def phase_column(df: DataFrame, phase: str | None) -> Column:
         return F.lit("all")
     text = F.col(phase).cast("string")
     blank = text.isNull() | (text == "")
-    if dict(df.dtypes)[phase] not in ("string", "timestamp", "date", "timestamp_ntz"):
+    if dict(df.dtypes)[phase] == "boolean":
+        blank = blank | ~F.col(phase)
+    elif dict(df.dtypes)[phase] not in ("string", "timestamp", "date", "timestamp_ntz"):
         blank = blank | (F.col(phase) == 0)
     return F.when(blank, F.lit("default")).otherwise(text)
 

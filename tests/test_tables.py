@@ -213,3 +213,17 @@ def test_forecast_of_known_shapes(spark):
     assert (ahead["season"]["upper"] >= ahead["season"]["lower"]).all()
     wave = 50 + 10 * np.sin((t[-1] + 1 + np.arange(24)) * 2 * np.pi / 12)
     np.testing.assert_allclose(ahead["season"]["y"] - wave, (shapes["season"][-1] - wave[0]) * np.ones(24), atol=1e-6)
+
+
+def test_recode_has_one_path_for_nulls_and_repeated_keys(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "v string")
+    rest = {f"k{i}": "y" for i in range(300)}
+    for mapping in ({"a": None}, {"a": None, **rest}):
+        assert sorted(str(r.v) for r in prep.recode(df, "v", mapping).collect()) == ["None", "None", "b"]
+    table = spark.createDataFrame([("a", "z"), ("a", "x")], "`from` string, `to` string")
+    assert sorted(str(r.v) for r in prep.recode(df, "v", table).collect()) == ["None", "b", "x"]
+
+
+def test_bins_of_large_values(spark):
+    df = spark.createDataFrame([(float(k) * 1e13,) for k in range(11)], "v double")
+    assert {r.bin for r in prep.bin_column(df, "v").collect()} == {f"bin_{k}" for k in range(1, 6)}
