@@ -14,7 +14,7 @@ import pyarrow as pa
 
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xC2B2AE3D27D4EB4F
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
