@@ -40,26 +40,33 @@ def is_missing(df: DataFrame, column: str) -> Column:
 def filter_rows(df: DataFrame, column: str, operator: str, value=None) -> DataFrame:
     """eq, neq, gt, lt, gte, lte, contains, not_contains, between, is_null, is_not_null.
 
-    Nulls never pass a comparison, but pass neq and not_contains.
+    Values are compared as the column's own type: numbers as doubles, dates, timestamps
+    and booleans as such (text such as "2023-01-01" is cast).  Ordered comparisons of a
+    text column read its texts as numbers.  Nulls never pass a comparison, but pass neq
+    and not_contains.
     """
     _check_columns(df, [column])
-    c = F.col(column)
-    text = _types(df)[column] == "string"
+    c, kind = F.col(column), _types(df)[column]
+    text, own = kind == "string", kind in ("boolean", "date") or kind.startswith("timestamp")
     number = c.try_cast("double") if text else c
+
+    def compared(v) -> Column:
+        return F.lit(v).cast(kind) if own else F.lit(float(v))
+
     if operator in ("eq", "neq"):
-        same = c.eqNullSafe(F.lit(value if text else float(value)))
+        same = c.eqNullSafe(F.lit(value) if text else compared(value))
         return df.where(same if operator == "eq" else ~same)
     if operator == "gt":
-        return df.where(number > float(value))
+        return df.where(number > compared(value))
     if operator == "lt":
-        return df.where(number < float(value))
+        return df.where(number < compared(value))
     if operator == "gte":
-        return df.where(number >= float(value))
+        return df.where(number >= compared(value))
     if operator == "lte":
-        return df.where(number <= float(value))
+        return df.where(number <= compared(value))
     if operator == "between":
         low, high = value
-        return df.where(number.between(float(low), float(high)))
+        return df.where(number.between(compared(low), compared(high)))
     if operator == "contains":
         return df.where(c.cast("string").contains(value))
     if operator == "not_contains":

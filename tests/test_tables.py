@@ -56,6 +56,20 @@ def test_filters_with_nulls(spark):
         prep.filter_rows(df, "w", "eq", "x")
 
 
+def test_filters_by_column_type(spark):
+    rows = [("2023-01-01", "2023-01-01 10:00:00", True), ("2023-06-01", "2023-06-01 00:00:00", False), (None, None, None)]
+    df = spark.createDataFrame(rows, "d string, t string, b boolean").select(
+        F.col("d").cast("date"), F.col("t").cast("timestamp"), "b")
+
+    def count(column, operator, value):
+        return prep.filter_rows(df, column, operator, value).count()
+
+    assert count("d", "eq", "2023-01-01") == 1 and count("d", "neq", "2023-01-01") == 2
+    assert count("t", "gt", "2023-01-01") == 2 and count("t", "lte", "2023-01-01 10:00:00") == 1
+    assert count("d", "between", ("2023-01-02", "2023-12-31")) == 1
+    assert count("b", "eq", True) == 1 and count("b", "neq", True) == 2
+
+
 def test_duplicates_keep_the_first(spark):
     df = spark.createDataFrame([(3, "a", 1), (1, "a", 2), (2, None, 3), (4, None, 4)], "i int, k string, w int")
     kept = prep.remove_duplicates(df.repartition(4), ["k"], "i")
