@@ -175,6 +175,7 @@ _filter("filter_equal", "T1", "event_type", "eq", "error", "event_type = 'error'
 _filter("filter_not_equal", "T1", "value", "neq", 25.5, "value IS DISTINCT FROM 25.5")
 _filter("filter_greater", "T2", "value", "gt", "50", "value > 50")
 _filter("filter_less_or_equal", "T2", "value", "lte", 50, "value <= 50")
+_filter("filter_timestamp", "T2", "ts", "gte", "2024-01-15 12:00:00", "ts >= TIMESTAMP '2024-01-15 12:00:00'")
 _filter("filter_contains", "T3", "event_type", "contains", "ic", "contains(event_type, 'ic')")
 _filter("filter_not_contains", "T3", "event_type", "not_contains", "ic", "NOT contains(event_type, 'ic')")
 _filter("filter_between", "T4", "value", "between", (30, 60), "value BETWEEN 30 AND 60")
