@@ -152,8 +152,8 @@ def benchmark_windows(items: DataFrame, id: str, text: str, rule: Rule) -> DataF
 HITS = "array<struct<pos:int,window:long,slots:array<string>>>"
 
 
-def _hits(docs: DataFrame, known: np.ndarray, widths: list[int]) -> DataFrame:
-    """doc_id, key (hash of the text, if it has a hit) and hits of every document."""
+def _hits(docs: DataFrame, known: np.ndarray, widths: list[int], every_key: bool) -> DataFrame:
+    """doc_id, key (hash of the text, if it has a hit or ``every_key`` is set) and hits of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(known))
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("hits", pa.list_(pa.struct([
         ("pos", pa.int32()), ("window", pa.int64()), ("slots", pa.list_(pa.string()))])))])
@@ -168,6 +168,8 @@ def _hits(docs: DataFrame, known: np.ndarray, widths: list[int]) -> DataFrame:
                 tokens = canonical(data[cut[0] : cut[-1]], cut - cut[0])
                 hits: dict[int, list] = {}
                 for width in widths:
+                    if not len(known):
+                        break
                     at, found = template_windows(tokens, width)
                     near = np.minimum(np.searchsorted(known, found), len(known) - 1)
                     for k in np.flatnonzero(known[near] == found):
@@ -177,7 +179,7 @@ def _hits(docs: DataFrame, known: np.ndarray, widths: list[int]) -> DataFrame:
                             "pos": start - int(tokens.first[text]), "window": int(found[k].view(np.int64)),
                             "slots": _slots(tokens, start, width)})
                 keys = [blake2b(tokens.data[cut[t] - cut[0] : cut[t + 1] - cut[0]].tobytes(), digest_size=16).hexdigest()
-                        if t in hits else None for t in range(b - a)]
+                        if every_key or t in hits else None for t in range(b - a)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(keys, pa.string()),
                     pa.array([hits.get(t, []) for t in range(b - a)], schema.field("hits").type)], schema=schema)
@@ -212,12 +214,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     parts = []
     for k in range(passes):
         mine = windows_.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == k) if passes > 1 else windows_
-        parts.append(stored(_hits(rows, np.array([r["window"] for r in mine.collect()], np.int64), widths)))
+        parts.append(stored(_hits(rows, mine.toArrow()["window"].to_numpy(), widths, passes > 1)))
     hit = parts[0]
     for part in parts[1:]:
         hit = hit.unionByName(part)
     items_ = bench.select(F.col("id").alias("item"), "n", F.col("pos").alias("item_pos"), "width", "window", F.col("slots").alias("item_slots"))
-    one = hit.where("key is not null").select("key", F.explode("hits").alias("h")).select("key", "h.*").distinct()
+    one = hit.where(F.size("hits") > 0).select("key", F.explode("hits").alias("h")).select("key", "h.*").distinct()
     matched = stored(one.join(items_, "window").withColumn("place", F.col("pos") - F.col("item_pos")))
     spot = ["key", "item", "place"]
     covered = matched.select(*spot, "n", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1)).alias("token"))
@@ -227,7 +229,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     enough = (F.col("covered") >= F.col("n") * rule.share) | (F.col("covered") >= rule.tokens)
     found = covered.where(enough).join(broken, spot, "left_anti")
     verdict = found.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("covered") / F.col("n")).alias("coverage"))
-    marked = parts[0] if passes == 1 else hit.groupBy("doc_id").agg(F.max("key").alias("key"))
+    marked = parts[0].select("doc_id", "key")
     clean = marked.where("key is null").select("doc_id", F.lit(False).alias("contaminated"), none.alias("items"), F.lit(0.0).alias("coverage"))
     suspect = marked.where("key is not null").join(verdict, "key", "left").select(
         "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"),

@@ -349,7 +349,11 @@ def test_decontamination_by_templates(spark, odd, empty):
         got = {r.doc_id: r for r in decontaminate(docs, items, rule=rule).collect()}
         assert [k for k in sorted(got) if got[k].contaminated] == [1, 2, 8]
         assert got[1].items == [1] and got[2].coverage == 1.0 and got[4].items == [] and len(got) == len(rows)
-    assert decontaminate(odd, items).count() == odd.count() and decontaminate(empty, items).count() == 0
+    for rule in (Rule(), Rule(broadcast=3)):
+        assert decontaminate(odd, items, rule=rule).count() == odd.count() and decontaminate(empty, items, rule=rule).count() == 0
+    twice = documents(spark, [(1, question), (1, "clean"), (None, question)])
+    got = sorted((r.doc_id or 0, r.contaminated) for r in decontaminate(twice, items, rule=Rule(broadcast=5)).collect())
+    assert got == [(0, True), (1, False), (1, True)]
     assert not any(r.contaminated for r in decontaminate(docs, items.where("item_id < 0")).collect())
 
 
