@@ -172,6 +172,19 @@ def forecast_summary(spark, d):
     )[0]
 
 
+@case("forecast_against_own_limits", "F4", "o_orderpriority n# steps_to_breach# status", FORECAST_SQL + """,
+lim AS (SELECT key, avg(v) + stddev_samp(v) AS u, avg(v) - stddev_samp(v) AS l FROM num GROUP BY key),
+answer AS (SELECT key AS o_orderpriority, any_value(n) AS n, min(h) FILTER (y >= u OR y <= l) AS steps_to_breach,
+                  'forecast' AS status
+           FROM pro JOIN lim USING (key) GROUP BY key)""")
+def forecast_against_own_limits(spark, d):
+    sales = monthly_sales(spark, d)
+    mean, sd = F.avg("sales"), F.stddev_samp("sales")
+    limits = sales.groupBy("o_orderpriority").agg((mean + sd).alias("ucl"), (mean - sd).alias("lcl"))
+    limits = limits.withColumn("phase", F.lit("all"))
+    return forecast.forecast(sales, MONTHLY_SALES, horizon=HORIZON, limits=limits)[0]
+
+
 @case("dense_positions", "O1", "l_orderkey# l_linenumber# l_partkey# l_suppkey# idx#", """
 answer AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey,
            l_suppkey, l_shipdate, l_extendedprice) - 1 AS idx FROM lineitem)""")

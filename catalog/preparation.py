@@ -46,16 +46,16 @@ def csv_preview(spark, d):
     return tables.preview(tables.ordered_rows(table(spark, d, "orders"), "o_orderkey"))
 
 
-def _type_sql(columns: list[str], source: str = "events", order: str = "event_id") -> str:
+def _type_sql(columns: list[str], source: str = "events") -> str:
     parts = [
         f"""SELECT '{c}' AS name, {i} AS ordinal, count(v) AS present,
   count(TRY_CAST(v AS DOUBLE)) AS numbers, count(*) FILTER (TRY_CAST(v AS DOUBLE) IS NULL AND
   regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}([T ]\\d{{2}}:\\d{{2}}:\\d{{2}}.*)?$')) AS dates
-  FROM (SELECT CAST({c} AS VARCHAR) AS v FROM first50)"""
+  FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {source})"""
         for i, c in enumerate(columns)
     ]
     return (
-        f"first50 AS (SELECT * FROM {source} ORDER BY {order} LIMIT 50), counted AS ("
+        "counted AS ("
         + " UNION ALL ".join(parts)
         + """), typed AS (SELECT name, ordinal, CASE WHEN numbers / present > 0.8 THEN 'numeric'
   WHEN dates / present > 0.8 THEN 'datetime' ELSE 'text' END AS dtype FROM counted)"""
@@ -67,17 +67,28 @@ COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 @case("column_types", "S3", "name ordinal# dtype", _type_sql(COLUMNS) + ", answer AS (SELECT * FROM typed)")
 def column_types(spark, d):
-    return tables.column_types(events(spark, d), "event_id")
+    return tables.column_types(events(spark, d))
+
+
+LATE = "late AS (SELECT event_id, CASE WHEN event_id < 50 THEN CAST(value AS VARCHAR) ELSE event_type END AS reading FROM events), "
+
+
+@case("late_text_column", "S3", "name ordinal# dtype", LATE + _type_sql(["event_id", "reading"], "late") + """,
+answer AS (SELECT * FROM typed)""")
+def late_text_column(spark, d):
+    """A column that holds numbers in its first rows only."""
+    reading = F.when(F.col("event_id") < 50, F.col("value").cast("string")).otherwise(F.col("event_type"))
+    return tables.column_types(events(spark, d).select("event_id", reading.alias("reading")))
 
 
 @case("role_suggestions", "S4", "name ordinal# dtype role", _type_sql(COLUMNS) + """,
 answer AS (SELECT *, CASE WHEN name = 'value' THEN 'value' END AS role FROM typed)""")
 def role_suggestions(spark, d):
-    return tables.schema_profile(events(spark, d), "event_id")
+    return tables.schema_profile(events(spark, d))
 
 
 @case("role_fallback", "S4", "name ordinal# dtype role", "staged AS (SELECT *, o_orderpriority AS stage FROM orders), "
-      + _type_sql(["o_orderkey", "o_orderstatus", "stage", "o_orderdate"], "staged", "o_orderkey") + """,
+      + _type_sql(["o_orderkey", "o_orderstatus", "stage", "o_orderdate"], "staged") + """,
 answer AS (
   SELECT *, CASE WHEN ordinal = (SELECT min(ordinal) FROM typed WHERE dtype = 'numeric') THEN 'value'
                  WHEN name = 'stage' THEN 'phase' END AS role FROM typed)""")
@@ -85,7 +96,7 @@ def role_fallback(spark, d):
     rows = table(spark, d, "orders").select(
         "o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("stage"), "o_orderdate"
     )
-    return tables.schema_profile(rows, "o_orderkey")
+    return tables.schema_profile(rows)
 
 
 @case("typed_table", "S5", "c_custkey~ c_name c_mktsegment~ c_acctbal~", """

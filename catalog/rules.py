@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import cache
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.base import case, table
@@ -400,6 +402,29 @@ def analysis_points(spark, d):
     return analyze(rows, Recipe("imr", Roles("value", "event_id", "event_type", phase="month"))).points
 
 
+@case("analysis_points_xbar", "O2 A11", "l_returnflag phase idx# global_idx# label value~", """
+sub AS (SELECT l_returnflag, CAST(year(l_shipdate) AS VARCHAR) AS phase, strftime(l_shipdate, '%Y-%m') AS label,
+               avg(l_quantity) AS value, min(l_shipdate) AS first FROM lineitem GROUP BY ALL),
+answer AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, phase ORDER BY first) - 1 AS idx,
+                  row_number() OVER (PARTITION BY l_returnflag ORDER BY first) - 1 AS global_idx FROM sub)""")
+def analysis_points_xbar(spark, d):
+    """Phases of subgrouped points: positions count subgroups, not rows."""
+    rows = months(spark, d).withColumn("year", F.year("l_shipdate"))
+    return analyze(rows, Recipe("xbar_r", replace(MONTHLY, phase="year"))).points
+
+
+@case("phase_summary_subgroups", "M5", "l_returnflag phase total# start_index# end_index#", """
+per AS (SELECT l_returnflag, CAST(year(l_shipdate) AS VARCHAR) AS phase,
+               count(DISTINCT month(l_shipdate)) AS total FROM lineitem GROUP BY ALL),
+answer AS (SELECT *, sum(total) OVER w AS end_index, sum(total) OVER w - total AS start_index
+           FROM per WINDOW w AS (PARTITION BY l_returnflag ORDER BY phase))""")
+def phase_summary_subgroups(spark, d):
+    roles = replace(MONTHLY, phase="year")
+    rows = months(spark, d).withColumn("year", F.year("l_shipdate"))
+    c = variables.xbar_r(rows, roles)
+    return compare.phase_summary(c, rules.violations(c), phase_table(rows, roles))
+
+
 @case("analysis_with_exclusion", "O2 T32", f"{SERIES} idx# value~ ucl~ cl~ lcl~", """
 seq AS (
   SELECT event_type, 'all' AS phase, event_id, value,

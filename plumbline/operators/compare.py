@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.capability import grade
@@ -131,12 +131,18 @@ def violation_breakdown(
 
 
 def phase_summary(chart: Chart, violations: DataFrame, phases: DataFrame) -> DataFrame:
-    """Per phase: limits of its first point, points, flags of rule 1, index range."""
+    """Per phase: limits of its first point, points, flags of rule 1, index range.
+
+    ``phases`` says in which order the phases come; the index range counts the chart's points.
+    """
     keys = chart.keys
     totals, _ = violation_breakdown(chart, violations, F.lit(True))
     first = chart.sequence.df.where(F.col(IDX) == 0).select(*keys, "ucl", "cl", "lcl")
     table = join_keys(totals, first, keys)
-    return join_keys(table, phases, keys)
+    table = join_keys(table, phases.drop("start_index", "end_index"), keys)
+    w = Window.partitionBy(*[k for k in keys if k != PHASE]).orderBy("phase_rank")
+    upto = F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return table.withColumns({"start_index": upto - F.col("total"), "end_index": upto})
 
 
 # Fixed texts of the recommendations, by the rules that call for them.

@@ -144,11 +144,14 @@ def forecast(
     period: int | None = None,
     ucl: float | None = None,
     lcl: float | None = None,
+    limits: DataFrame | None = None,
     **sizing,
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, projection): per series the model and drift, and ``horizon`` future rows.
 
-    Series with fewer than 10 values are left out.
+    Breaches are of ``ucl`` and ``lcl``, or of each series' own limits if ``limits``, a
+    table of the keys with ucl and lcl, is given.  Series with fewer than 10 values have
+    the status ``too short``, no model and no projection.
     """
     if horizon < 1:
         raise ValueError(f"horizon must be positive, got {horizon}")
@@ -235,13 +238,13 @@ def forecast(
         "residual_sigma", scale
     )
     projection = project(summary, _season_table(rows, "n", keys), keys, horizon, confidence)
-    out_of_control = steps_to_breach(projection, keys, ucl, lcl)
-    summary = join_keys(summary, out_of_control, keys)
-    return (
-        summary.select(*keys, "n", "period", "model", "mape", "residual_sigma", "drift_score",
-                       "drift_label", "steps_to_breach"),
-        projection,
+    out_of_control = steps_to_breach(projection, keys, ucl, lcl, limits)
+    summary = join_keys(summary, out_of_control, keys).select(
+        *keys, "n", "period", "model", "mape", "residual_sigma", "drift_score", "drift_label",
+        "steps_to_breach", F.lit("forecast").alias("status"),
     )
+    short = found.where(F.col("n") < MIN_POINTS).select(*keys, "n", F.lit("too short").alias("status"))
+    return summary.unionByName(short, allowMissingColumns=True), projection
 
 
 def project(
@@ -278,10 +281,18 @@ def interval_width(z: float, residual_sigma: Column, h: Column, n: Column) -> Co
 
 
 def steps_to_breach(
-    projection: DataFrame, keys: list[str], ucl: float | None, lcl: float | None
+    projection: DataFrame,
+    keys: list[str],
+    ucl: float | None = None,
+    lcl: float | None = None,
+    limits: DataFrame | None = None,
 ) -> DataFrame:
     """First h whose projection reaches a limit; null if none does or limits are missing."""
-    if ucl is None or lcl is None:
+    if limits is not None:
+        own = limits.select(*keys, F.col("ucl").alias("_ucl"), F.col("lcl").alias("_lcl"))
+        projection = join_keys(projection, own, keys)
+        breach = (F.col("y") >= F.col("_ucl")) | (F.col("y") <= F.col("_lcl"))
+    elif ucl is None or lcl is None:
         breach = F.lit(False)
     else:
         breach = (F.col("y") >= ucl) | (F.col("y") <= lcl)

@@ -109,9 +109,10 @@ def typical_size(seq: Sequence) -> DataFrame:
     )
 
 
-def phase_table(df: DataFrame, roles: Roles) -> DataFrame:
+def phase_table(df: DataFrame, roles: Roles, points: DataFrame | None = None) -> DataFrame:
     """Phases per series in order of first appearance, with their global index range.
 
+    The range counts ``points``, the points of a chart; without them it counts values.
     ``end_index`` is exclusive.
     """
     order = roles.order_columns
@@ -121,6 +122,9 @@ def phase_table(df: DataFrame, roles: Roles) -> DataFrame:
         .groupBy(*roles.keys)
         .agg(first.alias("_first"), F.count(roles.value).alias("n"))
     )
+    if points is not None:
+        charted = points.groupBy(*roles.keys).agg(F.count(F.lit(1)).alias("n"))
+        per_phase = join_keys(per_phase.drop("n"), charted, roles.keys).na.fill(0, ["n"])
     w = Window.partitionBy(*roles.series_columns).orderBy("_first", PHASE)
     upto = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return per_phase.select(

@@ -20,7 +20,7 @@ from plumbline.operators import (
     variables,
 )
 from plumbline.operators.capability import NOT_CAPABLE_KINDS, capability
-from plumbline.operators.chart import Chart, individuals
+from plumbline.operators.chart import Chart
 from plumbline.operators.findings import facts, findings, health
 from plumbline.operators.rules import (
     NELSON_DEFAULT,
@@ -108,7 +108,8 @@ def analyze(df: DataFrame, recipe: Recipe) -> Analysis:
     """Run a recipe.  ``exclude`` names a boolean column: rows left out of estimation.
 
     Excluded rows are charted against the limits of the others, through the
-    parameters of the series and phase they belong to.
+    parameters of the series and phase they belong to.  The positions of a phase count
+    the points of the chart.
     """
     used = df if recipe.exclude is None else df.where(~F.coalesce(F.col(recipe.exclude), F.lit(False)))
     chart = draw(recipe.kind, used, recipe.roles, **recipe.options)
@@ -117,8 +118,11 @@ def analyze(df: DataFrame, recipe: Recipe) -> Analysis:
     fired = violations(chart, recipe.nelson, recipe.westgard, recipe.custom_rules)
     able = None
     if recipe.usl is not None and recipe.lsl is not None and recipe.kind not in NOT_CAPABLE_KINDS:
-        able = capability(used, recipe.roles, chart, recipe.usl, recipe.lsl)
-    phases = phase_table(df, recipe.roles)
+        measured = used
+        if recipe.options.get("missing") == "zero":
+            measured = used.withColumn(recipe.roles.value, F.coalesce(F.col(recipe.roles.value).cast("double"), F.lit(0.0)))
+        able = capability(measured, recipe.roles, chart, recipe.usl, recipe.lsl)
+    phases = phase_table(df, recipe.roles, chart.points)
     points = axis_labels(chart.points, subgrouped="subgroup" in chart.points.columns)
     starts = phases.select(*chart.keys, "start_index")
     points = join_keys(points, starts, chart.keys).withColumn(
@@ -129,7 +133,7 @@ def analyze(df: DataFrame, recipe: Recipe) -> Analysis:
 
 
 # Charts whose lines are the same for every point of a key.
-CONSTANT_LINES = frozenset({"imr", "levey_jennings", "run", "g", "t"})
+CONSTANT_LINES = frozenset({"imr", "mr", "levey_jennings", "run", "g", "t"})
 
 
 def _charted_with_excluded(df: DataFrame, chart: Chart, recipe: Recipe) -> Chart:
@@ -139,7 +143,8 @@ def _charted_with_excluded(df: DataFrame, chart: Chart, recipe: Recipe) -> Chart
     lines = chart.sequence.df.where(F.col(IDX) == 0).select(
         *chart.keys, "ucl", "cl", "lcl", "zone_cl", "zone_sigma"
     )
-    every = individuals(df, recipe.roles)
+    every = draw(recipe.kind, df, recipe.roles, **recipe.options).sequence
+    every = every.with_df(every.df.drop("ucl", "cl", "lcl", "zone_cl", "zone_sigma"))
     return replace(chart, sequence=every.with_df(join_keys(every.df, lines, chart.keys)))
 
 

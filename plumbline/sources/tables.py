@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from plumbline.operators.prep import numeric, trimmed
 from plumbline.operators.series import IDX, listed, sequence
 
-SAMPLE_ROWS = 50
 MAX_COLUMNS = 10_000
 MAJORITY = 0.8
 
@@ -55,12 +54,17 @@ def preview(df: DataFrame, n: int = 100) -> DataFrame:
     return df.limit(n)
 
 
-def column_types(df: DataFrame, order: str | list[str] | None = None) -> DataFrame:
-    """(name, ordinal, dtype) from the first 50 rows: numeric, datetime or text.
+def column_types(
+    df: DataFrame, order: str | list[str] | None = None, sample: int | None = None
+) -> DataFrame:
+    """(name, ordinal, dtype) from all rows: numeric, datetime or text.
 
-    ``order`` says what "first" means; without it the reader's order is taken.
+    ``sample`` looks at that many first rows only; ``order`` says what "first" means,
+    and without it the reader's order is taken.
     """
-    sample = (df.orderBy(*listed(order)) if order else df).limit(SAMPLE_ROWS)
+    looked_at = df
+    if sample is not None:
+        looked_at = (df.orderBy(*listed(order)) if order else df).limit(sample)
     entries = []
     for ordinal, name in enumerate(df.columns):
         text = trimmed(F.col(name).cast("string"))
@@ -78,7 +82,7 @@ def column_types(df: DataFrame, order: str | list[str] | None = None) -> DataFra
                 F.count_if(present & ~number & date).alias("dates"),
             )
         )
-    counts = sample.agg(F.array(*entries).alias("_c")).select(F.inline("_c"))
+    counts = looked_at.agg(F.array(*entries).alias("_c")).select(F.inline("_c"))
     dtype = (
         F.when(F.col("present") == 0, "text")
         .when(F.col("numbers") / F.col("present") > MAJORITY, "numeric")
@@ -88,13 +92,15 @@ def column_types(df: DataFrame, order: str | list[str] | None = None) -> DataFra
     return counts.select("name", "ordinal", dtype.alias("dtype"))
 
 
-def schema_profile(df: DataFrame, order: str | list[str] | None = None) -> DataFrame:
+def schema_profile(
+    df: DataFrame, order: str | list[str] | None = None, sample: int | None = None
+) -> DataFrame:
     """Types with suggested roles; at most one value, by name or the first numeric column."""
     lower = F.lower(F.trim("name"))
     named = F.lit(None).cast("string")
     for role, names in ROLE_NAMES.items():
         named = F.when(lower.isin(list(names)), role).otherwise(named)
-    table = column_types(df, order).withColumn("_named", named)
+    table = column_types(df, order, sample).withColumn("_named", named)
     # one row per column of a table: a single small partition
     everything = Window.partitionBy(F.lit(1))
     first_value = F.min(F.when(F.col("_named") == "value", F.col("ordinal"))).over(everything)
