@@ -217,7 +217,7 @@ def test_forecast_of_known_shapes(spark):
     df = spark.createDataFrame(data, "k string, i int, v double")
     summary, future = forecast.forecast(df, Roles("v", "i", "k"), horizon=24, ucl=140.0, lcl=0.0)
     best = {r["k"]: r for r in summary.collect()}
-    assert set(best) == {"line", "season"}
+    assert {k: r["status"] for k, r in best.items()} == {"line": "forecast", "season": "forecast", "short": "too short"}
     assert best["line"]["model"] in ("linear", "drift") and best["line"]["drift_label"] == "Approaching drift"
     assert (best["season"]["model"], best["season"]["period"]) == ("seasonal", 12)
     ahead = {k: g.sort_values("h") for k, g in future.toPandas().groupby("k")}
