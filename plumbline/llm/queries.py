@@ -70,7 +70,7 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
-    chats = format_chats(conversation_records(rows), "key", "record")
+    chats = format_chats(conversation_records(rows), "key", ("pair", "many"))
     turns = F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = learned_text(F.col("formatted"), F.col("loss"))
     return chats.select(

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from plumbline.llm import bpe as bpe_module
 from plumbline.llm.bpe import DIGESTS, Vocabulary, bpe, digests, encode, read_ranks
-from plumbline.llm.chat_format import BEGIN, END, LAYOUTS, canonical_turns, format_chats, learned_text, read_back, shape
+from plumbline.llm.chat_format import (
+    BEGIN, END, LAYOUTS, canonical_turns, conversation_records, format_chats, learned_text, read_back, shape, typed_shape,
+)
 from plumbline.llm.chunks import deltas, expand, squeeze, undo
 from plumbline.llm.decontaminate import Rule, decontaminate
 from plumbline.llm.minhash import Near, keep_one_of_each, near_duplicates
@@ -226,6 +228,33 @@ def test_chat_layouts_and_round_trip(spark):
     assert spark.range(1).select(shape(F.try_parse_json(F.lit('{"b":1,"a":["x"]}')))).first()[0].startswith("OBJECT<a: ARRAY")
 
 
+def test_chat_texts_above_the_limits_of_json(spark):
+    turn, size = "conv_id long, turn long, role string, text string", 21_000_000
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "x"), (2, 0, "system", "s"), (2, 1, "user", "q"), (2, 2, "assistant", "x")], turn)
+    rows = rows.withColumn("text", F.when(F.col("text") == "x", F.repeat("text", F.lit(size))).otherwise(F.col("text")))
+    chats = format_chats(conversation_records(rows), "key", ("pair", "many"))
+    got = {r.key: r for r in chats.select("key", "layout", F.size(read_back(F.col("formatted"))).alias("n"),
+                                          F.char_length(learned_text(F.col("formatted"), F.col("loss"))).alias("learned")).collect()}
+    assert (got[1].layout, got[1].n, got[1].learned) == ("prompt", 2, size)
+    assert (got[2].layout, got[2].n, got[2].learned) == ("messages", 3, size)
+    json = conversation_records(rows).select("key", F.to_json("pair").alias("record")).where("key = 1")
+    with pytest.raises(Exception, match="over the limits of the JSON parser"):
+        format_chats(json, "key", "record").collect()
+
+
+def test_chat_records_by_type(spark):
+    kinds = "a struct<conversations:array<struct<value:string,from:string>>>, b struct<output:string,input:string,instruction:string>, c struct<x:int>"
+    rows = [(1, ([("v", "human"), (None, "gpt")],), None, None, '{"prompt":"p","completion":"c"}'), (2, None, ("o", None, "i"), None, None),
+            (3, None, None, (1,), None), (4, None, None, None, '{"prompt":"p","completion":"c"}'), (5, None, None, None, None)]
+    df = spark.createDataFrame(rows, f"key int, {kinds}, json string")
+    got = format_chats(df, "key", ("a", "b", "c", "json")).select("*", read_back(F.col("formatted")).alias("turns")).collect()
+    turns = {r.key: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in got}
+    assert turns == {1: ("conversations", [("user", "v"), ("assistant", "")]), 2: ("instruction_input", [("user", "i"), ("assistant", "o")]),
+                     3: (None, None), 4: ("prompt", [("user", "p"), ("assistant", "c")]), 5: (None, None)}
+    json = df.select(F.to_json("a").alias("j"), "a").where("key = 1")
+    assert json.select(shape(F.try_parse_json("j"))).first()[0] == typed_shape(json.schema["a"].dataType)
+
+
 def test_url_rules(spark):
     rules = (SiteRule("allow", "org", "/"), SiteRule("block", "example.org", "/es/"), SiteRule("block", "net", ""))
     patterns = (PatternRule("block", "/casino/"), PatternRule("block", "ads*js"), PatternRule("block", "^sid="))
