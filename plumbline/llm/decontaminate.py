@@ -22,6 +22,9 @@ UNITS = (
     "feet inches grams kilograms liters litres seconds minutes hours days weeks months years"
 ).split()
 NUMBER, NAME, UNIT = (np.uint64(k) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+WRITTEN = np.uint64(0x589965CC75374CC3)
+#: Kinds of windows: canonical tokens, tokens as written, the item's tokens in lower case.
+TEMPLATE, AS_WRITTEN, LOWERED = range(3)
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 STOPS = np.zeros(256, bool)
@@ -34,11 +37,12 @@ NUMERIC[[ord(c) for c in ".,-+/"]] = True
 
 @dataclass(frozen=True)
 class Rule:
-    """Windows of ``width`` canonical tokens, half of them literal at least.
+    """Windows of ``width`` tokens: canonical, if half of them are literal at least, as written, and in lower case.
 
     An item is found in a text if, at one place, ``share`` of its tokens or ``tokens`` of
-    them lie in equal windows, and no slot value of the item stands for two values there.
-    ``broadcast`` bounds the windows that one pass over the documents carries to each task.
+    them lie in equal windows; more than ``share``, if some are equal in lower case only;
+    and no slot value of the item stands for two values there.  ``broadcast`` bounds the
+    windows that one pass over the documents carries to each task.
     """
 
     width: int = 8
@@ -57,8 +61,11 @@ class Tokens:
     hashes: np.ndarray
     slot: np.ndarray
 
+    def written(self, k: int) -> str:
+        return self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace")
+
     def value(self, k: int) -> str:
-        return self.data[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace").lower()
+        return self.written(k).lower()
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -118,45 +125,62 @@ def template_windows(tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray
     return at[literal], mix(found[literal] + np.uint64(width))
 
 
-WINDOWS = "id long, n int, pos int, width int, window long, slots array<string>"
+def written_windows(tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token and hash of every window, of the tokens as they are written."""
+    hashes = rolling(tokens.data.astype(np.uint64) + np.uint64(1), tokens.starts, tokens.ends, BYTE_BASE)
+    at, found = windows(hashes, tokens.text, width)
+    return at, mix(found + np.uint64(width) ^ WRITTEN)
+
+
+WINDOWS = "id long, n int, pos int, width int, kind int, window long, slots array<string>, words string"
 
 
 def _slots(tokens: Tokens, at: int, width: int) -> list[str]:
     return [tokens.value(k) for k in range(at, at + width) if tokens.slot[k]]
 
 
+def _words(tokens: Tokens, at: int, width: int) -> str:
+    return " ".join(tokens.written(k) for k in range(at, at + width))
+
+
 def benchmark_windows(items: DataFrame, id: str, text: str, rule: Rule) -> DataFrame:
-    """Template windows of the items; an item of fewer tokens is one window."""
+    """Windows of the items, of every kind; an item of fewer tokens is one window."""
     ship(items.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("width", pa.int32()),
-                        ("window", pa.int64()), ("slots", pa.list_(pa.string()))])
+                        ("kind", pa.int32()), ("window", pa.int64()), ("slots", pa.list_(pa.string())), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             tokens = canonical(data, offsets)
+            lowered = canonical(*utf8(pa.array([(t or "").lower() for t in batch.column(1).to_pylist()], pa.string())))
             n, rows = np.diff(tokens.first), []
             for width in range(1, rule.width + 1):
-                at, found = template_windows(tokens, width)
-                t = tokens.text[at]
-                for k in np.flatnonzero((n[t] == width) | ((width == rule.width) & (n[t] > width))):
-                    a = int(at[k])
-                    rows.append({"id": batch.column(0)[t[k]].as_py(), "n": int(n[t[k]]), "pos": a - int(tokens.first[t[k]]),
-                                 "width": width, "window": int(found[k].view(np.int64)), "slots": _slots(tokens, a, width)})
+                written = written_windows(tokens, width)
+                at, low = written_windows(lowered, width)
+                changed = low != written[1]
+                for kind, (at, found), words in ((TEMPLATE, template_windows(tokens, width), None), (AS_WRITTEN, written, tokens),
+                                                 (LOWERED, (at[changed], low[changed]), lowered)):
+                    t = tokens.text[at]
+                    for k in np.flatnonzero((n[t] == width) | ((width == rule.width) & (n[t] > width))):
+                        a = int(at[k])
+                        rows.append({"id": batch.column(0)[t[k]].as_py(), "n": int(n[t[k]]), "pos": a - int(tokens.first[t[k]]),
+                                     "width": width, "kind": kind, "window": int(found[k].view(np.int64)),
+                                     "slots": _slots(tokens, a, width), "words": words and _words(words, a, width)})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     rows = items.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, WINDOWS)
 
 
-HITS = "array<struct<pos:int,window:long,slots:array<string>>>"
+HITS = "array<struct<pos:int,window:long,slots:array<string>,words:string>>"
 
 
 def _hits(docs: DataFrame, known: np.ndarray, widths: list[int], every_key: bool) -> DataFrame:
     """doc_id, key (hash of the text, if it has a hit or ``every_key`` is set) and hits of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(known))
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("hits", pa.list_(pa.struct([
-        ("pos", pa.int32()), ("window", pa.int64()), ("slots", pa.list_(pa.string()))])))])
+        ("pos", pa.int32()), ("window", pa.int64()), ("slots", pa.list_(pa.string())), ("words", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value.view(np.uint64)
@@ -170,14 +194,15 @@ def _hits(docs: DataFrame, known: np.ndarray, widths: list[int], every_key: bool
                 for width in widths:
                     if not len(known):
                         break
-                    at, found = template_windows(tokens, width)
-                    near = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    for k in np.flatnonzero(known[near] == found):
-                        start = int(at[k])
-                        text = int(tokens.text[start])
-                        hits.setdefault(text, []).append({
-                            "pos": start - int(tokens.first[text]), "window": int(found[k].view(np.int64)),
-                            "slots": _slots(tokens, start, width)})
+                    for (at, found), written in ((template_windows(tokens, width), False), (written_windows(tokens, width), True)):
+                        near = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                        for k in np.flatnonzero(known[near] == found):
+                            start = int(at[k])
+                            text = int(tokens.text[start])
+                            hits.setdefault(text, []).append({
+                                "pos": start - int(tokens.first[text]), "window": int(found[k].view(np.int64)),
+                                "slots": [] if written else _slots(tokens, start, width),
+                                "words": _words(tokens, start, width) if written else None})
                 keys = [blake2b(tokens.data[cut[t] - cut[0] : cut[t + 1] - cut[0]].tobytes(), digest_size=16).hexdigest()
                         if every_key or t in hits else None for t in range(b - a)]
                 yield pa.RecordBatch.from_arrays([
@@ -189,19 +214,20 @@ def _hits(docs: DataFrame, known: np.ndarray, widths: list[int], every_key: bool
 
 def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",
                   item: str = "item_id", item_text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """Find benchmark items in documents by template windows.
+    """Find benchmark items in documents by template windows, and by windows as written or in lower case.
 
     Hashes of the items' windows go to every task, as many at a time as ``rule.broadcast``
     allows; a larger benchmark takes several passes.  Hits are joined to the items'
     windows by hash and grouped by text, item and place (the distance of the positions),
     so each copy is judged alone: by the item's tokens that its windows cover, and by its
-    slots, where equal values of the item must have become equal values.
+    slots, where equal values of the item must have become equal values.  Windows as written
+    or in lower case also compare the words, so items rich in numbers or names are found too.
 
     Result: doc_id, contaminated, items (ids found, sorted) and coverage (largest share of
-    a found item's tokens, else 0).  One row per input row.  Null and empty texts, items
-    without id and items without a window that is half literal match nothing; repeated
-    rows get equal results; an empty table gives no rows, and without items every row is
-    clean.  Other columns are ignored.
+    a found item's tokens, else 0).  One row per input row.  Null and empty texts and items
+    without id match nothing; an item without a window that is half literal is found as
+    written or in lower case only; repeated rows get equal results; an empty table gives
+    no rows, and without items every row is clean.  Other columns are ignored.
     """
     bench = stored(benchmark_windows(items, item, item_text, rule))
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -218,16 +244,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     hit = parts[0]
     for part in parts[1:]:
         hit = hit.unionByName(part)
-    items_ = bench.select(F.col("id").alias("item"), "n", F.col("pos").alias("item_pos"), "width", "window", F.col("slots").alias("item_slots"))
+    items_ = bench.select(F.col("id").alias("item"), "n", F.col("pos").alias("item_pos"), "width", "kind", "window",
+                          F.col("slots").alias("item_slots"), F.col("words").alias("item_words"))
     one = hit.where(F.size("hits") > 0).select("key", F.explode("hits").alias("h")).select("key", "h.*").distinct()
-    matched = stored(one.join(items_, "window").withColumn("place", F.col("pos") - F.col("item_pos")))
+    same = one.join(items_, "window").where(F.col("words").eqNullSafe(F.col("item_words")))
+    slots = F.when(F.col("kind") == TEMPLATE, F.col("slots")).otherwise(F.col("item_slots"))
+    matched = stored(same.withColumn("slots", slots).withColumn("place", F.col("pos") - F.col("item_pos")).drop("words", "item_words"))
     spot = ["key", "item", "place"]
-    covered = matched.select(*spot, "n", F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1)).alias("token"))
-    covered = covered.distinct().groupBy(*spot).agg(F.count("*").alias("covered"), F.max("n").alias("n"))
     pairs = matched.select(*spot, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*spot, "s.item_slots", "s.slots")
     broken = pairs.distinct().groupBy(*spot, "item_slots").count().where("count > 1").select(*spot).distinct()
-    enough = (F.col("covered") >= F.col("n") * rule.share) | (F.col("covered") >= rule.tokens)
-    found = covered.where(enough).join(broken, spot, "left_anti")
+    covered = matched.select(*spot, "n", (F.col("kind") < LOWERED).cast("int").alias("cased"),
+                          F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1)).alias("token"))
+    covered = covered.groupBy(*spot, "token").agg(F.max("cased").alias("cased"), F.max("n").alias("n"))
+    covered = covered.groupBy(*spot).agg(F.count("*").alias("covered"), F.sum("cased").alias("cased"), F.max("n").alias("n"))
+    least = F.col("n") * rule.share
+    found = covered.where((F.col("cased") >= least) | (F.col("covered") > least) | (F.col("covered") >= rule.tokens))
+    found = found.join(broken, spot, "left_anti")
     verdict = found.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("covered") / F.col("n")).alias("coverage"))
     marked = parts[0].select("doc_id", "key")
     clean = marked.where("key is null").select("doc_id", F.lit(False).alias("contaminated"), none.alias("items"), F.lit(0.0).alias("coverage"))

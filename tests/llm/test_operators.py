@@ -386,6 +386,19 @@ def test_decontamination_by_templates(spark, odd, empty):
     assert not any(r.contaminated for r in decontaminate(docs, items.where("item_id < 0")).collect())
 
 
+def test_decontamination_of_verbatim_and_lower_cased_copies(spark):
+    questions = {1: "Compute 12 + 34 * 56 - 78 / 9 + 101.", 3: "WHICH RIVER FLOWS THROUGH THE CITY OF CAIRO IN EGYPT",
+                 2: "Alice Smith, Bob Jones and Carol White met President Barack Obama in New York City."}
+    items = spark.createDataFrame(list(questions.items()), "item_id long, text string")
+    rng = random.Random(14)
+    copies = [(10 * k + low, words(rng, 30) + " " + (q.lower() if low else q) + " " + words(rng, 30)) for k, q in questions.items() for low in (0, 1)]
+    other = [(90, "Compute 13 + 35 * 57 - 79 / 8 + 102."), (91, "Dora Smyth, Ben Johns and Clara Black met Chancellor Angela Merkel in Old York Town.")]
+    for rule in (Rule(), Rule(broadcast=20)):
+        got = {r.doc_id: r for r in decontaminate(documents(spark, copies + other), items, rule=rule).collect()}
+        assert {k: r.items for k, r in got.items()} == {k: [k // 10] if k < 90 else [] for k in got}
+        assert all(r.coverage == 1.0 for k, r in got.items() if k < 90)
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = table(spark, "documents")
     columns = docs.columns
