@@ -40,8 +40,9 @@ class Rule:
     """Windows of ``width`` tokens: canonical, if half of them are literal at least, as written, and in lower case.
 
     An item is found in a text if, at one place, ``share`` of its tokens or ``tokens`` of
-    them lie in equal windows; more than ``share``, if some are equal in lower case only;
-    and no slot value of the item stands for two values there.  ``broadcast`` bounds the
+    them lie in equal windows; more than ``share``, if some are equal in lower case only.
+    A window with other slot values than the item's counts only if it holds no slot value
+    of the item that stands for two values at that place.  ``broadcast`` bounds the
     windows that one pass over the documents carries to each task.
     """
 
@@ -219,9 +220,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     Hashes of the items' windows go to every task, as many at a time as ``rule.broadcast``
     allows; a larger benchmark takes several passes.  Hits are joined to the items'
     windows by hash and grouped by text, item and place (the distance of the positions),
-    so each copy is judged alone: by the item's tokens that its windows cover, and by its
-    slots, where equal values of the item must have become equal values.  Windows as written
-    or in lower case also compare the words, so items rich in numbers or names are found too.
+    so each copy is judged alone, by the item's tokens that its windows cover.  Where equal
+    slot values of the item have become unequal ones, the windows that hold them do not
+    count, but for windows whose slot values are the item's own.  Windows as written or in
+    lower case also compare the words, so items rich in numbers or names are found too.
 
     Result: doc_id, contaminated, items (ids found, sorted) and coverage (largest share of
     a found item's tokens, else 0).  One row per input row.  Null and empty texts and items
@@ -252,14 +254,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     matched = stored(same.withColumn("slots", slots).withColumn("place", F.col("pos") - F.col("item_pos")).drop("words", "item_words"))
     spot = ["key", "item", "place"]
     pairs = matched.select(*spot, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*spot, "s.item_slots", "s.slots")
-    broken = pairs.distinct().groupBy(*spot, "item_slots").count().where("count > 1").select(*spot).distinct()
-    covered = matched.select(*spot, "n", (F.col("kind") < LOWERED).cast("int").alias("cased"),
+    broken = pairs.distinct().groupBy(*spot, "item_slots").count().where("count > 1")
+    broken = broken.groupBy(*spot).agg(F.collect_list("item_slots").alias("broken"))
+    sound = (F.col("slots") == F.col("item_slots")) | F.col("broken").isNull() | ~F.arrays_overlap("item_slots", "broken")
+    left = matched.join(broken, spot, "left").where(sound)
+    covered = left.select(*spot, "n", (F.col("kind") < LOWERED).cast("int").alias("cased"),
                           F.explode(F.sequence("item_pos", F.col("item_pos") + F.col("width") - 1)).alias("token"))
     covered = covered.groupBy(*spot, "token").agg(F.max("cased").alias("cased"), F.max("n").alias("n"))
     covered = covered.groupBy(*spot).agg(F.count("*").alias("covered"), F.sum("cased").alias("cased"), F.max("n").alias("n"))
     least = F.col("n") * rule.share
     found = covered.where((F.col("cased") >= least) | (F.col("covered") > least) | (F.col("covered") >= rule.tokens))
-    found = found.join(broken, spot, "left_anti")
     verdict = found.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("covered") / F.col("n")).alias("coverage"))
     marked = parts[0].select("doc_id", "key")
     clean = marked.where("key is null").select("doc_id", F.lit(False).alias("contaminated"), none.alias("items"), F.lit(0.0).alias("coverage"))

@@ -399,6 +399,20 @@ def test_decontamination_of_verbatim_and_lower_cased_copies(spark):
         assert all(r.coverage == 1.0 for k, r in got.items() if k < 90)
 
 
+def test_decontamination_with_one_edited_slot(spark):
+    rng = random.Random(15)
+    left = " ".join(f"a{k}b" for k in range(20))
+    question = f"{left} costs 40 coins {left[::-1]} gives 40 pens " + " ".join(f"c{k}d" for k in range(14))
+    moved = question.replace("costs 40", "costs 55").replace("gives 40", "gives 56")
+    items = spark.createDataFrame([(1, question)], "item_id long, text string")
+    cases = {1: question.replace("gives 40", "gives 41"), 2: moved, 3: " ".join(moved.split()[14:30]), 4: " ".join(moved.split()[38:52])}
+    docs = documents(spark, [(k, words(rng, 30) + " " + t + " " + words(rng, 30)) for k, t in cases.items()])
+    got = {r.doc_id: r for r in decontaminate(docs, items).collect()}
+    n = len(question.split())
+    assert [got[k].items for k in cases] == [[1], [1], [1], [1]]
+    assert got[1].coverage == (n - 1) / n and got[2].coverage == (n - 2) / n
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = table(spark, "documents")
     columns = docs.columns
