@@ -86,10 +86,9 @@ def unpack_tables(packs: pa.ChunkedArray) -> pa.Table | None:
 def dealt(docs: DataFrame, id: str, text: str, chunks: int) -> DataFrame:
     """``chunk`` and ``pack``: rows (id, text) by hash of the id, or of the text where the id is null."""
     ship(docs.sparkSession)
-    key = F.xxhash64(F.when(F.col(id).isNull(), F.col(text)), F.col(id))
-    rows = docs.select(
-        F.pmod(key, F.lit(chunks)).alias("chunk"), F.col(id).cast("long").alias("id"), F.col(text).alias("text")
-    )
+    number = F.col(id).cast("long")  # an int hashes otherwise than a long
+    key = F.xxhash64(F.when(number.isNull(), F.col(text)), number)
+    rows = docs.select(F.pmod(key, F.lit(chunks)).alias("chunk"), number.alias("id"), F.col(text).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ from plumbline.llm.bpe import DIGESTS, Vocabulary, bpe, digests, encode, read_ra
 from plumbline.llm.chat_format import (
     BEGIN, END, LAYOUTS, canonical_turns, conversation_records, format_chats, learned_text, read_back, shape, typed_shape,
 )
-from plumbline.llm.chunks import deltas, expand, squeeze, undo
+from plumbline.llm.chunks import deltas, expand, sizes, squeeze, undo
 from plumbline.llm.decontaminate import Rule, decontaminate
 from plumbline.llm.minhash import Near, keep_one_of_each, near_duplicates
 from plumbline.llm.ngram_model import Shard, discounts, grams
@@ -135,6 +135,19 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert Counter(r.doc_id for r in left.collect()) == Counter([1, 2, 3, 4, 7, 9, None, None])
 
 
+def test_int_ids_meet_long_ones_in_every_chunk(spark, monkeypatch):
+    monkeypatch.setattr("plumbline.llm.chunks.SMALLEST_CHUNK", 1_000)
+    docs, labels = labelled(spark, random.Random(16), 200)
+    near = docs.withColumn("doc_id", F.col("doc_id") + 1000).withColumn("text", F.concat("text", F.lit(" tail")))
+    docs = docs.unionByName(near)
+    assert sizes(docs, "text").chunks > 3
+    short = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
+    got = {r.doc_id: r.component_id for r in near_duplicates(short, near=Near(width=2)).collect()}
+    assert all(got[k] == got[k + 1000] for k in range(200))
+    scores = lambda d: {r.doc_id: r.score for r in toxicity(d, labels).collect()}
+    assert scores(short) == scores(docs)
+
+
 def test_components_of_chains_and_rings(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (101, 100), (7, 7)]
     got = components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
