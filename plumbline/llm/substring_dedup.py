@@ -166,8 +166,8 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     Windows are judged on the input.  Each chunk of documents sends its distinct window
     hashes, with their smallest id, to buckets of the hash space; a bucket answers with
     the hashes a smaller id of another chunk owns; the chunk merges the covered words
-    into maximal intervals.  Hashes have 64 bits: among 10**12 distinct windows about
-    three in a hundred runs meet one false repeat.
+    into maximal intervals.  Hashes have 64 bits and are not confirmed: n distinct
+    windows meet n * n / 2**65 false repeats on average, 0.03 for 10**9 and 27,000 for 10**12.
 
     Result: doc_id, n_words, n_removed, removed (word intervals, end exclusive) and
     kept_text (words joined by one space).  One row per input row, in no order.  A null
