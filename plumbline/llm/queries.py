@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.bpe import DIGESTS, bpe, digests
 from plumbline.llm.chat_format import conversation_records, format_chats, learned_text, read_back
 from plumbline.llm.decontaminate import decontaminate
+from plumbline.llm.divergence import divergence
 from plumbline.llm.minhash import Near, near_duplicates
 from plumbline.llm.quality import quality
 from plumbline.llm.secret_scan import BASE, listed, secret_scan
@@ -106,3 +107,8 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(table(spark, folder, "documents"))
