@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.alignment import alignment
 from plumbline.llm.bpe import DIGESTS, bpe, digests
 from plumbline.llm.chat_format import conversation_records, format_chats, learned_text, read_back
+from plumbline.llm.chunk_bpe import chunk_bpe, digests_of
 from plumbline.llm.decontaminate import decontaminate
 from plumbline.llm.divergence import divergence
 from plumbline.llm.minhash import Near, near_duplicates
@@ -112,3 +114,15 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence(table(spark, folder, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    byte_file, piece_file = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment(table(spark, folder, "documents"), byte_file, piece_file)
+
+
+@query
+def op13_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return chunk_bpe(table(spark, folder, "documents"), path, finish=digests_of, schema=DIGESTS)
