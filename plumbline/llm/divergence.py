@@ -13,9 +13,9 @@ from plumbline.llm.chunks import ship
 from plumbline.llm.storage import stored
 from plumbline.llm.words import LOWER, slices, utf8
 
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: Rows that a task adds up before it sends them on, and entries (term, source) of a tile.
-ROWS = 1_000_000
+ROWS = 500_000
 TILE = 100_000
 #: Probabilities are integers out of this.
 SCALE = 1_000_000_000
