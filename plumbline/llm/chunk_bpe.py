@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 AHEAD = 3
 #: A chunk ends where the hash of the last WINDOW bytes is divisible by SPACING, its length on average.
 WINDOW, SPACING = 16, 128
-CACHE_CHUNKS = 100_000
+CACHE_CHUNKS, CACHE_PIECES = 100_000, 300_000
 SLICE = 1_000_000
 
 
@@ -70,29 +72,27 @@ class JsonVocabulary(Vocabulary):
 
 
 class Chunk:
-    """A chunk encoded by itself: starts of its pieces, where their ids begin, the ids, and how many pieces the end cannot change."""
+    """A chunk encoded by itself: starts of its pieces, ids as 32-bit integers and where each piece's begin, and how many pieces the end cannot change."""
 
     __slots__ = ("starts", "first", "ids", "safe", "length")
 
-    def __init__(self, text: str, pieces: list[str], ids: list[tuple[int, ...]]):
-        self.starts, self.first, self.length = [], [0], len(text)
-        at = n = 0
-        for piece, found in zip(pieces, ids):
-            self.starts.append(at)
-            at += len(piece)
-            n += len(found)
-            self.first.append(n)
-        self.ids = list(chain.from_iterable(ids))
+    def __init__(self, text: str, pieces: list[str], ids: list[bytes]):
+        self.length = len(text)
+        self.starts = array("i", accumulate(map(len, pieces), initial=0))
+        self.starts.pop()
+        self.first = array("i", accumulate(map(len, ids), initial=0))
+        self.ids = b"".join(ids)
         self.safe = min(len(pieces) - 1, bisect_right(self.starts, len(text) - AHEAD))
 
 
 class Encoder:
-    """Encodes texts through a bounded cache of chunks; one per Python worker."""
+    """Encodes texts through bounded caches of chunks and pieces; one per Python worker."""
 
     def __init__(self, vocab: JsonVocabulary):
         self.vocab = vocab
         self.pattern = regex.compile(PIECE)
         self.chunks: dict[str, Chunk] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> dict[str, Chunk]:
         """The chunks with their ids; those not known yet are encoded, each once."""
@@ -101,18 +101,25 @@ class Encoder:
         pieces = [self.pattern.findall(c) for c in new]
         ids = self.merged(chain.from_iterable(pieces))
         for c, own in zip(new, pieces):
-            known[c] = Chunk(c, own, [ids[p] for p in own])
+            known[c] = Chunk(c, own, list(map(ids.__getitem__, own)))
         if len(self.chunks) + len(new) > CACHE_CHUNKS:
             self.chunks.clear()
         self.chunks.update(islice(((c, known[c]) for c in new), CACHE_CHUNKS))
         return known
 
-    def merged(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of the distinct pieces."""
-        distinct = list(dict.fromkeys(pieces))
-        return dict(zip(distinct, self.vocab.ids([p.encode() for p in distinct])))
-
-    def join(self, text: str, chunks: list[Chunk], out: list[list[int] | str]) -> None:
+    def merged(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of pieces; those not known yet are merged together, each once."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        distinct = set(pieces)
+        new = [p for p in distinct if p not in self.pieces]
+        merged = self.vocab.merge([p.encode() for p in new])
+        ends = list(accumulate((4 * len(ids) for ids in merged), initial=0))
+        flat = np.fromiter(chain.from_iterable(merged), np.int32, ends[-1] // 4).tobytes()
+        self.pieces.update((p, flat[a:b]) for p, a, b in zip(new, ends, ends[1:]))
+        return self.pieces
+
+    def join(self, text: str, chunks: list[Chunk], out: list[bytes | str]) -> None:
         """Put the ids of ``text``, or its pieces where they are to be encoded anew, into ``out``.
 
         Pieces of a chunk hold once one of them begins where a piece of the text begins,
@@ -153,19 +160,19 @@ class Encoder:
                 parts.append([text[x:y] for x, y in zip(inner, inner[1:])])
                 segments[-1].append(text[a:b])
         known = self.learn(list(chain.from_iterable(parts)))
-        out: list[list[int] | str] = []
+        out: list[bytes | str] = []
         ends, next_part = [0], iter(parts)
         for own in segments:
             for segment in own:
                 if isinstance(segment, int):
-                    out.append([segment])
+                    out.append(segment.to_bytes(4, sys.byteorder))
                 else:
                     self.join(segment, [known[c] for c in next(next_part)], out)
             ends.append(len(out))
         ids = self.merged(part for part in out if isinstance(part, str))
         out = [ids[part] if isinstance(part, str) else part for part in out]
-        sizes = np.concatenate(([0], np.cumsum([len(part) for part in out]))).astype(np.int64)
-        return np.fromiter(chain.from_iterable(out), np.int64, int(sizes[-1])), sizes[ends]
+        sizes = np.concatenate(([0], np.cumsum([len(part) for part in out]))).astype(np.int64) // 4
+        return np.frombuffer(b"".join(out), np.int32).astype(np.int64), sizes[ends]
 
     def segments(self, text: str) -> Iterator[tuple[int, int, int | None]]:
         """Stretches between special tokens, and the special tokens with their id."""
