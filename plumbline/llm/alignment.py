@@ -45,7 +45,7 @@ class Pieces:
         """Ids of all texts, given as pieces, and the first id of each text."""
         if len(self.number) > CACHE_PIECES:
             self.__init__(self.encode)
-        new = list({p for own in texts for p in own if p not in self.number})
+        new = list(set(chain.from_iterable(texts)).difference(self.number))
         if new:
             found = self.encode(new)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
@@ -145,7 +145,8 @@ def common_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray) -> np
             width *= 2
         cut = found >= 0
         cuts.append(found[cut])
-        low, high = np.concatenate((low[cut], found[cut] + 1)), np.concatenate((found[cut], high[cut]))
+        # both halves, in order of the texts: neighbours seek in neighbouring places
+        low, high = np.stack((low[cut], found[cut] + 1), 1).ravel(), np.stack((found[cut], high[cut]), 1).ravel()
     return np.sort(np.concatenate(cuts))
 
 
@@ -191,13 +192,27 @@ def align(left: Side, right: Side, data: np.ndarray, offsets: np.ndarray) -> Ali
     ends_a, ends_b = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
     cuts = common_cuts(ends_a, ends_b, first_a)
     cuts_b = np.searchsorted(ends_b, ends_a[cuts])
-    segments = np.union1d(ends_a, ends_b)  # a stretch between neighbouring ends is one link
-    pairs = (a[np.searchsorted(ends_a, segments)] << SHIFT) | b[np.searchsorted(ends_b, segments)]
+    segments, of_a, of_b = stretches(ends_a, ends_b)
+    pairs = (a[of_a] << SHIFT) | b[of_b]
     text_ends = np.concatenate(([0], ends_a))[first_a]
     return Aligned(a, b, first_a, first_b, np.diff(cuts, prepend=-1), np.diff(cuts_b, prepend=-1),
                    np.searchsorted(cuts, first_a), pairs, np.searchsorted(segments, text_ends, "right"))
 
 
+def stretches(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the stretches between neighbouring ends of either side, each with the A and the B token over it: a link."""
+    every = np.concatenate((ends_a, ends_b))
+    if not len(every):
+        return every, every, every
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    last = np.ones(len(every), bool)
+    last[:-1] = every[1:] != every[:-1]
+    upto_a = np.cumsum(order < len(ends_a))[last]
+    upto_b = np.flatnonzero(last) + 1 - upto_a
+    return every[last], np.concatenate(([0], upto_a[:-1])), np.concatenate(([0], upto_b[:-1]))
+
+
 def kept_texts(ids: np.ndarray, first: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.where(whole, np.diff(first), 0)
     return ids[np.repeat(whole, np.diff(first))], np.concatenate(([0], np.cumsum(sizes)))
