@@ -212,6 +212,16 @@ def vocabulary(lines: bytes) -> Vocabulary:
     return Vocabulary(lines)
 
 
+def unlike(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Pieces that differ from the piece of number ``like``; the pieces make up ``data``, one behind the other."""
+    if not len(begins):
+        return begins
+    size = ends - begins
+    other = size != size[like]
+    shown = gather(data, np.where(other, begins, begins[like]), size)
+    return np.flatnonzero(other | np.logical_or.reduceat(shown != data, begins))
+
+
 def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts, first id of each text, and byte offset in its text of each id's piece."""
     lead = (data & 0xC0) != 0x80
@@ -227,7 +237,11 @@ def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     hashes = rolling(data.astype(np.uint64) + np.uint64(1), begins, ends, BYTE_BASE)
     _, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    merged = vocab.ids([raw[a:b] for a, b in zip(begins[sample].tolist(), ends[sample].tolist())])
+    pieces = [raw[a:b] for a, b in zip(begins[sample].tolist(), ends[sample].tolist())]
+    others: dict[bytes, int] = {}
+    for k in unlike(data, begins, ends, sample[place]).tolist():
+        place[k] = others.setdefault(raw[begins[k] : ends[k]], len(pieces) + len(others))
+    merged = vocab.ids([*pieces, *others])
     lengths = np.array([len(m) for m in merged], np.int64)
     flat = np.fromiter((i for m in merged for i in m), np.int64, int(lengths.sum()))
     where = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths

@@ -16,6 +16,9 @@ from plumbline.llm.storage import components, stored
 from plumbline.llm.words import mix, shingles, slices, split, utf8
 
 
+BROADCAST_IDS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Near:
     """Shingles of ``width`` words; links need a Jaccard similarity of ``percent`` / 100 or more.
@@ -85,16 +88,24 @@ def signatures(docs: DataFrame, id: str, text: str, near: Near) -> DataFrame:
 def _looked_at(docs: DataFrame, id: str, text: str, wanted: DataFrame, near: Near) -> DataFrame:
     """rep, n, common, keys and packed set of the wanted documents that can have a partner among them.
 
+    Only the texts of wanted ids are dealt into chunks.  Up to ``BROADCAST_IDS`` ids (some
+    tens of MB as a hash table) go to every task, so that no other text moves; more are
+    joined by a shuffle.
+
     Two similar sets share one of their ``n - ceil(n * percent / 100) + 1`` rarest shingles,
     whatever the common order of rarity.  Chunks send their shingles with counts to buckets
     of the hash space and get each one's frequency back, so a text that owes its equal
     MinHash values to a passage of many documents finds its own shingles alone and drops out.
     ``common`` counts the shingles that any other wanted document has: no overlap is larger.
     """
-    size = sizes(docs, text)
+    few = wanted.count() <= BROADCAST_IDS
+    ids = wanted.select(F.col("rep").alias("_wanted"))
+    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("_wanted"), "left_semi")
+    size = sizes(docs, "text")
     chunk = F.pmod(F.xxhash64(F.lit(None).cast("string"), F.col("rep")), F.lit(size.chunks))
     none = F.lit(None)
-    rows = dealt(docs, id, text, size.chunks).select(
+    rows = dealt(docs, "id", "text", size.chunks).select(
         "chunk", "pack", none.cast("long").alias("rep"), none.cast("long").alias("h1")
     ).unionByName(wanted.select(chunk.alias("chunk"), none.cast("binary").alias("pack"), "rep", "h1"))
     percent, width, buckets = near.percent, near.width, size.buckets

@@ -205,3 +205,21 @@ def test_words_alone_encode_as_the_whole_text_does():
         if text and "▁" not in text:
             assert side.pieces.tokens([side.split(" " + text)])[0].tolist() == model.encode(text), text
     assert re.findall(" +[^ ]*", "  a b ") == ["  a", " b", " "]
+
+
+def test_pieces_of_equal_hash_are_told_apart():
+    from plumbline.llm.bpe import Vocabulary, encode
+    import tiktoken, base64
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocab = Vocabulary(read_ranks(path))
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in read_ranks(path).splitlines() if line)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for size in (1024, 2048):
+        thue = "a"
+        while len(thue) < size:
+            thue += thue.translate({97: 98, 98: 97})
+        other = thue.translate({97: 98, 98: 97})
+        texts = [thue, other, f"{thue} {other} {thue}", f"x {other} {other}", ""]
+        ids, first, _ = encode(vocab, *utf8(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [library.encode_ordinary(t) for t in texts]
