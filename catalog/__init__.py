@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from catalog import charts, forecasts, preparation, rules  # noqa: F401
+from catalog import charts, estimation, forecasts, preparation, rules  # noqa: F401
 from catalog.base import CASES, Case
 
 __all__ = ["CASES", "Case"]

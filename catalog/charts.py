@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import case, table
 from catalog.fragments import CONSTANTS, DAYS, EVENTS, MONTHS, smoothed
-from plumbline.functions.quantiles import NORMAL, chi2_quantile
+from plumbline.functions.quantiles import NORMAL
 from plumbline.operators import (
     attributes,
     multivariate,
@@ -22,6 +22,8 @@ EVENT_VALUES = Roles("value", "event_id", "event_type")
 MONTHLY = Roles("l_quantity", "l_shipdate", "l_returnflag", subgroup="month")
 DAILY = Roles("bad", "event_id", subgroup="day")
 SERIES = "event_type phase"
+#: 0.9973 quantile of chi-square with 3 degrees of freedom (a fixed value).
+CHI2_3 = 14.156252500540928
 LINES = "idx# value~ ucl~ cl~ lcl~"
 
 
@@ -393,34 +395,50 @@ def g_chart_parameters(spark, d):
     return rare_events.g(gaps(spark, d), GAP).params
 
 
-# The chi-square quantile has data-dependent, fractional degrees of freedom: no SQL for it.
-@case("g_chart", "C15", f"{SERIES} {LINES}", None)
+# The chi-square quantile with fractional degrees of freedom: bisection of the gamma series.
+G_SQL = "RECURSIVE " + GAPS_SQL.strip() + """,
+p AS (SELECT event_type, phase, avg(gap) AS center, greatest(var_samp(gap) / avg(gap) - 1, 0) + 1 AS scale FROM num GROUP BY ALL),
+ask AS (SELECT event_type, phase, center, scale, 1 / scale AS a, tail
+        FROM p, (VALUES (0.0013498980316300933), (0.9986501019683699)) t(tail)),
+halved AS (
+  SELECT *, 0 AS step, 0.0::DOUBLE AS low, 64.0::DOUBLE AS high FROM ask
+  UNION ALL
+  SELECT event_type, phase, center, scale, a, tail, step + 1, CASE WHEN below THEN (low + high) / 2 ELSE low END,
+         CASE WHEN below THEN high ELSE (low + high) / 2 END FROM (
+    SELECT *, list_sum(list_transform(range(300), lambda n: exp((a + n) * ln((low + high) / 2) - (low + high) / 2 - lgamma(a + n + 1)))) < tail AS below
+    FROM halved WHERE step < 70)),
+lim AS (SELECT event_type, phase, center, max((low + high) * scale - 1) FILTER (tail > 0.5) / 2 AS ucl,
+               greatest(max((low + high) * scale - 1) FILTER (tail < 0.5) / 2, 0) AS lcl FROM halved WHERE step = 70 GROUP BY ALL)"""
+
+
+@case("g_chart", "C15", f"{SERIES} {LINES}", G_SQL + """,
+answer AS (SELECT num.event_type, num.phase, idx, gap AS value, ucl, center AS cl, lcl FROM num JOIN lim USING (event_type, phase))""")
 def g_chart(spark, d):
     return rare_events.g(gaps(spark, d), GAP).points
 
 
-def _weibull_sql(steps: int = 8) -> str:
-    out = GAPS_SQL + """,
+# The shape by bisection of the likelihood's slope.
+WEIBULL_SQL = "RECURSIVE " + GAPS_SQL.strip() + """,
 w AS (SELECT event_type, seconds AS x FROM num WHERE seconds > 0),
-s AS (SELECT event_type, max(x) AS top, count(*) AS total, avg(ln(x)) AS mean_ln,
-             pi() / sqrt(6) / stddev_pop(ln(x)) AS k0 FROM w GROUP BY 1),
-v AS (SELECT w.event_type, x / top AS y, ln(x / top) AS ly FROM w JOIN s USING (event_type)),
-k0 AS (SELECT event_type, k0 AS k FROM s)"""
-    for i in range(steps):
-        out += f""",
-a{i} AS (SELECT event_type, any_value(k) AS k, sum(pow(y, k)) AS s0, sum(pow(y, k) * ly) AS s1,
-                sum(pow(y, k) * ly * ly) AS s2, avg(ly) AS m FROM v JOIN k{i} USING (event_type) GROUP BY 1),
-k{i + 1} AS (SELECT event_type, k - (1 / k + m - s1 / s0) / (-1 / (k * k) - (s2 / s0 - (s1 / s0) ** 2)) AS k
-             FROM a{i})"""
-    return out + f""",
-fit AS (SELECT event_type, k AS shape, any_value(top) * pow(avg(pow(y, k)), 1 / k) AS scale
-        FROM v JOIN k{steps} USING (event_type) JOIN s USING (event_type) GROUP BY event_type, k)"""
+s AS (SELECT event_type, max(x) AS top, avg(ln(x)) - ln(max(x)) AS mean FROM w GROUP BY 1),
+v AS (SELECT event_type, x / top AS y, ln(x / top) AS ly, mean, top FROM w JOIN s USING (event_type)),
+halved AS (
+  SELECT event_type, 0 AS step, 0.01::DOUBLE AS low, 100.0::DOUBLE AS high FROM s
+  UNION ALL
+  SELECT event_type, step + 1, CASE WHEN slope > 0 THEN (low + high) / 2 ELSE low END,
+         CASE WHEN slope > 0 THEN high ELSE (low + high) / 2 END FROM (
+    SELECT h.event_type, step, low, high,
+           2 / (low + high) + any_value(mean) - sum(pow(y, (low + high) / 2) * ly) / sum(pow(y, (low + high) / 2)) AS slope
+    FROM halved h JOIN v USING (event_type) WHERE step < 60 GROUP BY h.event_type, step, low, high)),
+fit AS (SELECT event_type, (low + high) / 2 AS shape, any_value(top) * pow(avg(pow(y, (low + high) / 2)), 2 / (low + high)) AS scale,
+               true AS converged
+        FROM halved JOIN v USING (event_type) WHERE step = 60 GROUP BY event_type, low, high)"""
 
 
 _TAIL = NORMAL.cdf(-3.0)
 
 
-@case("t_chart", "C16", f"{SERIES} {LINES}", _weibull_sql() + f""",
+@case("t_chart", "C16", f"{SERIES} {LINES}", WEIBULL_SQL + f""",
 answer AS (
   SELECT num.event_type, phase, idx, seconds AS value, scale * pow(ln(2), 1 / shape) AS cl,
          scale * pow(-ln({_TAIL!r}), 1 / shape) AS ucl,
@@ -429,7 +447,7 @@ def t_chart(spark, d):
     return rare_events.t(gaps(spark, d), Roles("seconds", "event_id", "event_type")).points
 
 
-@case("weibull_parameters", "C16", "event_type shape~ scale~", _weibull_sql() + ", answer AS (SELECT * FROM fit)")
+@case("weibull_parameters", "C16", "event_type shape~ scale~ converged", WEIBULL_SQL + ", answer AS (SELECT * FROM fit)")
 def weibull_parameters(spark, d):
     return rare_events.t(gaps(spark, d), Roles("seconds", "event_id", "event_type")).params
 
@@ -603,7 +621,7 @@ t2 AS (
 @case("hotelling_t2_chart", "C23 A15", "l_returnflag phase idx# value^ ucl~ share_0^ share_1^ share_2^ signal",
       T2_SQL + f""",
 answer AS (SELECT *, c0 + c1 + c2 AS value, c0 AS share_0, c1 AS share_1, c2 AS share_2,
-                  {chi2_quantile(0.9973, 3)!r} AS ucl, c0 + c1 + c2 > {chi2_quantile(0.9973, 3)!r} AS signal FROM t2)""")
+                  {CHI2_3} AS ucl, c0 + c1 + c2 > {CHI2_3} AS signal FROM t2)""")
 def hotelling_t2_chart(spark, d):
     points = multivariate.hotelling_t2(table(spark, d, "lineitem"), LINE_ROLES, LINE_VALUES, stage=2).points
     return points.select("*", *[F.get("contributions", i).alias(f"share_{i}") for i in range(3)])
@@ -616,9 +634,25 @@ def hotelling_t2_first_stage(spark, d):
     return multivariate.hotelling_t2(table(spark, d, "lineitem"), LINE_ROLES, LINE_VALUES).points
 
 
-@case("hotelling_t2_limits", "C23", "l_returnflag phase n# limit~", None)
+# The F quantile by bisection of the series of the incomplete beta.
+F_SQL = """RECURSIVE
+n AS (SELECT l_returnflag, 'all' AS phase, count(*) AS n, (count(*) - 3) / 2 AS b FROM lineitem GROUP BY ALL),
+halved AS (
+  SELECT *, 0 AS step, 0.0::DOUBLE AS low, least(1.0, 40.0 / b)::DOUBLE AS high FROM n
+  UNION ALL
+  SELECT l_returnflag, phase, n, b, step + 1, CASE WHEN below THEN (low + high) / 2 ELSE low END,
+         CASE WHEN below THEN high ELSE (low + high) / 2 END FROM (
+    SELECT *, list_sum(list_transform(range(400), lambda k: exp(lgamma(1.5 + b + k) - lgamma(b) - lgamma(2.5 + k)
+                       + (1.5 + k) * ln((low + high) / 2) + b * ln(1 - (low + high) / 2)))) < 0.9973 AS below
+    FROM halved WHERE step < 80 AND low + high < 2)),
+lim AS (SELECT *, (low + high) / 2 AS y FROM halved WHERE step = 80)"""
+
+
+@case("hotelling_t2_limits", "C23", "l_returnflag phase n# t2_limit^", F_SQL + """,
+answer AS (SELECT *, 3 * (n - 1) * (n + 1) / (n * (n - 3)) * (n - 3) / 3 * y / (1 - y) AS t2_limit FROM lim)""")
 def hotelling_t2_limits(spark, d):
-    return multivariate.hotelling_t2(table(spark, d, "lineitem"), LINE_ROLES, LINE_VALUES).params
+    params = multivariate.hotelling_t2(table(spark, d, "lineitem"), LINE_ROLES, LINE_VALUES).params
+    return params.withColumnRenamed("limit", "t2_limit")
 
 
 @case("covariance_parameters", "A15", "l_returnflag phase n# m0~ m1~ v00~ v01~ v11~",
@@ -634,21 +668,4 @@ def covariance_parameters(spark, d):
     )
 
 
-@case("mewma_chart", "C24", "phase idx# value~ ucl~ signal", """
-raw AS (
-  SELECT 1 AS one, 'all' AS phase, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
-         CAST(embedding[3] AS DOUBLE) AS c, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings),"""
-      + _inverse_sql("raw", "one") + """,
-cen AS (SELECT raw.one, raw.phase, idx, a - ma AS x, b - mb AS y, c - mc AS z FROM raw JOIN inv USING (one, phase)),
-sm AS """ + smoothed("cen", "one, phase", {"x": "x", "y": "y", "z": "z"}, 0.2, 180) + f""",
-t2 AS (
-  SELECT sm.phase, sm.idx, (x * (iaa * x + iab * y + iac * z) + y * (iab * x + ibb * y + ibc * z)
-         + z * (iac * x + ibc * y + icc * z)) / (0.2 / 1.8 * (1 - pow(0.8, 2 * (idx + 1)))) AS value
-  FROM sm JOIN inv USING (one, phase)),
-answer AS (SELECT *, {chi2_quantile(0.9973, 3)!r} AS ucl, value > {chi2_quantile(0.9973, 3)!r} AS signal FROM t2)""")
-def mewma_chart(spark, d):
-    roles = Roles("embedding", "vec_id")
-    return multivariate.mewma(table(spark, d, "embeddings"), roles, "embedding", size=3).points
-
-
 __all__ = ["CONSTANTS", "MR_DIVISOR"]

@@ -205,6 +205,16 @@ def page_of_rows(spark, d):
     return prep.page(sparse(spark, d), ["event_type", "event_id"], 500, 50)
 
 
+@case("duplicates_with_map", "T10", EVENT + " user_id# first_key", """
+answer AS (SELECT *, 'k' || event_id % 3 AS first_key FROM events
+           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)""")
+def duplicates_with_map(spark, d):
+    """Rows with a map column, which cannot be ordered; the last row of each user."""
+    rows = events(spark, d).withColumns({
+        "tags": F.create_map(F.concat(F.lit("k"), F.col("event_id") % 3), F.lit(1)), "back": -F.col("event_id")})
+    return prep.remove_duplicates(rows, ["user_id"], "back").withColumn("first_key", F.map_keys("tags")[0])
+
+
 @case("first_of_duplicates", "T10", EVENT + " user_id#", """
 answer AS (SELECT * FROM events
            QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1)""")
@@ -315,6 +325,17 @@ def conversion_preview(spark, d):
     return prep.preview_conversion(events(spark, d).withColumn("x", mixed), "x", "numeric")
 
 
+@case("calculated_large_round", "T25", "o_orderkey# high low~ up", """
+answer AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) * 1e9 * 1e9 AS high, floor(-CAST(o_totalprice AS DOUBLE) / 3) AS low,
+                  ceil(CAST(o_totalprice AS DOUBLE) * 1e17) AS up FROM orders)""")
+def calculated_large_round(spark, d):
+    """Doubles beyond 64-bit integers keep their value when they are rounded."""
+    rows = table(spark, d, "orders")
+    rows = prep.calculated_column(rows, "high", "round([o_totalprice] * 1000000000 * 1000000000)")
+    rows = prep.calculated_column(rows, "low", "floor((0 - [o_totalprice]) / 3)")
+    return prep.calculated_column(rows, "up", "ceil([o_totalprice] * 100000000000000000)")
+
+
 @case("calculated_column", "T25", "l_orderkey# l_linenumber# net~ ratio~ shape~", """
 answer AS (
   SELECT l_orderkey, l_linenumber,
@@ -494,6 +515,28 @@ r AS (SELECT l_returnflag, l_extendedprice AS v,
              count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)"""
 
 
+@case("shared_profile", "A2 A4 A7", "column_name count# missing# distinct_values# q1~ p90~ median~ tops", SPARSE + """,
+long AS (
+  SELECT 'value' AS column_name, CAST(value AS VARCHAR) AS v, CAST(value AS DOUBLE) AS x FROM sparse
+  UNION ALL SELECT 'event_type', event_type, NULL FROM sparse
+  UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), user_id FROM sparse),
+base AS (SELECT column_name, count(*) AS count, count(*) - count(v) AS missing, count(DISTINCT v) AS distinct_values, median(x) AS median
+         FROM long GROUP BY 1),
+r AS (SELECT column_name, x, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY column_name) AS n
+      FROM long WHERE x IS NOT NULL WINDOW w AS (PARTITION BY column_name ORDER BY x)),
+q AS (SELECT column_name, max(x) FILTER (k = floor(n * 0.25)) AS q1, max(x) FILTER (k = floor(n * 0.9)) AS p90 FROM r GROUP BY 1),
+c AS (SELECT column_name, v, count(*) AS n FROM long WHERE v IS NOT NULL AND column_name <> 'value' GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, v) AS place FROM c),
+tops AS (SELECT column_name, string_agg(v || ':' || n, ' ' ORDER BY place) AS tops FROM t WHERE place <= 3 GROUP BY 1),
+answer AS (SELECT base.*, q1, p90, tops FROM base LEFT JOIN q USING (column_name) LEFT JOIN tops USING (column_name))""")
+def shared_profile(spark, d):
+    """Three columns profiled from one table of value counts."""
+    rows = profile.shared_profile(sparse(spark, d), ["value", "event_type", "user_id"], top=3)
+    tops = F.array_join(F.transform("top_values", lambda t: F.concat(t["value"], F.lit(":"), t["count"].cast("string"))), " ")
+    rows = rows.withColumn("tops", F.when(F.col("column") != "value", tops))
+    return rows.withColumnsRenamed({"column": "column_name", "distinct": "distinct_values"})
+
+
 @case("profile_quantiles", "A4", "l_returnflag q1~ q3~ p10~ p90~ median~", RANKED + """,
 answer AS (
   SELECT l_returnflag, max(v) FILTER (k = floor(n * 0.25)) AS q1, max(v) FILTER (k = floor(n * 0.75)) AS q3,

@@ -395,7 +395,7 @@ par AS (
          avg(abs(value - prev)) / 1.128 AS s FROM seq GROUP BY ALL),
 st AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY first) - n AS start FROM par),
 answer AS (
-  SELECT event_type, phase, idx, start + idx AS global_idx, CAST(idx + 1 AS VARCHAR) AS label, value,
+  SELECT event_type, phase, idx, start + idx AS global_idx, CAST(event_id AS VARCHAR) AS label, value,
          c + 3 * s AS ucl, c - 3 * s AS lcl FROM seq JOIN st USING (event_type, phase))""")
 def analysis_points(spark, d):
     rows = events(spark, d).withColumn("month", F.month("ts"))
@@ -485,6 +485,36 @@ def method_disagreements(spark, d):
     return rows.withColumns({c: F.array_join(c, ",") for c in lists})
 
 
+@case("method_rule_counts", "M1", "event_type chart test_id n_points# rank#", TWO_SQL + """,
+c AS (SELECT chart, event_type, test_id, count(*) AS n_points FROM both_flags GROUP BY ALL),
+answer AS (SELECT *, row_number() OVER (PARTITION BY chart, event_type ORDER BY n_points DESC, test_id) AS rank FROM c)""")
+def method_rule_counts(spark, d):
+    charts, fired = two_methods(spark, d)
+    return compare.method_rule_counts(fired, charts["imr"].keys)
+
+
+@case("method_settings", "M1", f"{SERIES} chart k_sigma~ n_phases#", """
+src AS (SELECT DISTINCT event_type, CAST(month(ts) AS VARCHAR) || '-' || CAST(day(ts) // 10 AS VARCHAR) AS phase FROM events WHERE value IS NOT NULL),
+n AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS n_phases FROM src),
+answer AS (SELECT *, 'imr' AS chart, 2.5 AS k_sigma FROM n UNION ALL SELECT *, 'levey_jennings', 3.0 FROM n)""")
+def method_settings(spark, d):
+    """What the compared charts were set to, over several phases."""
+    phase = F.concat(F.month("ts").cast("string"), F.lit("-"), F.floor(F.dayofmonth("ts") / 10).cast("string"))
+    rows, roles = events(spark, d).withColumn("tens", phase), replace(EVENT_VALUES, phase="tens")
+    charts = {"imr": variables.imr(rows, roles, k_sigma=2.5), "levey_jennings": variables.levey_jennings(rows, roles)}
+    return compare.method_summary(charts, {n: rules.violations(c, (1,)) for n, c in charts.items()})
+
+
+@case("disagreement_points", "M2", f"{SERIES} idx# value~ label flagged_by", TWO_SQL + """,
+answer AS (SELECT pt.event_type, pt.phase, pt.idx, pts.value, CAST(event_id AS VARCHAR) AS label, flagged_by
+           FROM pt JOIN pts ON pts.event_type = pt.event_type AND pts.idx = pt.idx WHERE flagged_by <> 'ewma,imr')""")
+def disagreement_points(spark, d):
+    charts, fired = two_methods(spark, d)
+    points = analyze(events(spark, d), Recipe("imr", EVENT_VALUES)).points
+    rows = compare.disagreements(fired, charts["imr"].keys, points)
+    return rows.withColumn("flagged_by", F.array_join("flagged_by", ","))
+
+
 @case("disagreement_summary", "M2",
       f"{SERIES} total_points# disagreements# unanimous# only_imr# only_ewma# percent~", TWO_SQL + """,
 n AS (SELECT event_type, phase, count(*) AS total_points FROM pts GROUP BY ALL),

@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 
 # The functions of the expression language and their Spark forms.
 FUNCTIONS = {
-    "round": "floor(0.5D + ",
+    "round": "element_at(transform(array(0.5D + ",
     "abs": "abs(",
     "log": "ln(",
     "sqrt": "sqrt(",
     "pow": "power(",
     "min": "least(",
     "max": "greatest(",
-    "floor": "floor(",
-    "ceil": "ceil(",
+    "floor": "element_at(transform(array(",
+    "ceil": "element_at(transform(array(",
     "exp": "exp(",
 }
+#: What follows the argument of a function in place of a parenthesis: Spark rounds by way of
+#: 64-bit integers, and a double from 2**52 on has no fraction.
+WHOLE = "), x -> CASE WHEN abs(x) < 4503599627370496D THEN CAST({}(x) AS DOUBLE) ELSE x END), 1)"
+ENDS = {"round": WHOLE.format("floor"), "floor": WHOLE.format("floor"), "ceil": WHOLE.format("ceil")}
 
 TOKEN = re.compile(r"\s*(?:(\[[^\]]+\])|(\d+\.?\d*|\.\d+)|([A-Za-z_]\w*)\s*\(|([-+*/(),]))")
 
@@ -51,7 +55,7 @@ def spark_expression(expression: str, columns: list[str]) -> str:
     if not any(p.startswith("[") for p in parts):
         raise ValueError("expression must reference a column as [Column]")
     out: list[str] = []
-    depth, divisors = 0, []
+    depth, divisors, ends = 0, [], []
 
     def close_divisor() -> None:
         # the divisor that started at this depth is complete
@@ -62,13 +66,14 @@ def spark_expression(expression: str, columns: list[str]) -> str:
     for part in parts:
         if part.endswith("("):
             out.append(FUNCTIONS[part[:-1]] if part != "(" else "(")
+            ends.append(ENDS.get(part[:-1], ")"))
             depth += 1
             continue
         if part == ")":
             depth -= 1
             if depth < 0:
                 raise ValueError("unbalanced parentheses in expression")
-            out.append(")")
+            out.append(ends.pop())
             close_divisor()
         elif part == "/":
             out.append(" / nullif(")

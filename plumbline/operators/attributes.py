@@ -14,13 +14,13 @@ from plumbline.operators.chart import (
     MR_DIVISOR,
     Chart,
     build,
-    moving_range,
+    estimating_range,
     one_of,
     positive,
     zone_lines,
 )
 from plumbline.operators.series import Roles, Sequence
-from plumbline.operators.subgroups import subgroups
+from plumbline.operators.subgroups import estimated, subgroups
 
 KINDS = ("p", "np", "c", "u", "laney_p", "laney_u")
 
@@ -50,10 +50,13 @@ def poisson_limits(rate: Column, n: Column, width: Column | float) -> dict[str,
 def attribute_counts(
     df: DataFrame, roles: Roles, *, n_trials: float | None = None, missing: str = "drop", **sizing
 ) -> Sequence:
-    """Numbered subgroups with ``x`` and ``n``."""
+    """Numbered subgroups with ``x`` and ``n``; with excluded rows also those of the others."""
     seq = subgroups(df, roles, ("total",), missing=missing, **sizing)
     n = F.lit(positive(n_trials, "n_trials")) if n_trials is not None else F.col("n").cast("double")
-    return seq.with_columns({"n": n, "x": F.col("total")})
+    if roles.excluded is None:
+        return seq.with_columns({"n": n, "x": F.col("total")})
+    some = F.when(F.col("used_n").isNotNull(), n if n_trials is not None else F.col("used_n").cast("double"))
+    return seq.with_columns({"n": n, "x": F.col("total"), "used_n": some, "used_x": F.col("used_total")})
 
 
 def attribute(
@@ -70,15 +73,16 @@ def attribute(
     positive(k_sigma, "k_sigma")
     seq = attribute_counts(df, roles, n_trials=n_trials, missing=missing, **sizing)
     rate, n, x = F.col("rate"), F.col("n"), F.col("x")
+    some_n, some_x = estimated("n", roles), estimated("x", roles)
     binomial = kind in ("p", "np", "laney_p")
     unit = F.sqrt(rate * (1.0 - rate)) if binomial else F.sqrt(rate)
     aggregates = {
-        "sum_x": F.sum("x"),
-        "sum_n": F.sum("n"),
-        "n_bar": F.avg("n"),
-        "root_n": F.avg(F.sqrt("n")),
-        "inverse_root_n": F.avg(1.0 / F.sqrt("n")),
-        "n_used": F.count("n"),
+        "sum_x": F.sum(some_x),
+        "sum_n": F.sum(some_n),
+        "n_bar": F.avg(some_n),
+        "root_n": F.avg(F.sqrt(some_n)),
+        "inverse_root_n": F.avg(1.0 / F.sqrt(some_n)),
+        "n_used": F.count(some_n),
     }
     if kind in ("np", "c"):
         half = k_sigma * unit * F.sqrt("n")
@@ -93,8 +97,8 @@ def attribute(
         width = F.lit(float(k_sigma))
         derived = {"center": rate + F.lit(0.0), "sigma_hat": unit * F.col("inverse_root_n")}
         if kind.startswith("laney"):
-            seq = _residual_ranges(seq, binomial)
-            aggregates["z_mr_bar"] = F.avg("z_mr")
+            seq, ranges = _residual_ranges(seq, roles, binomial)
+            aggregates["z_mr_bar"] = F.avg(ranges)
             derived["sigma_z"] = F.col("z_mr_bar") / MR_DIVISOR
             width = width * F.col("sigma_z")
         limits = binomial_limits if binomial else poisson_limits
@@ -110,11 +114,12 @@ def attribute(
     )
 
 
-def _residual_ranges(seq: Sequence, binomial: bool) -> Sequence:
+def _residual_ranges(seq: Sequence, roles: Roles, binomial: bool) -> tuple[Sequence, str]:
     """|z_i - z_(i-1)| of standardized residuals (sigma 1 where it is 0)."""
-    seq = seq.attach({"_x": F.sum("x"), "_n": F.sum("n")})
+    n, x = F.col(estimated("n", roles)), F.col(estimated("x", roles))
+    seq = seq.attach({"_x": F.sum(x), "_n": F.sum(n)})
     seq = seq.with_columns({"_rate": F.col("_x") / F.col("_n")})
-    sigma = (binomial_sigma if binomial else poisson_sigma)(F.col("_rate"), F.col("n"))
-    z = (F.col("x") / F.col("n") - F.col("_rate")) / F.when(sigma > 0, sigma).otherwise(1.0)
-    seq = moving_range(seq.with_columns({"_z": z}), value="_z", name="z_mr")
-    return seq.drop("_z", "_rate", "_x", "_n")
+    sigma = (binomial_sigma if binomial else poisson_sigma)(F.col("_rate"), n)
+    z = (x / n - F.col("_rate")) / F.when(sigma > 0, sigma).otherwise(1.0)
+    seq, ranges = estimating_range(seq.with_columns({"_z": z}), roles, value="_z", name="z_mr")
+    return seq.drop("_z", "_rate", "_x", "_n"), ranges

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.constants import constant
@@ -24,6 +24,7 @@ from plumbline.operators.series import (
     sequence,
 )
 
+EXCLUDED = "excluded"
 POINT_COLUMNS = ("value", "ucl", "cl", "lcl", "zone_cl", "zone_sigma")
 
 
@@ -52,7 +53,18 @@ class Chart:
 
     @property
     def points(self) -> DataFrame:
-        return self.sequence.df.select(*self.keys, IDX, *POINT_COLUMNS, *self.extra_columns)
+        return self.points_with()
+
+    def points_with(self, *columns: str) -> DataFrame:
+        """The points with further columns of their rows."""
+        marked = [EXCLUDED] if EXCLUDED in self.sequence.held.columns else []
+        return self.sequence.df.select(*self.keys, IDX, *POINT_COLUMNS, *self.extra_columns, *marked, *columns)
+
+    @property
+    def order_column(self) -> str | None:
+        """The order column of points that are one row each."""
+        columns = self.sequence.held.columns
+        return "_o0" if "_o0" in columns and "_o1" not in columns and self.kind != "mr" else None
 
     def note(self, name: str) -> DataFrame:
         """A further table of the chart, planned when asked for."""
@@ -80,6 +92,7 @@ def measurements(df: DataFrame, roles: Roles, *, missing: str = "drop") -> DataF
         **{c: F.col(c) for c in roles.series_columns},
         PHASE: phase_column(df, roles.phase),
         **({"subgroup": F.col(roles.subgroup)} if roles.subgroup else {}),
+        **({EXCLUDED: excluded_flag(roles)} if roles.excluded else {}),
         **{f"_o{i}": F.col(c) for i, c in enumerate(roles.order_columns)},
         "value": F.coalesce(value, F.lit(0.0)) if missing == "zero" else value,
     }
@@ -87,6 +100,16 @@ def measurements(df: DataFrame, roles: Roles, *, missing: str = "drop") -> DataF
     return out if missing == "zero" else out.where(F.col("value").isNotNull())
 
 
+def excluded_flag(roles: Roles) -> Column:
+    return F.coalesce(F.col(roles.excluded).cast("boolean"), F.lit(False))
+
+
+def used(column: str | Column, roles: Roles) -> Column:
+    """``column`` where a row is estimated from, null where it is excluded."""
+    c = F.col(column) if isinstance(column, str) else column
+    return c if roles.excluded is None else F.when(~F.col(EXCLUDED), c)
+
+
 def order_of(roles: Roles) -> list[str]:
     return [f"_o{i}" for i in range(len(roles.order_columns))]
 
@@ -181,4 +204,28 @@ def moving_range(seq: Sequence, span: int = 2, value: str = "value", name: str =
     )
 
 
+def estimating_range(seq: Sequence, roles: Roles, span: int = 2, value: str = "value", name: str = "mr") -> tuple[Sequence, str]:
+    """Moving ranges to estimate from, and their column.
+
+    With excluded rows these are the ranges of the others among themselves, reaching
+    over the gaps.
+    """
+    if roles.excluded is None:
+        return (seq if name in seq.held.columns else moving_range(seq, span, value, name)), name
+    name, kept = f"{name}_used", F.when(~F.col(EXCLUDED), F.col(value))
+    if span == 2 and not seq.blocked:
+        before = seq._window().rowsBetween(Window.unboundedPreceding, -1)
+        return seq.with_columns({name: F.abs(kept - F.last(kept, ignorenulls=True).over(before))}), name
+    if span == 2:
+        seq = seq.last_known(_seen=kept).frame(1, lambda w: {"_seen": F.lag("_seen").over(w)})
+        return seq.with_columns({name: F.abs(kept - F.col("_seen"))}).drop("_seen"), name
+    # positions among the rows that are excluded alike
+    seq = seq.running_sum(_out=F.col(EXCLUDED).cast("long"))
+    place = F.when(F.col(EXCLUDED), F.col("_out") - 1).otherwise(F.col(IDX) - F.col("_out"))
+    rows = seq.df.withColumns({"_place": F.col(IDX), IDX: place}).drop("_out")
+    alike = moving_range(replace(seq.with_df(rows), keys=[*seq.keys, EXCLUDED]), span, value, name).df
+    rows = alike.withColumns({IDX: F.col("_place"), name: F.when(~F.col(EXCLUDED), F.col(name))}).drop("_place")
+    return seq.with_df(rows), name
+
+
 MR_DIVISOR = constant("d2", 2)

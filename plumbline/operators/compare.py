@@ -23,7 +23,7 @@ def method_summary(
     violations: Mapping[str, DataFrame],
     capability: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per chart and key: first limits, sigma, capability, flags, rules."""
+    """One row per chart and key: first limits, sigma, k, capability, flags, rules, and phases of the series."""
     rows = {}
     for name, chart in charts.items():
         keys = chart.keys
@@ -40,10 +40,22 @@ def method_summary(
             table = table.withColumns(
                 {c: F.lit(None).cast("double") for c in ("cp", "cpk", "ppk")}
             )
-        rows[name] = table.withColumn("grade", grade(F.col("cpk")))
+        series = Window.partitionBy(*[k for k in keys if k != PHASE])
+        rows[name] = table.withColumns({
+            "grade": grade(F.col("cpk")), "k_sigma": F.lit(float(chart.k_sigma)), "n_phases": F.count(F.lit(1)).over(series),
+        })
     return _stacked(rows)
 
 
+def method_rule_counts(violations: Mapping[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Flagged points per chart, series and rule, phases taken together; rank 1 is the rule that flags most."""
+    series = [k for k in keys if k != PHASE]
+    counts = _stacked({n: v.select(*keys, "test_id") for n, v in violations.items()})
+    counts = counts.groupBy("chart", *series, "test_id").agg(F.count(F.lit(1)).alias("n_points"))
+    most = Window.partitionBy("chart", *series).orderBy(F.desc("n_points"), "test_id")
+    return counts.withColumn("rank", F.row_number().over(most))
+
+
 def rule_totals(violations: DataFrame, keys: list[str]) -> DataFrame:
     """Rules by flagged points, phases taken together."""
     series = [k for k in keys if k != PHASE]
@@ -67,11 +79,14 @@ def flagged_by(violations: Mapping[str, DataFrame], keys: list[str]) -> DataFram
     return points.withColumn("cleared_by", F.array_except(names, F.col("flagged_by")))
 
 
-def disagreements(violations: Mapping[str, DataFrame], keys: list[str]) -> DataFrame:
-    """Points that some charts flag and others clear."""
+def disagreements(violations: Mapping[str, DataFrame], keys: list[str], points: DataFrame | None = None) -> DataFrame:
+    """Points that some charts flag and others clear; with ``points`` of an analysis also their value and label."""
     if len(violations) < 2:
         raise ValueError("a comparison needs at least two charts")
-    return flagged_by(violations, keys).where(F.size("cleared_by") > 0)
+    found = flagged_by(violations, keys).where(F.size("cleared_by") > 0)
+    if points is None:
+        return found
+    return join_keys(found, points.select(*keys, IDX, "value", "label"), [*keys, IDX])
 
 
 def disagreement_summary(
@@ -172,6 +187,12 @@ def recommendations(params: DataFrame, violations: DataFrame, keys: list[str]) -
     return table.select(*keys, F.explode(F.array_compact(F.array(*texts))).alias("check"))
 
 
+def exclusion_reviews(points: DataFrame) -> DataFrame:
+    """One row per excluded point of an analysis, asking whether its exclusion still holds."""
+    text = F.concat(F.lit("Point "), F.col("label"), F.lit(" is left out of the estimates: confirm that the reason still holds."))
+    return points.where("excluded").drop("excluded").withColumn("check", text)
+
+
 def comparison_strip(
     charts: Mapping[str, Chart], violations: Mapping[str, DataFrame], keys: list[str]
 ) -> DataFrame:

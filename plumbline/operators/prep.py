@@ -92,18 +92,19 @@ def sort_rows(df: DataFrame, by: Listing[tuple[str, str]]) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame, keys: Listing[str], order: str | Listing[str]) -> DataFrame:
-    """The first row of each key in the given order.
+    """The first row of each key in the given order, which must be unique within a key.
 
-    Rows of a key are reduced by ``min`` on both sides of the shuffle, so a key that
-    holds much of the table moves one row per task.
+    Only keys and order are reduced, by ``min`` on both sides of the shuffle, so a key
+    that holds much of the table moves one small row per task, and columns of any type
+    may stand beside them.  The whole rows meet the first ones in a semi-join.
     """
     order = listed(order)
     _check_columns(df, [*keys, *order])
-    rest = [c for c in df.columns if c not in order]
-    first = F.min(F.struct(*order, *rest))
-    return df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in keys]).agg(
-        first.alias("_row")
-    ).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
+    names = {c: f"_k{i}" for i, c in enumerate(dict.fromkeys([*keys, *order]))}
+    first = df.groupBy(*[F.col(c).alias(names[c]) for c in keys]).agg(F.min(F.struct(*order)).alias("_first"))
+    first = first.withColumns({names[c]: F.col(f"_first.{c}") for c in order if c not in keys}).drop("_first")
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return df.join(first, same, "left_semi")
 
 
 def page(df: DataFrame, order: str | Listing[str], offset: int = 0, limit: int = 50) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from collections.abc import Sequence as Listing
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.chart import measurements
@@ -13,9 +14,12 @@ from plumbline.operators.series import (
     Roles,
     attach_row,
     join_keys,
+    largest_group,
     medians_of,
     order_statistics,
+    ranked_counts,
 )
+from plumbline.session import block_rows, durable
 
 ALL = "_all"
 BINS = 12
@@ -35,27 +39,67 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
     return attach_row(stats, medians_of(rows, [ALL], "v", "median").drop(ALL)).drop(ALL)
 
 
+def frequencies(df: DataFrame, columns: Listing[str]) -> DataFrame:
+    """column, value (as text; null if missing or empty) and count, of all columns in one scan.
+
+    Rows are unpivoted into pairs of column and value, which are counted on both sides
+    of one shuffle.
+    """
+    pairs = [F.struct(F.lit(c).alias("column"), F.when(~is_missing(df, c), F.col(c).cast("string")).alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*pairs))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def profile_base(df: DataFrame, columns: Listing[str], *, approximate: bool = False) -> DataFrame:
     """One row per column: count, missing (null or empty), missing_pct, distinct.
 
-    All columns share one scan.
+    All columns share one scan.  ``approximate`` estimates distinct values by sketches.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    entries = []
-    for name in columns:
-        missing = is_missing(df, name)
-        entries.append(
+    if approximate:
+        entries = [
             F.struct(
-                F.lit(name).alias("column"),
-                F.count(F.lit(1)).alias("count"),
-                F.count_if(missing).alias("missing"),
-                distinct(F.when(~missing, F.col(name).cast("string"))).alias("distinct"),
+                F.lit(name).alias("column"), F.count(F.lit(1)).alias("count"), F.count_if(is_missing(df, name)).alias("missing"),
+                F.approx_count_distinct(F.when(~is_missing(df, name), F.col(name).cast("string"))).alias("distinct"),
             )
-        )
-    wide = df.agg(F.array(*entries).alias("_columns"))
-    out = wide.select(F.inline("_columns"))
+            for name in columns
+        ]
+        return _with_share(df.agg(F.array(*entries).alias("_columns")).select(F.inline("_columns")))
+    return _with_share(_base_of(frequencies(df, columns), columns))
+
+
+def _base_of(counts: DataFrame, columns: Listing[str]) -> DataFrame:
+    found = counts.groupBy("column").agg(
+        F.sum("count").alias("count"),
+        F.sum(F.when(F.col("value").isNull(), F.col("count"))).alias("missing"),
+        F.count("value").alias("distinct"),
+    )
+    names = counts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return names.join(found, "column", "left").na.fill(0, ["count", "missing", "distinct"])
+
+
+def _with_share(base: DataFrame) -> DataFrame:
     share = F.when(F.col("count") > 0, F.col("missing") / F.col("count") * 100.0).otherwise(0.0)
-    return out.withColumn("missing_pct", share)
+    return base.withColumn("missing_pct", share)
+
+
+def shared_profile(df: DataFrame, columns: Listing[str], *, top: int = 10) -> DataFrame:
+    """One row per column from one table of value counts: base figures, quantiles, the ``top`` values.
+
+    Quantiles are those of the values that are numbers, null where none is.  ``top_values``
+    lists value and count, the most frequent first, ties by value.
+    """
+    counts = durable(frequencies(df, columns))
+    present = counts.where(F.col("value").isNotNull())
+    parsed = present.select("column", numeric(F.col("value")).alias("_v"), "count").where(F.col("_v").isNotNull())
+    parsed = parsed.groupBy("column", "_v").agg(F.sum("count").alias("_n"))
+    size = block_rows(df.sparkSession)
+    blocked = largest_group(present.select("column"), ["column"]) > size
+    found = ranked_counts(parsed, ["column"], _ranks(), blocked=blocked, block_rows=size)
+    found = found.withColumn("median", (F.col("_lo") + F.col("_hi")) / 2.0).drop("_lo", "_hi")
+    place = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    best = present.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= top)
+    listed_ = F.sort_array(F.collect_list(F.struct("_rank", "value", "count")))
+    best = best.groupBy("column").agg(F.transform(listed_, lambda s: F.struct(s["value"].alias("value"), s["count"].alias("count"))).alias("top_values"))
+    return _with_share(_base_of(counts, columns)).join(found, "column", "left").join(best, "column", "left")
 
 
 def _beside(rows: DataFrame, small: DataFrame, by: Listing[str]) -> DataFrame:
@@ -94,14 +138,15 @@ def numeric_moments(df: DataFrame, column: str, by: Listing[str] = ()) -> DataFr
 QUANTILES = {"q1": 0.25, "q3": 0.75, "p10": 0.10, "p90": 0.90}
 
 
+def _ranks() -> dict[str, Callable[[Column], Column]]:
+    """0-based rank of each quantile among n values, and of the two in the middle."""
+    ranks = {name: (lambda n, share=share: F.floor(n * share)) for name, share in QUANTILES.items()}
+    return {**ranks, "_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.floor(n / 2)}
+
+
 def quantiles(df: DataFrame, column: str, by: Listing[str] = ()) -> DataFrame:
     """q1, q3, p10, p90 at rank floor(n * share); the median averages the middle two."""
-    ranks = {
-        name: (lambda n, share=share: F.floor(n * share)) for name, share in QUANTILES.items()
-    }
-    ranks["_lo"] = lambda n: F.floor((n - 1) / 2)
-    ranks["_hi"] = lambda n: F.floor(n / 2)
-    table = order_statistics(numbers(df, column, by), [ALL, *by], "v", ranks)
+    table = order_statistics(numbers(df, column, by), [ALL, *by], "v", _ranks())
     return table.withColumn("median", (F.col("_lo") + F.col("_hi")) / 2.0).drop(ALL, "_lo", "_hi")
 
 

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.quantiles import NORMAL, chi2_quantile_of
-from plumbline.operators.chart import Chart, build_joined, individuals, positive, zone_lines
-from plumbline.operators.series import Roles, Sequence, join_keys
+from plumbline.operators.chart import Chart, build_joined, individuals, positive, used, zone_lines
+from plumbline.operators.series import Roles, Sequence, attach_row, join_keys
+from plumbline.session import durable
 
 
 def _with_spread(params: DataFrame, k_sigma: float) -> DataFrame:
@@ -36,13 +35,14 @@ def g(
     """Negative binomial limits through a chi-square with fractional degrees of freedom."""
     positive(k_sigma, "k_sigma")
     seq = individuals(df, roles, missing=missing, **sizing)
-    over = F.try_divide(F.var_samp("value"), F.avg("value")) - 1.0
+    value = used("value", roles)
+    over = F.try_divide(F.var_samp(value), F.avg(value)) - 1.0
     params = seq.df.groupBy(*seq.keys).agg(
-        F.avg("value").alias("center"),
-        F.when(F.avg("value") > 0, F.greatest(F.coalesce(over, F.lit(0.0)), F.lit(0.0)))
+        F.avg(value).alias("center"),
+        F.when(F.avg(value) > 0, F.greatest(F.coalesce(over, F.lit(0.0)), F.lit(0.0)))
         .otherwise(0.0)
         .alias("overdispersion"),
-        F.count("value").alias("n_used"),
+        F.count(value).alias("n_used"),
     )
     tail = NORMAL.cdf(-k_sigma)
     scale = 1.0 + F.col("overdispersion")
@@ -61,83 +61,60 @@ def g(
     return build_joined("g", seq, _with_spread(params, k_sigma), _lines(), k_sigma=k_sigma)
 
 
-def weibull_fit(seq: Sequence, *, steps: int = 8) -> DataFrame:
-    """Maximum likelihood Weibull shape and scale per key, location 0, values > 0 only.
+def weibull_fit(seq: Sequence, roles: Roles, *, tolerance: float = 1e-10, most_steps: int = 100) -> DataFrame:
+    """Maximum likelihood Weibull ``shape`` and ``scale`` per key, location 0, values > 0 only.
 
-    Newton's method on the shape.  Values are divided by their maximum, which keeps
-    powers below 1.  Keys with fewer than two positive values, or all equal, get nulls.
-
-    Keys known to be small (a plain sequence) are fitted where their rows are, after
-    one shuffle.  Otherwise equal values are counted once and each step is one
-    grouped aggregation over those counts, so no key has to fit into one task.
+    Newton's method on the shape, kept inside the interval in which the likelihood's
+    slope changes sign.  Equal values are counted once, whatever the size of a key, and
+    each step is one grouped aggregation over the counts of the keys still iterating;
+    a key leaves once its step is below ``tolerance`` of the shape.  ``converged`` is
+    false for keys that have not after ``most_steps``.  Values are divided by their
+    maximum, which keeps powers below 1.  Keys with fewer than two positive values, or
+    all equal, get nulls.
     """
     keys = seq.keys
-    if not seq.blocked:
-        rows = seq.df.where(F.col("value") > 0).select(*keys, "value")
-        shape = T.StructType(
-            [f for f in rows.schema.fields if f.name in keys]
-            + [T.StructField("shape", T.DoubleType()), T.StructField("scale", T.DoubleType())]
-        )
-        return rows.groupBy(*keys).applyInPandas(_small_fit(keys, steps), shape)
-    counts = (
-        seq.df.where(F.col("value") > 0)
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    )
+    rows = seq.df.where((F.col("value") > 0) & used(F.lit(True), roles))
+    counts = durable(rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).cast("double").alias("_n")))
     n, lnx = F.col("_n"), F.ln("value")
     total, mean = F.sum(n), F.sum(n * lnx) / F.sum(n)
-    deviation = F.sqrt(
-        F.greatest(F.sum(n * lnx * lnx) / total - mean * mean, F.lit(0.0))
-    )
-    fit = counts.groupBy(*keys).agg(
+    deviation = F.sqrt(F.greatest(F.sum(n * lnx * lnx) / total - mean * mean, F.lit(0.0)))
+    varied = (total >= 2) & (F.count(F.lit(1)) > 1)
+    first = counts.groupBy(*keys).agg(
         total.alias("_total"),
         F.max("value").alias("_top"),
-        mean.alias("_mean_ln"),
-        F.when(total >= 2, F.try_divide(F.lit(math.pi / math.sqrt(6.0)), deviation)).alias("shape"),
-    )
-    for step in range(steps + 1):
-        y = F.col("value") / F.col("_top")
-        power = n * F.pow(y, F.col("shape"))
-        last = step == steps
-        sums = join_keys(counts, fit, keys, "inner").groupBy(*keys).agg(
-            *[F.max(c).alias(c) for c in ("_total", "_top", "_mean_ln", "shape")],
-            F.sum(power).alias("_s0"),
-            *([] if last else [F.sum(power * F.ln(y)).alias("_s1"),
-                               F.sum(power * F.ln(y) ** 2).alias("_s2")]),
+        (mean - F.ln(F.max("value"))).alias("_mean"),
+        F.when(varied, F.try_divide(F.lit(math.pi / math.sqrt(6.0)), deviation)).alias("shape"),
+    ).withColumns({"_low": F.lit(0.0), "_high": F.lit(math.inf), "scale": F.lit(None).cast("double"), "converged": F.lit(False)})
+    first = durable(first)
+    known = ["_total", "_top", "_mean", "shape", "_low", "_high"]
+    finished, active, step = [first.where(F.col("shape").isNull())], first.where(F.col("shape").isNotNull()), 0
+    while step < most_steps and not active.isEmpty():
+        y, k = F.col("value") / F.col("_top"), F.col("shape")
+        power = n * F.pow(y, k)
+        state = active.select(*keys, *known)
+        met = attach_row(counts, state.drop(*keys)) if seq.single else join_keys(counts, state, keys, "inner", nulls=seq.nulls)
+        sums = met.groupBy(*keys).agg(
+            *[F.max(c).alias(c) for c in known],
+            F.sum(power).alias("_s0"), F.sum(power * F.ln(y)).alias("_s1"), F.sum(power * F.ln(y) ** 2).alias("_s2"),
         )
-        k = F.col("shape")
-        if last:
-            scale = F.col("_top") * F.pow(F.col("_s0") / F.col("_total"), 1.0 / k)
-            return sums.select(*keys, "shape", scale.alias("scale"))
         ratio = F.col("_s1") / F.col("_s0")
         slope = -1.0 / (k * k) - (F.col("_s2") / F.col("_s0") - ratio * ratio)
-        value = 1.0 / k + (F.col("_mean_ln") - F.ln("_top")) - ratio
-        moved = F.greatest(k - value / slope, k / 10.0)
-        fit = sums.select(*keys, "_total", "_top", "_mean_ln", moved.alias("shape"))
-    raise AssertionError("unreachable")
-
-
-def _small_fit(keys: list[str], steps: int):
-    """The same steps over the values of one key."""
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        out = rows[keys].iloc[:1].assign(shape=None, scale=None)
-        x = rows["value"].to_numpy()
-        deviation = np.log(x).std()
-        if len(x) < 2 or deviation == 0:
-            return out
-        y = x / x.max()
-        ln = np.log(y)
-        k = math.pi / math.sqrt(6.0) / deviation
-        for _ in range(steps):
-            power = y**k
-            total = power.sum()
-            ratio = (power * ln).sum() / total
-            slope = -1.0 / (k * k) - ((power * ln * ln).sum() / total - ratio * ratio)
-            k = max(k - (1.0 / k + ln.mean() - ratio) / slope, k / 10.0)
-        return out.assign(shape=k, scale=x.max() * (y**k).mean() ** (1.0 / k))
-
-    return fit
+        value = 1.0 / k + F.col("_mean") - ratio
+        low, high = F.when(value > 0, k).otherwise(F.col("_low")), F.when(value > 0, F.col("_high")).otherwise(k)
+        newton = k - value / slope
+        halved = F.when(high == math.inf, 2.0 * k).otherwise((low + high) / 2.0)
+        moved = sums.withColumns({
+            "_low": low, "_high": high,
+            "_next": F.when((newton > low) & (newton < high), newton).otherwise(halved),
+            "scale": F.col("_top") * F.pow(F.col("_s0") / F.col("_total"), 1.0 / k),
+            "converged": F.abs(newton - k) <= tolerance * k,
+        })
+        moved = durable(moved.select(*keys, *known, "_next", "scale", "converged"))
+        finished.append(moved.where("converged"))
+        active = moved.where("not converged").withColumn("shape", F.col("_next"))
+        step += 1
+    finished.append(active)
+    return reduce(DataFrame.unionByName, [t.select(*keys, "shape", "scale", "converged") for t in finished])
 
 
 def weibull_quantile(p: float):
@@ -149,15 +126,15 @@ def t(
     roles: Roles,
     *,
     k_sigma: float = 3.0,
-    steps: int = 8,
+    tolerance: float = 1e-10,
     missing: str = "drop",
     **sizing,
 ) -> Chart:
-    """Times between events with limits at Weibull quantiles."""
+    """Times between events with limits at Weibull quantiles; ``converged`` is a parameter."""
     positive(k_sigma, "k_sigma")
     seq = individuals(df, roles, missing=missing, **sizing)
-    sizes = seq.df.groupBy(*seq.keys).agg(F.count("value").alias("n_used"))
-    params = join_keys(sizes, weibull_fit(seq, steps=steps), seq.keys).withColumns(
+    sizes = seq.df.groupBy(*seq.keys).agg(F.count(used("value", roles)).alias("n_used"))
+    params = join_keys(sizes, weibull_fit(seq, roles, tolerance=tolerance), seq.keys).withColumns(
         {
             "p_ucl": weibull_quantile(NORMAL.cdf(k_sigma)),
             "center": weibull_quantile(0.5),

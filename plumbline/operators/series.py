@@ -37,6 +37,13 @@ IDX = "idx"
 BLOCK = "_block"
 
 
+#: Columns of charts, which therefore cannot be names of series.
+RESERVED = frozenset({
+    IDX, PHASE, "value", "ucl", "cl", "lcl", "zone_cl", "zone_sigma", "subgroup", "n", "excluded", "label",
+    "center", "sigma_hat", "method", "n_used",
+})
+
+
 def listed(columns: str | Iterable[str] | None) -> list[str]:
     if columns is None:
         return []
@@ -45,13 +52,22 @@ def listed(columns: str | Iterable[str] | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Roles:
-    """Which column plays which part.  ``order`` must be unique within a series."""
+    """Which column plays which part.  ``order`` must be unique within a series.
+
+    ``excluded`` names a boolean column: rows that are charted but not estimated from.
+    """
 
     value: str
     order: str | tuple[str, ...]
     series: str | tuple[str, ...] = ()
     phase: str | None = None
     subgroup: str | None = None
+    excluded: str | None = None
+
+    def __post_init__(self) -> None:
+        taken = RESERVED & set(self.series_columns)
+        if taken:
+            raise ValueError(f"series columns {sorted(taken)} have names of chart columns: rename them first")
 
     @property
     def order_columns(self) -> list[str]:
@@ -368,72 +384,94 @@ class Sequence:
         """E_i = lam * x_i + (1 - lam) * E_(i-1), E before the first row = start.
 
         ``columns`` maps a name to (x, start).  Rows are grouped into stretches of
-        ``m`` rows over which (1 - lam)**m stays above 1e-30, so that inside one
-        stretch E is a plain weighted running sum without overflow.  The ends of
-        the ``reach`` stretches before determine what flows into the next one to
-        far below the precision of a double, so no further look-back is needed.
+        ``m`` rows, so many that (1 - lam)**m squared is zero in a double: inside a
+        stretch E is a weighted running sum without overflow, and from outside only the
+        stretch before can add anything.  A block is smoothed from 0, which makes it an
+        affine function of what flows in; the functions of a key's blocks are composed
+        by doubling.
         """
         if lam == 1.0:
             return self.with_columns({n: x for n, (x, _) in columns.items()})
-        keep = 1.0 - lam
-        m, reach = stretches(lam)
-        fade = keep**m
-        at = F.col(IDX) % m + 1
-        decay = F.pow(F.lit(keep), at)
-        scratch = ["_stretch", *[f"_s{i}_{n}" for n in columns for i in range(reach + 1)]]
-
-        def within(w: WindowSpec) -> dict[str, Column]:
-            # same sort as the window below: (keys[, block], stretch, idx)
-            keys = [*self.keys, *([BLOCK] if self.blocked else []), "_stretch"]
-            part = Window.partitionBy(*keys).orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
-            return {
-                f"_s0_{n}": decay * F.sum(x * lam * F.pow(F.lit(keep), -at)).over(part)
-                for n, (x, _) in columns.items()
-            }
-
-        def chained(step: int) -> Callable[[WindowSpec], dict[str, Column]]:
-            def build(w: WindowSpec) -> dict[str, Column]:
-                keys = [*self.keys, *([BLOCK] if self.blocked else [])]
-                earlier = (
-                    Window.partitionBy(*keys).orderBy("_stretch", IDX)
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                )
-                out = {}
-                for n in columns:
-                    end = F.col(f"_s0_{n}")
-                    if step > 1:
-                        end = end + fade * F.coalesce(F.col(f"_s{step - 1}_{n}"), F.lit(0.0))
-                    out[f"_s{step}_{n}"] = F.last(
-                        F.when(at == m, end), ignorenulls=True
-                    ).over(earlier)
-                return out
-
-            return build
-
-        seq = self.with_columns({"_stretch": F.floor(F.col(IDX) / m)})
-        seq = seq.frame(smoothing_back(lam), within, *[chained(i) for i in range(1, reach + 1)])
-        flow = {
-            n: F.col(f"_s0_{n}")
-            + decay * F.coalesce(F.col(f"_s{reach}_{n}"), F.lit(0.0))
-            + F.pow(F.lit(keep), F.col(IDX) + 1) * start
-            for n, (_, start) in columns.items()
-        }
-        return seq.with_columns(flow).drop(*scratch)
-
-
-def stretches(lam: float) -> tuple[int, int]:
-    """Rows per stretch, and how many stretches back matter, for smoothing with ``lam``."""
-    if lam == 1.0:
-        return 0, 0
-    decay = math.log(1.0 - lam)
-    m = max(1, int(math.log(1e-30) / decay))
-    return m, max(1, math.ceil(math.log(1e-20) / (m * decay)))
-
-
-def smoothing_back(lam: float) -> int:
-    """Rows that smoothing with ``lam`` looks back on."""
-    m, reach = stretches(lam)
-    return m * (reach + 1)
+        decay, m = math.log1p(-lam), stretch_rows(lam)
+        seq = self._cut() if self.blocked else self
+        by = [*self.keys, *([BLOCK] if self.blocked else [])]
+        place = F.col(IDX) % seq.block_rows if self.blocked else F.col(IDX)
+        at = place % m + 1
+        weight = F.exp(at * decay)
+        part = Window.partitionBy(*by, "_stretch").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
+        # same sort as the window above: (keys[, block], stretch, idx)
+        chain = Window.partitionBy(*by).orderBy("_stretch", IDX)
+        rows = seq._own() if self.blocked else self.df
+        rows = rows.withColumn("_stretch", F.floor(place / m)).withColumns(
+            {f"_l_{n}": weight * F.sum(x * lam * F.exp(-at * decay)).over(part) for n, (x, _) in columns.items()}
+        )
+        if m < MOST_ROWS:
+            fade = math.exp(m * decay)
+
+            def end(n: str) -> Column:
+                before = F.coalesce(F.lag(f"_l_{n}", m).over(chain), F.lit(0.0))
+                return F.when(at == m, F.col(f"_l_{n}") + fade * before)
+
+            earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
+            rows = rows.withColumns({f"_e_{n}": end(n) for n in columns})
+            rows = rows.withColumns({f"_e_{n}": F.last(f"_e_{n}", ignorenulls=True).over(earlier) for n in columns})
+            rows = rows.withColumns({f"_l_{n}": F.col(f"_l_{n}") + weight * F.coalesce(f"_e_{n}", F.lit(0.0)) for n in columns})
+            rows = rows.drop(*[f"_e_{n}" for n in columns])
+        rows, kept = rows.drop("_stretch"), F.exp((place + 1) * decay)
+        inflow = {n: start for n, (_, start) in columns.items()}
+        scratch = [f"_l_{n}" for n in columns]
+        if self.blocked:
+            rows = durable(rows)
+            blocks = rows.groupBy(*by).agg(
+                F.exp((F.max(place) + 1) * decay).alias("_a"), *[F.max_by(f"_l_{n}", IDX).alias(f"_b_{n}") for n in columns]
+            )
+
+            def compose(earlier: Callable[[str, float], Column]) -> dict[str, Column]:
+                sums = {f"_b_{n}": F.col(f"_b_{n}") + F.col("_a") * earlier(f"_b_{n}", 0.0) for n in columns}
+                return {"_a": F.col("_a") * earlier("_a", 1.0), **sums}
+
+            carry = scanned_blocks(blocks, self.keys, compose, {"_a": 1.0, **{f"_b_{n}": 0.0 for n in columns}})
+            rows = self.joined(rows, carry, BLOCK)
+            inflow = {n: F.col("_a") * start + F.col(f"_b_{n}") for n, start in inflow.items()}
+            scratch += ["_a", *[f"_b_{n}" for n in columns], BLOCK]
+        rows = rows.withColumns({n: F.col(f"_l_{n}") + kept * inflow[n] for n in columns})
+        return self.with_df(rows.drop(*scratch))
+
+
+#: Rows that a window can look back on.
+MOST_ROWS = 1 << 30
+
+
+def stretch_rows(lam: float) -> int:
+    """Rows after which (1 - lam)**rows is below 1e-163, the square of which a double holds as zero."""
+    return max(1, math.ceil(math.log(1e-163) / math.log1p(-lam)))
+
+
+def scanned_blocks(
+    blocks: DataFrame,
+    keys: list[str],
+    compose: Callable[[Callable[[str, float], Column]], Mapping[str, Column]],
+    identity: Mapping[str, float],
+) -> DataFrame:
+    """What all blocks before each block amount to, by doubling over the table of blocks.
+
+    Each block holds an associative function as the columns of ``identity``.
+    ``compose(earlier)`` gives the columns of a block's function after an earlier one,
+    whose columns are ``earlier(name, value where there is none)``.  After k steps a
+    block holds the composition of 2**k blocks; no step subtracts, so nothing cancels.
+    """
+    blocks = durable(blocks)
+    across = Window.partitionBy(*keys).orderBy(BLOCK)
+
+    def lagged(rows: int) -> Callable[[str, float], Column]:
+        return lambda name, missing: F.coalesce(F.lag(name, rows).over(across), F.lit(missing))
+
+    last, reach = blocks.agg(F.max(BLOCK)).first()[0] or 0, 1
+    while reach < last:
+        blocks = blocks.withColumns(dict(compose(lagged(reach))))
+        reach *= 2
+    before = lagged(1)
+    return blocks.select(*keys, BLOCK, *[before(n, v).alias(n) for n, v in identity.items()])
 
 
 def sequence(
@@ -526,6 +564,14 @@ def order_statistics(
     if blocked is None:
         blocked = largest_group(present, keys) > size
     counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return ranked_counts(counts, keys, ranks, blocked=blocked, block_rows=size)
+
+
+def ranked_counts(
+    counts: DataFrame, keys: list[str], ranks: Mapping[str, Callable[[Column], Column]], *, blocked: bool, block_rows: int
+) -> DataFrame:
+    """Order statistics per key from values ``_v`` that occur ``_n`` times."""
+    size = block_rows
     if blocked:
         # many rows, but perhaps few values: write the counts down and look at them
         seq = sequence(durable(counts), keys, "_v", block_rows=size)

@@ -10,11 +10,13 @@ from plumbline.operators.chart import (
     MR_DIVISOR,
     Chart,
     build,
+    estimating_range,
     measurements,
     moving_range,
     one_of,
     order_of,
     positive,
+    used,
     zone_lines,
 )
 from plumbline.operators.series import IDX, Roles, Sequence, join_keys, sequence
@@ -22,12 +24,12 @@ from plumbline.operators.series import IDX, Roles, Sequence, join_keys, sequence
 
 def product_statistics(rows: DataFrame, roles: Roles, known: DataFrame | None, **sizing):
     """Target and sigma per product; given ones (product, target, sigma) come first."""
-    keys = [*roles.keys, "product"]
-    seq = moving_range(sequence(rows, keys, order_of(roles), **sizing))
+    keys, value = [*roles.keys, "product"], used("value", roles)
+    seq, ranges = estimating_range(sequence(rows, keys, order_of(roles), **sizing), roles)
     stats = seq.df.groupBy(*keys).agg(
-        F.avg("value").alias("target"),
-        F.coalesce(F.avg("mr") / MR_DIVISOR, F.lit(0.0)).alias("product_sigma"),
-        F.count("value").alias("n"),
+        F.avg(value).alias("target"),
+        F.coalesce(F.avg(ranges) / MR_DIVISOR, F.lit(0.0)).alias("product_sigma"),
+        F.count(value).alias("n"),
     )
     if known is None:
         return stats
@@ -72,11 +74,12 @@ def short_run(
                    **sizing)
     seq = seq.with_columns({"transformed": off})
     seq = moving_range(seq, value="transformed")
-    center = F.avg("transformed") if scaling == "centered" else F.avg(F.lit(0.0))
+    seq, ranges = estimating_range(seq, roles, value="transformed")
+    center = F.avg(used("transformed", roles)) if scaling == "centered" else F.avg(F.lit(0.0))
     return build(
         "short_run",
         seq,
-        {"center": center, "mr_bar": F.avg("mr"), "n_used": F.count("value")},
+        {"center": center, "mr_bar": F.avg(ranges), "n_used": F.count(used("value", roles))},
         {"sigma_hat": F.coalesce(F.col("mr_bar") / MR_DIVISOR, F.lit(0.0)),
          "method": F.lit("short_run")},
         {

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.chart import measurements, order_of
+from plumbline.operators.chart import EXCLUDED, measurements, order_of
 from plumbline.operators.series import (
     PHASE,
     Roles,
@@ -48,11 +48,20 @@ def subgroup_table(
     missing: str = "drop",
     median: bool = False,
 ) -> DataFrame:
-    """One row per subgroup: ``n``, the statistics and ``_first``, its first order value."""
+    """One row per subgroup: ``n``, the statistics and ``_first``, its first order value.
+
+    With excluded rows also the ``used_`` statistics of the others, null in a subgroup
+    all of whose rows are excluded.
+    """
     rows, by = subgroup_keys(measurements(df, roles, missing=missing), roles)
     order = order_of(roles)
     first = F.min(order[0] if len(order) == 1 else F.struct(*order))
     picked = {s: STATISTICS[s](F.col("value")) for s in statistics}
+    if roles.excluded:
+        kept = F.when(~F.col(EXCLUDED), F.col("value"))
+        some = F.count(kept) > 0
+        picked |= {f"used_{s}": F.when(some, STATISTICS[s](kept)) for s in statistics}
+        picked |= {"used_n": F.when(some, F.count(kept)), EXCLUDED: ~some}
     table = rows.groupBy(*by).agg(
         first.alias("_first"),
         F.count(F.lit(1)).alias("n"),
@@ -90,18 +99,25 @@ def subgroups(
             table = durable(table)
     seq = sequence(table, roles.keys, ["_first", "subgroup"], single=roles.single, **sizing)
     keep = [*roles.keys, "idx", "subgroup", "n", *statistics, *(["median"] if median else [])]
+    if roles.excluded:
+        keep += [*(f"used_{s}" for s in ("n", *statistics)), EXCLUDED]
     return seq.with_df(seq.df.select(*keep))
 
 
+def estimated(statistic: str, roles: Roles) -> str:
+    """The column of a subgroup statistic to estimate from."""
+    return statistic if roles.excluded is None else f"used_{statistic}"
+
+
 def harmonic_size(n: str | Column = "n") -> Column:
     """Harmonic mean of subgroup sizes, as an aggregate."""
     n = F.col(n) if isinstance(n, str) else n
     return F.count(n) / F.sum(1.0 / n)
 
 
-def typical_size(seq: Sequence) -> DataFrame:
+def typical_size(seq: Sequence, n: str = "n") -> DataFrame:
     """The most common subgroup size per key; of equally common ones the first to appear."""
-    counts = seq.df.groupBy(*seq.keys, "n").agg(
+    counts = seq.df.where(F.col(n).isNotNull()).groupBy(*seq.keys, F.col(n).alias("n")).agg(
         F.count(F.lit(1)).alias("_many"), F.min("idx").alias("_seen")
     )
     return counts.groupBy(*seq.keys).agg(
@@ -135,8 +151,11 @@ def phase_table(df: DataFrame, roles: Roles, points: DataFrame | None = None) ->
     )
 
 
-def axis_labels(points: DataFrame, *, subgrouped: bool) -> DataFrame:
-    """Axis text: the subgroup where there is one, else the 1-based position."""
-    position = (F.col("idx") + 1).cast("string")
-    label = F.coalesce(F.col("subgroup"), F.lit("default")) if subgrouped else position
+def axis_labels(points: DataFrame, *, subgrouped: bool, order: str | None = None) -> DataFrame:
+    """Axis text: the subgroup where there is one, else the row's order value, else the 1-based position.
+
+    ``order`` names the order column of points that stand for one row each.
+    """
+    position = F.col(order) if order else F.col("idx") + 1
+    label = F.coalesce(F.col("subgroup"), F.lit("default")) if subgrouped else position.cast("string")
     return points.withColumn("label", label)

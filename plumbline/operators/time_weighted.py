@@ -1,34 +1,34 @@
 """Time weighted charts: EWMA, tabular CUSUM and the V-mask.
 
 With a subgroup column they chart subgroup means, otherwise single values.
-Sigma comes from moving ranges of what is charted.
+Sigma comes from moving ranges of what is charted.  Excluded rows pass through the
+statistics, but neither target nor sigma is estimated from them.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.chart import (
     MR_DIVISOR,
     Chart,
+    estimating_range,
     individuals,
-    moving_range,
     positive,
+    used,
     zone_lines,
 )
 from plumbline.operators.series import (
     BLOCK,
     IDX,
-    LOOK_BACK,
     Roles,
     Sequence,
-    smoothing_back,
+    scanned_blocks,
 )
-from plumbline.operators.subgroups import subgroups
+from plumbline.operators.subgroups import estimated, subgroups
 from plumbline.session import durable
 
 
@@ -41,14 +41,16 @@ def charted_values(df: DataFrame, roles: Roles, *, missing: str = "drop", **sizi
     return seq.with_df(seq.df.withColumnRenamed("mean", "value"))
 
 
-def _fitted(seq: Sequence, target: float | None, sigma: float | None) -> tuple[Sequence, DataFrame]:
+def _fitted(seq: Sequence, roles: Roles, target: float | None, sigma: float | None) -> tuple[Sequence, DataFrame]:
     """Target and sigma on every row, and the parameter table."""
-    seq = moving_range(seq)
+    value, n = ("value", "n") if roles.subgroup is None else (estimated("mean", roles), estimated("n", roles))
+    value = "value" if value == "mean" else value
+    seq, ranges = estimating_range(seq, roles, value=value)
     aggregates = {
-        "mean": F.avg("value"),
-        "mr_bar": F.avg("mr"),
-        "n_used": F.count("mr"),
-        "n_bar": F.avg("n"),
+        "mean": F.avg(used(value, roles)),
+        "mr_bar": F.avg(ranges),
+        "n_used": F.count(ranges),
+        "n_bar": F.avg(used(n, roles)),
     }
     derived = {
         "target": F.lit(float(target)) if target is not None else F.col("mean") + F.lit(0.0),
@@ -76,8 +78,7 @@ def ewma(
     if not 0 < lam <= 1:
         raise ValueError(f"lam must be in (0, 1], got {lam}")
     seq = charted_values(df, roles, missing=missing, **sizing)
-    seq = seq.reserve(smoothing_back(lam) + LOOK_BACK)
-    seq, params = _fitted(seq, target, None)
+    seq, params = _fitted(seq, roles, target, None)
     seq = seq.smoothed(lam, {"ewma": (F.col("value"), F.col("target"))})
     seq = seq.frame(
         1,
@@ -87,8 +88,7 @@ def ewma(
     )
     spread = lam / (2.0 - lam)
     if exact_limits:
-        grown = 1.0 - F.pow(F.lit(1.0 - lam), 2.0 * (F.col(IDX) + 1))
-        variance = spread * grown / F.col("n")
+        variance = spread * grown_share(lam) / F.col("n")
     else:
         variance = spread / F.col("n_bar")
     half = k_sigma * F.col("sigma_hat") * F.sqrt(variance)
@@ -111,6 +111,11 @@ def ewma(
                  extra_columns=("observed", "residual", "signal"), notes={"forecast": forecast})
 
 
+def grown_share(lam: float) -> Column:
+    """1 - (1 - lam)**(2 (idx + 1)): how far the variance of a smoothed value has grown."""
+    return F.lit(1.0) if lam == 1.0 else -F.expm1(2.0 * math.log1p(-lam) * (F.col(IDX) + 1))
+
+
 def _check_cusum(h: float, k: float, head_start: float) -> None:
     positive(h, "h")
     positive(k, "k")
@@ -119,70 +124,52 @@ def _check_cusum(h: float, k: float, head_start: float) -> None:
 
 
 def cusum_statistics(seq: Sequence, z: Column, k: float, head_start: float = 0.0) -> Sequence:
-    """C+ and C- of standardized deviations ``z``, without a recursion.
+    """C+ and C- of standardized deviations ``z`` and their running sum ``_total``, without a recursion.
 
     With S the running sum of z - k, C+ is S less its running minimum (not above
-    -head_start); C- mirrors it.  Blocks start from 0 and are then lifted by what
-    flows in: C = max(C_block, inflow + S_block).
+    -head_start); C- mirrors it.  A block starts from 0: what flows in becomes
+    max(C_block, inflow + S_block) at its end, and these functions of a key's blocks are
+    composed by doubling.
     """
     seq = seq.with_columns({"_z": z})
     upto = (Window.unboundedPreceding, 0)
+    cut = seq._cut() if seq.blocked else seq
+    w = (cut._block_window() if seq.blocked else seq._window()).rowsBetween(*upto)
+    sums = {
+        "_total": F.sum("_z").over(w),
+        "_up": F.sum(F.col("_z") - k).over(w),
+        "_down": F.sum(F.col("_z") + k).over(w),
+    }
+    head = 0.0 if seq.blocked else head_start
+    sides = {
+        "c_plus": F.col("_up") - F.least(F.lit(-head), F.min("_up").over(w)),
+        "c_minus": F.col("_down") - F.greatest(F.lit(head), F.max("_down").over(w)),
+    }
     if not seq.blocked:
-        w = seq._window().rowsBetween(*upto)
-        seq = seq.with_columns(
-            {"_up": F.sum(F.col("_z") - k).over(w), "_down": F.sum(F.col("_z") + k).over(w)},
-            {
-                "c_plus": F.col("_up") - F.least(F.lit(-head_start), F.min("_up").over(w)),
-                "c_minus": F.col("_down") - F.greatest(F.lit(head_start), F.max("_down").over(w)),
-            },
-        )
-        return seq.drop("_z", "_up", "_down")
-    seq = seq._cut()
-    w = seq._block_window().rowsBetween(*upto)
-    rows = seq._own().withColumns(
-        {"_up": F.sum(F.col("_z") - k).over(w), "_down": F.sum(F.col("_z") + k).over(w)}
-    ).withColumns(
-        {
-            "_c_up": F.col("_up") - F.least(F.lit(0.0), F.min("_up").over(w)),
-            "_c_down": F.col("_down") - F.greatest(F.lit(0.0), F.max("_down").over(w)),
+        return seq.with_columns(sums, sides).drop("_z", "_up", "_down")
+    rows = durable(cut._own().withColumns(sums).withColumns(sides).drop("_z"))
+    ends = {"_s": "_total", "_su": "_up", "_sd": "_down", "_cu": "c_plus", "_cd": "c_minus"}
+    blocks = rows.groupBy(*seq.keys, BLOCK).agg(*[F.max_by(c, IDX).alias(n) for n, c in ends.items()])
+    none = {"_s": 0.0, "_su": 0.0, "_sd": 0.0, "_cu": -math.inf, "_cd": math.inf}
+
+    def compose(earlier) -> dict[str, Column]:
+        return {
+            **{n: F.col(n) + earlier(n, 0.0) for n in ("_s", "_su", "_sd")},
+            "_cu": F.greatest(F.col("_cu"), earlier("_cu", -math.inf) + F.col("_su")),
+            "_cd": F.least(F.col("_cd"), earlier("_cd", math.inf) + F.col("_sd")),
         }
-    )
-    rows = durable(rows)
-    blocks = rows.groupBy(*seq.keys, BLOCK).agg(
-        *[F.max_by(c, IDX).alias(c) for c in ("_up", "_down", "_c_up", "_c_down")]
-    )
-    inflow = blocks.groupBy(*seq.keys).applyInPandas(
-        _inflow(head_start),
-        blocks.select(*seq.keys, BLOCK).withColumns(
-            {"_in_up": F.lit(0.0), "_in_down": F.lit(0.0)}
-        ).schema,
-    )
-    rows = seq.joined(rows, inflow, BLOCK).withColumns(
+
+    rows = seq.joined(rows, scanned_blocks(blocks, seq.keys, compose, none), BLOCK)
+    up = F.greatest(F.col("_cu"), head_start + F.col("_su"))
+    down = F.least(F.col("_cd"), -head_start + F.col("_sd"))
+    rows = rows.withColumns(
         {
-            "c_plus": F.greatest(F.col("_c_up"), F.col("_in_up") + F.col("_up")),
-            "c_minus": F.least(F.col("_c_down"), F.col("_in_down") + F.col("_down")),
+            "_total": F.col("_total") + F.col("_s"),
+            "c_plus": F.greatest(F.col("c_plus"), up + F.col("_up")),
+            "c_minus": F.least(F.col("c_minus"), down + F.col("_down")),
         }
     )
-    return seq.with_df(
-        rows.drop("_z", "_up", "_down", "_c_up", "_c_down", "_in_up", "_in_down", BLOCK)
-    )
-
-
-def _inflow(head_start: float):
-    """Statistics at the start of each block; one row per block of one key."""
-
-    def scan(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values(BLOCK)
-        up, down, ups, downs = head_start, -head_start, [], []
-        for s, t, c, d in zip(blocks["_up"], blocks["_down"], blocks["_c_up"], blocks["_c_down"]):
-            ups.append(up)
-            downs.append(down)
-            up, down = max(c, up + s), min(d, down + t)
-        return blocks.drop(columns=["_up", "_down", "_c_up", "_c_down"]).assign(
-            _in_up=ups, _in_down=downs
-        )
-
-    return scan
+    return seq.with_df(rows.drop("_up", "_down", BLOCK, *ends))
 
 
 def _standardized() -> Column:
@@ -235,7 +222,7 @@ def cusum(
     positive(k_sigma, "k_sigma")
     _check_cusum(h, k, head_start)
     seq = charted_values(df, roles, missing=missing, **sizing)
-    seq, params = _fitted(seq, target, sigma)
+    seq, params = _fitted(seq, roles, target, sigma)
     seq = cusum_statistics(seq, _standardized(), k, head_start)
     seq = seq.with_columns(
         {
@@ -272,19 +259,18 @@ def cusum_vmask(
     _check_cusum(h, k, 0.0)
     positive(d_units, "d_units")
     seq = charted_values(df, roles, missing=missing, **sizing)
-    seq, params = _fitted(seq, target, sigma)
-    seq = seq.running_sum(_sum=_standardized())
+    seq, params = _fitted(seq, roles, target, sigma)
     seq = cusum_statistics(seq, _standardized(), k)
     lead = h / (2.0 * k)
     seq = seq.with_columns(
         {
             "observed": F.col("value"),
-            "value": F.col("_sum"),
+            "value": F.col("_total"),
             "ucl": F.lit(float(h)),
             "cl": F.lit(0.0),
             "lcl": F.lit(-float(h)),
             "vertex_x": F.col(IDX) + lead,
-            "vertex_y": F.col("_sum"),
+            "vertex_y": F.col("_total"),
             "upper_slope": F.lit(float(k)),
             "lower_slope": F.lit(-float(k)),
             "signal": (F.col("c_plus") > h) | (F.col("c_minus") < -h),

@@ -13,14 +13,16 @@ from plumbline.operators.chart import (
     MR_DIVISOR,
     Chart,
     build,
+    estimating_range,
     individuals,
     moving_range,
     one_of,
     positive,
+    used,
     zone_lines,
 )
 from plumbline.operators.series import IDX, Roles, Sequence, join_keys
-from plumbline.operators.subgroups import subgroups, typical_size
+from plumbline.operators.subgroups import estimated, subgroups, typical_size
 
 INDIVIDUAL_SIGMA = ("moving_range", "median_moving_range", "levey_jennings", "range", "stddev")
 
@@ -54,17 +56,18 @@ def imr(
         return _subgroup_fallback(df, roles, k_sigma, sigma_method, missing, sizing)
     if sigma_method == "levey_jennings":
         seq = individuals(df, roles, missing=missing, **sizing)
-        return _overall(seq, k_sigma, "imr")
+        return _overall(seq, roles, k_sigma, "imr")
     seq = moving_range(individuals(df, roles, missing=missing, **sizing))
+    seq, ranges = estimating_range(seq, roles)
     aggregates = {
-        "center": F.avg("value"),
-        "mr_bar": F.avg("mr"),
-        "n_used": F.count("mr"),
-        "n": F.count("value"),
+        "center": F.avg(used("value", roles)),
+        "mr_bar": F.avg(ranges),
+        "n_used": F.count(ranges),
+        "n": F.count(used("value", roles)),
     }
     medians, sigma = None, F.col("mr_bar") / MR_DIVISOR
     if sigma_method == "median_moving_range":
-        medians, sigma = {"mr_median": "mr"}, F.col("mr_median") / k.MEDIAN_MR_DIVISOR
+        medians, sigma = {"mr_median": ranges}, F.col("mr_median") / k.MEDIAN_MR_DIVISOR
     return build(
         "imr",
         seq,
@@ -93,12 +96,13 @@ def _range_part(seq: Sequence, k_sigma: float, span: int) -> Sequence:
     return seq.with_df(rows)
 
 
-def _overall(seq: Sequence, k_sigma: float, kind: str) -> Chart:
+def _overall(seq: Sequence, roles: Roles, k_sigma: float, kind: str) -> Chart:
+    value = used("value", roles)
     return build(
         kind,
         seq,
-        {"center": F.avg("value"), "sigma_hat": F.stddev_samp("value"), "n_used": F.count("value"),
-         "n": F.count("value")},
+        {"center": F.avg(value), "sigma_hat": F.stddev_samp(value), "n_used": F.count(value),
+         "n": F.count(value)},
         {"method": F.lit("levey_jennings")},
         {**band("center", k_sigma * F.col("sigma_hat")), **zone_lines("center", "sigma_hat")},
         k_sigma=k_sigma,
@@ -109,11 +113,11 @@ def _subgroup_fallback(df, roles, k_sigma, method, missing, sizing) -> Chart:
     spread, divisor = ("range", k.d2) if method == "range" else ("std", k.c4)
     seq = subgroups(df, roles, ("mean", spread), missing=missing, **sizing)
     seq = seq.with_columns({"value": F.col("mean")})
-    estimate = F.when(F.col("n") >= 2, F.col(spread) / divisor(F.col("n")))
+    estimate = _spread_estimate(spread, divisor, roles)
     return build(
         "imr",
         seq,
-        {"center": F.avg("value"), "sigma_hat": F.avg(estimate), "n_used": F.count(estimate)},
+        {"center": F.avg(estimated("mean", roles)), "sigma_hat": F.avg(estimate), "n_used": F.count(estimate)},
         {"method": F.lit(method)},
         {**band("center", k_sigma * F.col("sigma_hat")), **zone_lines("center", "sigma_hat")},
         k_sigma=k_sigma,
@@ -127,7 +131,7 @@ def levey_jennings(
     """Mean +- k overall sample standard deviations."""
     positive(k_sigma, "k_sigma")
     seq = individuals(df, roles, missing=missing, **sizing)
-    return _overall(seq, k_sigma, "levey_jennings")
+    return _overall(seq, roles, k_sigma, "levey_jennings")
 
 
 def mr(
@@ -146,14 +150,15 @@ def mr(
     if sigma_method == "median_moving_range" and span != 2:
         raise ValueError("the median moving range is defined for span 2")
     seq = moving_range(individuals(df, roles, missing=missing, **sizing), span)
+    seq, ranges = estimating_range(seq, roles, span)
     medians, sigma = None, F.col("mr_bar") / k.constant("d2", span)
     if sigma_method == "median_moving_range":
-        medians, sigma = {"mr_median": "mr"}, F.col("mr_median") / k.MEDIAN_MR_DIVISOR
+        medians, sigma = {"mr_median": ranges}, F.col("mr_median") / k.MEDIAN_MR_DIVISOR
     scale = k.constant("d3", span)
     return build(
         "mr",
         seq,
-        {"mr_bar": F.avg("mr"), "n_used": F.count("mr")},
+        {"mr_bar": F.avg(ranges), "n_used": F.count(ranges)},
         [{"sigma_hat": sigma, "method": F.lit(sigma_method)},
          {"center": k.constant("d2", span) * F.col("sigma_hat")}],
         {},
@@ -165,11 +170,17 @@ def mr(
     )
 
 
+def _spread_estimate(spread: str, divisor, roles: Roles):
+    """Sigma of a subgroup of two rows or more."""
+    n = F.col(estimated("n", roles))
+    return F.when(n >= 2, F.col(estimated(spread, roles)) / divisor(n))
+
+
 def _dispersion(df, roles, statistic: str, missing, sizing) -> tuple[Sequence, dict]:
     """Subgroups with sigma from their ranges or deviations (sizes >= 2 only)."""
     spread, divisor = ("range", k.d2) if statistic == "range" else ("std", k.c4)
     seq = subgroups(df, roles, ("mean", spread), missing=missing, **sizing)
-    estimate = F.when(F.col("n") >= 2, F.col(spread) / divisor(F.col("n")))
+    estimate = _spread_estimate(spread, divisor, roles)
     return seq, {"sigma_hat": F.avg(estimate), "n_used": F.count(estimate)}
 
 
@@ -195,7 +206,7 @@ def _xbar(kind: str, statistic: str, df, roles, k_sigma, zone_scale, missing, si
     return build(
         kind,
         seq,
-        {"center": F.avg("mean"), "inverse_n": F.avg(1.0 / F.col("n")), **sigma},
+        {"center": F.avg(estimated("mean", roles)), "inverse_n": F.avg(1.0 / F.col(estimated("n", roles))), **sigma},
         {"method": F.lit(statistic), "harmonic_n": 1.0 / F.col("inverse_n")},
         {
             "value": F.col("mean"),
@@ -229,11 +240,11 @@ def _spread_chart(kind: str, statistic: str, df, roles, k_sigma, missing, sizing
     positive(k_sigma, "k_sigma")
     seq, sigma = _dispersion(df, roles, statistic, missing, sizing)
     column, wide = ("range", k.d3) if statistic == "range" else ("std", k.c5)
-    seq = seq.beside(typical_size(seq))
+    seq = seq.beside(typical_size(seq, estimated("n", roles)).withColumnRenamed("typical_n", "_typical"))
     return build(
         kind,
         seq,
-        {"center": F.avg(column), "typical_n": F.max("typical_n"), **sigma},
+        {"center": F.avg(estimated(column, roles)), "typical_n": F.max("_typical"), **sigma},
         [{"method": F.lit(statistic)},
          {"zone_spread": wide(F.col("typical_n")) * F.col("sigma_hat")}],
         {
@@ -300,16 +311,17 @@ def run_chart(
 ) -> Chart:
     """Runs about the centre, with their expectation and two-sided p-value.
 
-    The chart has no limits of its own; lines at +-k sigma from moving ranges keep
+    Excluded rows count in no run.  The chart has no limits of its own; lines at +-k sigma from moving ranges keep
     the rules quiet.
     """
     one_of(center_method, ("median", "mean"), "center_method")
     positive(k_sigma, "k_sigma")
-    seq = moving_range(individuals(df, roles, missing=missing, **sizing))
-    aggregates = {"mr_bar": F.avg("mr"), "n_used": F.count("value")}
-    medians = {"center": "value"} if center_method == "median" else None
+    seq = individuals(df, roles, missing=missing, **sizing).with_columns({"observed": used("value", roles)})
+    seq, ranges = estimating_range(seq, roles)
+    aggregates = {"mr_bar": F.avg(ranges), "n_used": F.count("observed")}
+    medians = {"center": "observed"} if center_method == "median" else None
     if medians is None:
-        aggregates["center"] = F.avg("value")
+        aggregates["center"] = F.avg("observed")
     sigma = F.when(F.col("mr_bar") > 0, F.col("mr_bar") / MR_DIVISOR).otherwise(1.0)
     chart = build(
         "run",
@@ -320,7 +332,7 @@ def run_chart(
         k_sigma=k_sigma,
         medians=medians,
     )
-    side = F.when(F.col("value") > F.col("cl"), 1).when(F.col("value") < F.col("cl"), -1)
+    side = F.when(F.col("observed") > F.col("cl"), 1).when(F.col("observed") < F.col("cl"), -1)
     sided = chart.sequence.with_columns({"_side": side.otherwise(0)})
     sides = sided.df.groupBy(*seq.keys).agg(
         F.count_if(F.col("_side") == 1).alias("n_above"),
@@ -376,7 +388,7 @@ def three_way(
     one_of(within_method, ("range", "stddev"), "within_method")
     seq, sigma = _dispersion(df, roles, within_method, missing, sizing)
     column = "range" if within_method == "range" else "std"
-    seq = moving_range(seq, value="mean")
+    seq, ranges = estimating_range(seq, roles, value=estimated("mean", roles))
     within = F.coalesce(F.col("sigma_w"), F.lit(0.0))
     nominal = F.greatest(F.rint("harmonic_n"), F.lit(2.0)).cast("int")
     steps = [
@@ -403,10 +415,10 @@ def three_way(
         "three_way",
         seq,
         {
-            "center": F.avg("mean"),
-            "inverse_n": F.avg(1.0 / F.col("n")),
-            "mr_bar": F.avg("mr"),
-            "n_used": F.count("mean"),
+            "center": F.avg(estimated("mean", roles)),
+            "inverse_n": F.avg(1.0 / F.col(estimated("n", roles))),
+            "mr_bar": F.avg(ranges),
+            "n_used": F.count(estimated("mean", roles)),
             "sigma_w": sigma["sigma_hat"],
         },
         steps,

@@ -20,7 +20,7 @@ from plumbline.operators import (
     variables,
 )
 from plumbline.operators.capability import NOT_CAPABLE_KINDS, capability
-from plumbline.operators.chart import Chart
+from plumbline.operators.chart import Chart, excluded_flag
 from plumbline.operators.findings import facts, findings, health
 from plumbline.operators.rules import (
     NELSON_DEFAULT,
@@ -87,6 +87,7 @@ class Analysis:
     violation_counts: DataFrame
     capability: DataFrame | None
     phases: DataFrame
+    phase_order: DataFrame
 
     def findings(self, overrides: Mapping[str, float] | None = None) -> DataFrame:
         known = facts(
@@ -95,7 +96,7 @@ class Analysis:
             westgard=self.recipe.westgard,
             custom=self.recipe.custom_rules,
             capability=self.capability,
-            phases=self.phases,
+            phases=self.phase_order,
             overrides=overrides,
         )
         return findings(known)
@@ -107,14 +108,14 @@ class Analysis:
 def analyze(df: DataFrame, recipe: Recipe) -> Analysis:
     """Run a recipe.  ``exclude`` names a boolean column: rows left out of estimation.
 
-    Excluded rows are charted against the limits of the others, through the
-    parameters of the series and phase they belong to.  The positions of a phase count
-    the points of the chart.
+    Excluded rows are charted against the limits of the others, on every kind of chart
+    and in one drawing; points have an ``excluded`` column then.  A subgroup is charted
+    with all its rows, estimated from without the excluded ones, and excluded itself if
+    all its rows are.  The positions of a phase count the points of the chart.
     """
-    used = df if recipe.exclude is None else df.where(~F.coalesce(F.col(recipe.exclude), F.lit(False)))
-    chart = draw(recipe.kind, used, recipe.roles, **recipe.options)
-    if recipe.exclude is not None:
-        chart = _charted_with_excluded(df, chart, recipe)
+    roles = replace(recipe.roles, excluded=recipe.exclude) if recipe.exclude else recipe.roles
+    used = df if roles.excluded is None else df.where(~excluded_flag(roles))
+    chart = draw(recipe.kind, df, roles, **recipe.options)
     fired = violations(chart, recipe.nelson, recipe.westgard, recipe.custom_rules)
     able = None
     if recipe.usl is not None and recipe.lsl is not None and recipe.kind not in NOT_CAPABLE_KINDS:
@@ -123,29 +124,17 @@ def analyze(df: DataFrame, recipe: Recipe) -> Analysis:
             measured = used.withColumn(recipe.roles.value, F.coalesce(F.col(recipe.roles.value).cast("double"), F.lit(0.0)))
         able = capability(measured, recipe.roles, chart, recipe.usl, recipe.lsl)
     phases = phase_table(df, recipe.roles, chart.points)
-    points = axis_labels(chart.points, subgrouped="subgroup" in chart.points.columns)
+    order = chart.order_column
+    points = chart.points_with(order) if order else chart.points
+    points = axis_labels(points, subgrouped="subgroup" in points.columns, order=order)
+    points = points.drop(order) if order else points
     starts = phases.select(*chart.keys, "start_index")
     points = join_keys(points, starts, chart.keys).withColumn(
         "global_idx", F.col("start_index") + F.col(IDX)
     ).drop("start_index")
     return Analysis(recipe, chart, points, chart.params, fired,
-                    violation_counts(fired, chart.keys), able, phases)
-
-
-# Charts whose lines are the same for every point of a key.
-CONSTANT_LINES = frozenset({"imr", "mr", "levey_jennings", "run", "g", "t"})
-
-
-def _charted_with_excluded(df: DataFrame, chart: Chart, recipe: Recipe) -> Chart:
-    """All rows, with lines estimated without the excluded ones."""
-    if recipe.kind not in CONSTANT_LINES:
-        raise ValueError(f"exclusion is supported for {sorted(CONSTANT_LINES)}")
-    lines = chart.sequence.df.where(F.col(IDX) == 0).select(
-        *chart.keys, "ucl", "cl", "lcl", "zone_cl", "zone_sigma"
-    )
-    every = draw(recipe.kind, df, recipe.roles, **recipe.options).sequence
-    every = every.with_df(every.df.drop("ucl", "cl", "lcl", "zone_cl", "zone_sigma"))
-    return replace(chart, sequence=every.with_df(join_keys(every.df, lines, chart.keys)))
+                    violation_counts(fired, chart.keys), able, phases,
+                    phase_table(df, recipe.roles))
 
 
 __all__ = ["CHARTS", "KINDS", "PHASE", "Analysis", "Recipe", "analyze", "draw"]

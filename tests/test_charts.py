@@ -119,9 +119,62 @@ def test_f_quantile(p):
     for n in (5.0, 40.0):
         want = n / 2 * ((1 - p) ** (-2 / n) - 1)
         assert quantiles.f_quantile(p, 2.0, n) == pytest.approx(want, rel=1e-9)
+    for n in (1e3, 1e9, 1e12):
+        want = n / 2 * math.expm1(-2 / n * math.log1p(-p))
+        assert quantiles.f_quantile(p, 2.0, n) == pytest.approx(want, rel=1e-12)
     assert quantiles.f_quantile(p, 3.0, 1e7) == pytest.approx(quantiles.chi2_quantile(p, 3) / 3, rel=1e-4)
 
 
+def test_quantiles_of_a_batch_are_those_of_each_row():
+    df = np.array([0.3, 1.0, 2.0, 64.0, 5e4])
+    got = quantiles.chi2_quantiles(0.99, df)
+    assert got.tolist() == pytest.approx([quantiles.chi2_quantile(0.99, v) for v in df], rel=1e-12)
+    d2 = np.array([2.0, 9.0, 1e6])
+    got = quantiles.f_quantiles(0.01, np.full(3, 7.0), d2)
+    assert got.tolist() == pytest.approx([1 / quantiles.f_quantile(0.99, v, 7.0) for v in d2], rel=1e-10)
+    assert quantiles.chi2_quantiles(0.5, np.array([])).tolist() == []
+
+
+def test_weibull_converges_for_every_key_and_says_so(spark):
+    rng = np.random.default_rng(5)
+    values = {"wide": 10 ** rng.uniform(-6, 6, 300), "narrow": 50 + rng.normal(0, 1e-3, 200), "two": np.array([1.0, 7.0]),
+              "same": np.full(9, 4.0), "one": np.array([3.0]), "ties": rng.integers(1, 4, 500).astype(float)}
+    df = spark.createDataFrame([(s, t, float(v)) for s, x in values.items() for t, v in enumerate(x)], "s string, t int, v double")
+    for mode in ({}, {"block_rows": 40}):
+        got = {r.s: r for r in rare_events.t(df, Roles("v", "t", "s"), **mode).params.collect()}
+        assert set(got) == set(values)
+        for s, x in values.items():
+            if s in ("same", "one"):
+                assert got[s]["shape"] is None and not got[s]["converged"]
+                continue
+            k, y = got[s]["shape"], x / x.max()
+            assert got[s]["converged"] and got[s]["scale"] == pytest.approx(x.max() * (y**k).mean() ** (1 / k), rel=1e-9)
+            assert 1 / k + np.log(y).mean() - (y**k * np.log(y)).sum() / (y**k).sum() == pytest.approx(0, abs=1e-9 / k)
+
+
+def test_long_vectors_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    vectors = {s: rng.normal(size=(n, 12)) @ rng.normal(size=(12, 12)) + 5 for s, n in (("a", 70), ("b", 40), ("few", 9))}
+    df = spark.createDataFrame([(s, t, [float(v) for v in x]) for s, xs in vectors.items() for t, x in enumerate(xs)], "s string, t int, x array<double>")
+    df = df.unionByName(spark.createDataFrame([("a", 500, None), ("a", 501, [1.0])], df.schema))
+    for mode in ({}, {"block_rows": 16}):
+        t2 = multivariate.hotelling_t2(df, Roles("x", "t", "s"), "x", size=12, **mode)
+        smooth = multivariate.mewma(df, Roles("x", "t", "s"), "x", size=12, lam=0.3, **mode)
+        got, waves = ({s: [r for r in sorted(c.points.collect(), key=lambda r: (r.s, r.idx)) if r.s == s] for s in vectors} for c in (t2, smooth))
+        for s, x in vectors.items():
+            if s == "few":
+                assert all(r.value is None for r in got[s])
+                continue
+            d, inverse = x - x.mean(0), np.linalg.inv(np.cov(x.T))
+            np.testing.assert_allclose([r.value for r in got[s]], np.einsum("ij,jk,ik->i", d, inverse, d), rtol=1e-8)
+            np.testing.assert_allclose([r.contributions for r in got[s]], d * (d @ inverse), rtol=1e-6, atol=1e-8)
+            level, want = np.zeros(12), []
+            for k, row in enumerate(d):
+                level = 0.3 * row + 0.7 * level
+                want.append(level @ inverse @ level / (0.3 / 1.7 * (1 - 0.7 ** (2 * (k + 1)))))
+            np.testing.assert_allclose([r.value for r in waves[s]], want, rtol=1e-8)
+
+
 def test_g_chart_against_numpy(spark):
     v = np.array([1, 10, 2, 15, 3, 12, 4, 20.0])
     chart = rare_events.g(rows(spark, v), ONE)

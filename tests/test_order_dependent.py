@@ -92,7 +92,7 @@ def test_custom_rule_sizes(table, series, mode):
 
 
 @pytest.mark.parametrize("mode", MODES, ids=["plain", "blocked"])
-@pytest.mark.parametrize("lam", [0.05, 0.2, 0.9, 0.999999, 1.0])
+@pytest.mark.parametrize("lam", [1e-17, 1e-6, 0.05, 0.2, 0.9, 0.999999, 1.0])
 def test_ewma(table, series, mode, lam):
     chart = time_weighted.ewma(table, ROLES, lam=lam, target=9.5, **mode)
     got = by_series(chart.points, "value", "residual")

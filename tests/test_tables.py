@@ -241,3 +241,32 @@ def test_recode_has_one_path_for_nulls_and_repeated_keys(spark):
 def test_bins_of_large_values(spark):
     df = spark.createDataFrame([(float(k) * 1e13,) for k in range(11)], "v double")
     assert {r.bin for r in prep.bin_column(df, "v").collect()} == {f"bin_{k}" for k in range(1, 6)}
+
+
+def test_reserved_series_names_are_an_error():
+    with pytest.raises(ValueError, match="rename them"):
+        Roles("v", "t", ("value", "s"))
+
+
+def test_shared_profile_of_empty_and_null_columns(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, None)], "i int, t string")
+    got = {r["column"]: r for r in profile.shared_profile(rows, ["i", "t"]).collect()}
+    assert (got["i"]["median"], got["i"]["distinct"], got["t"]["missing"], got["t"]["distinct"]) == (2.0, 3, 3, 0)
+    assert got["t"]["top_values"] is None and [t.value for t in got["i"]["top_values"]] == ["1", "2", "3"]
+    none = {r["column"]: r for r in profile.shared_profile(rows.where("i > 9"), ["i", "t"]).collect()}
+    assert none["i"]["count"] == none["t"]["count"] == 0 and none["i"]["q1"] is None
+
+
+def test_rounding_keeps_large_infinite_and_missing_values(spark):
+    rows = spark.createDataFrame([(1e300,), (-2.5,), (float("inf"),), (None,), (float("nan"),)], "x double")
+    got = [r.y for r in prep.calculated_column(rows, "y", "round([x])").collect()]
+    assert got[:4] == [1e300, -2.0, float("inf"), None] and got[4] != got[4]
+    nested = prep.calculated_column(rows.limit(2), "y", "floor(ceil([x] / 2) * 3)").collect()
+    assert [r.y for r in nested] == [1.5e300, -3.0]
+
+
+def test_first_rows_keep_their_order_key_and_nulls(spark):
+    rows = spark.createDataFrame([("a", 3, {"k": 1}), ("a", 1, None), (None, 2, {}), (None, 5, {"z": 2})], "g string, t int, m map<string,int>")
+    got = sorted((r.g or "", r.t) for r in prep.remove_duplicates(rows, ["g"], "t").collect())
+    assert got == [("", 2), ("a", 1)]
+    assert prep.remove_duplicates(rows, ["g", "t"], "t").count() == 4
