@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import bucket_cuts, dealt, deltas, expand, ship, sizes, squeeze, undo, unpack_tables
+from plumbline.llm.chunks import bucket_cuts, dealt, deltas, expand, give_back, lean, ship, sizes, squeeze, undo, unpack_tables
 from plumbline.llm.storage import components, stored
 from plumbline.llm.words import mix, shingles, slices, split, utf8
 
@@ -79,6 +79,7 @@ def signatures(docs: DataFrame, id: str, text: str, near: Near) -> DataFrame:
                     pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(lists), pa.array(values.reshape(-1).view(np.int32))),
                 ], names=["id", "n", "h1", "h2", "signature"])
+        give_back()
 
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
         sign, "id long, n long, h1 long, h2 long, signature array<int>"
@@ -165,10 +166,10 @@ def _looked_at(docs: DataFrame, id: str, text: str, wanted: DataFrame, near: Nea
         return pa.table({"rep": reps[alive], "n": n[alive], "common": common[alive], "keys": keys.take(pa.array(alive)),
                          "shingles": pa.array([squeeze(deltas(found[ends[i] : ends[i + 1]])) for i in alive], pa.binary())})
 
-    shared = rows.groupBy("chunk").applyInArrow(shares, "bucket long, chunk long, counted binary")
-    told = shared.groupBy("bucket").applyInArrow(answers, "chunk long, bucket long, frequency binary")
+    shared = rows.groupBy("chunk").applyInArrow(lean(shares), "bucket long, chunk long, counted binary")
+    told = shared.groupBy("bucket").applyInArrow(lean(answers), "chunk long, bucket long, frequency binary")
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
-        keyed, "rep long, n long, common long, keys array<long>, shingles binary")
+        lean(keyed), "rep long, n long, common long, keys array<long>, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
@@ -233,7 +234,7 @@ def _tiled(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     tile = ("value", "i", "j")
-    return few.groupBy(*tile).cogroup(all_.groupBy(*tile)).applyInArrow(link, "a long, b long").distinct()
+    return few.groupBy(*tile).cogroup(all_.groupBy(*tile)).applyInArrow(lean(link), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import dealt, deltas, expand, sizes, squeeze, undo, unpack_tables
+from plumbline.llm.chunks import dealt, deltas, expand, lean, sizes, squeeze, undo, unpack_tables
 from plumbline.llm.words import LOWER, slices, utf8
 
 ORDER = 6
@@ -285,15 +285,15 @@ def scored(docs: DataFrame, labels: DataFrame, classes: int, measure: Callable,
         return pa.concat_tables(parts).select(names)
 
     counted = packs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        _counted(buckets, classes, lower), "bucket long, counted binary")
-    merged = counted.groupBy("bucket").applyInArrow(_merged(classes), MERGED)
+        lean(_counted(buckets, classes, lower)), "bucket long, counted binary")
+    merged = counted.groupBy("bucket").applyInArrow(lean(_merged(classes)), MERGED)
     numbers = [F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4)]
     stats = merged.where("kind > 0").groupBy("kind", "key").agg(*numbers)
     stats = stats.agg(F.collect_list(F.struct("kind", "key", "n1", "n2", "n3", "n4")).alias("stats"))
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket")
     model = merged.where("kind = 0").select("bucket", "counted", none.cast(STATS).alias("stats")).unionByName(
         stats.select(everywhere, none.cast("binary").alias("counted"), F.col("stats").cast(STATS).alias("stats")))
-    queries = packs.groupBy("chunk").applyInArrow(asked, "bucket long, chunk long, asked binary")
+    queries = packs.groupBy("chunk").applyInArrow(lean(asked), "bucket long, chunk long, asked binary")
     told = model.groupBy("bucket").cogroup(queries.groupBy("bucket")).applyInArrow(
-        _answers(classes), "chunk long, bucket long, told binary")
-    return packs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(measured, schema)
+        lean(_answers(classes)), "chunk long, bucket long, told binary")
+    return packs.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lean(measured), schema)
