@@ -33,6 +33,7 @@ STANDARDS = {
 CENTERING_WARNING = 0.78
 EXPECTED_ZONE_C = 0.6827
 RANK = {"good": 0, "info": 1, "warning": 2, "danger": 3}
+# Labels and titles of findings, by severity.
 HEALTH = {"good": "Healthy", "info": "Normal", "warning": "Attention", "danger": "Critical"}
 TITLES = {
     "stability": {"good": "Process Stable", "warning": "Minor Instability", "danger": "Process Unstable"},

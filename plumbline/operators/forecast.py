@@ -86,6 +86,7 @@ def drift_score(slope: Column, sigma: Column, n: Column) -> Column:
 
 
 def drift(seq: Sequence) -> DataFrame:
+    # fixed values: thresholds and labels
     score = drift_score(F.col("slope"), F.col("sigma"), F.col("n"))
     label = (
         F.when(F.col("drift_score") > 0.7, "High drift")
