@@ -443,8 +443,11 @@ MOST_ROWS = 1 << 30
 
 
 def stretch_rows(lam: float) -> int:
-    """Rows after which (1 - lam)**rows is below 1e-163, the square of which a double holds as zero."""
-    return max(1, math.ceil(math.log(1e-163) / math.log1p(-lam)))
+    """Rows after which (1 - lam)**rows is below 1e-163, the square of which a double holds as zero.
+
+    No more than a window can hold are needed: such a stretch is the only one.
+    """
+    return min(MOST_ROWS, max(1, math.ceil(math.log(1e-163) / math.log1p(-lam))))
 
 
 def scanned_blocks(
