@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from plumbline.operators import rules, time_weighted, variables
+from plumbline.operators import rules, series as series_module, time_weighted, variables
 from plumbline.operators.chart import Chart, individuals, moving_range
 from plumbline.operators.series import IDX, Roles, medians_of, order_statistics, sequence
 from tests import loops
@@ -211,3 +211,13 @@ def test_giant_keys_are_never_ordered_in_one_task(table):
     plan = rules.with_rules(chart).df._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and "value#" in line]
     assert windows and all("_block#" in line.rsplit("], [", 2)[-2] for line in windows)
+
+
+def test_short_blocks_do_not_multiply_partitions(spark, monkeypatch):
+    written, durable = [], series_module.durable
+    monkeypatch.setattr(series_module, "durable", lambda df: written.append(durable(df)) or written[-1])
+    df = spark.range(3000).selectExpr("id % 2 AS k", "(id * 7919) % 3000 AS t")
+    got = sequence(df, "k", "t", block_rows=10).df.toPandas()
+    assert [d.rdd.getNumPartitions() for d in written] == [4]
+    for _, one in got.groupby("k"):
+        assert one.sort_values("t")[IDX].tolist() == list(range(1500))
