@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.chunks import ship
+from plumbline.llm.chunks import give_back, ship
 from plumbline.llm.words import BYTE_BASE, gather, rolling, slices, utf8
 
 CACHE_PIECES = 200_000
 LANES = 4096
-SLICE = 2_000_000
+SLICE = 500_000
 LONG = 200
 NEVER = 1 << 30
 

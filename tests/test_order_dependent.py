@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import rules, series as series_module, time_weighted, variables
 from plumbline.operators.chart import Chart, individuals, moving_range
@@ -221,3 +222,22 @@ def test_short_blocks_do_not_multiply_partitions(spark, monkeypatch):
     assert [d.rdd.getNumPartitions() for d in written] == [4]
     for _, one in got.groupby("k"):
         assert one.sort_values("t")[IDX].tolist() == list(range(1500))
+
+
+def test_parameters_reach_a_giant_key_block_by_block(spark):
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    df = spark.range(2000).selectExpr("if(id < 1900, 'a', if(id < 1990, 'b', null)) AS k", "id AS t")
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        seq = sequence(df, "k", "t", block_rows=50)
+        params = df.where("k IS NULL OR k = 'a'").groupBy("k").agg(F.min("t").alias("least"))
+        got = seq.beside(params).df.withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 2000 and not {"_block", "_last"} & set(got)
+    assert got[got.k == "a"].task.nunique() > 1
+    assert set(got[got.k == "a"].least) == {0} and set(got[got.k.isna()].least) == {1990}
+    assert got[got.k == "b"].least.isna().all()
