@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +127,7 @@ class Vocabulary:
         splits = [(self.ranks[t[:i]] * len(tokens) + self.ranks[t[i:]], r) for t, r in self.ranks.items()
                   for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.pairs, self.made = (np.array(c, np.int64) for c in zip(*sorted(splits)))
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two tokens make, ``NEVER`` where there is none."""
@@ -194,15 +194,22 @@ class Vocabulary:
             first = step[first[~done]] if len(number) else first[:0]
         return out
 
-    def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def packed(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as 32-bit integers; the cache holds them so, which takes a third of the memory of tuples."""
         found = [self.cache.get(p) for p in pieces]
         new = [p for p, ids in zip(pieces, found) if ids is None]
         if len(self.cache) + len(new) > CACHE_PIECES:
             self.cache.clear()
-        made = dict(zip(new, self.merge(new)))
+        merged = self.merge(new)
+        ends = list(accumulate((4 * len(ids) for ids in merged), initial=0))
+        flat = np.fromiter(chain.from_iterable(merged), np.int32, ends[-1] // 4).tobytes()
+        made = {p: flat[a:b] for p, a, b in zip(new, ends, ends[1:])}
         self.cache.update(islice(made.items(), CACHE_PIECES))
         return [made[p] if ids is None else ids for p, ids in zip(pieces, found)]
 
+    def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        return [tuple(memoryview(ids).cast("i")) for ids in self.packed(pieces)]
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return gather(self.data, self.starts[ids], self.lengths[ids])
 
@@ -241,9 +248,9 @@ def encode(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     others: dict[bytes, int] = {}
     for k in unlike(data, begins, ends, sample[place]).tolist():
         place[k] = others.setdefault(raw[begins[k] : ends[k]], len(pieces) + len(others))
-    merged = vocab.ids([*pieces, *others])
-    lengths = np.array([len(m) for m in merged], np.int64)
-    flat = np.fromiter((i for m in merged for i in m), np.int64, int(lengths.sum()))
+    merged = vocab.packed([*pieces, *others])
+    lengths = np.array([len(m) // 4 for m in merged], np.int64)
+    flat = np.frombuffer(b"".join(merged), np.int32).astype(np.int64)
     where = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
     each = lengths[place]
     ids = gather(flat, where[place], each)
@@ -300,6 +307,7 @@ def bpe(docs: DataFrame, ranks: str, id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(lines.value)
+        give_back()  # what building it took, and what stages before left in this worker
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, SLICE):
@@ -308,6 +316,9 @@ def bpe(docs: DataFrame, ranks: str, id: str = "doc_id", text: str = "text",
                 bounds = np.concatenate(([0], np.cumsum(vocab.lengths[ids])))[first]
                 columns = finish(ids, first, at, vocab.decode(ids), bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=names)
+                del ids, first, at, bounds, columns
+            del data, offsets
+            give_back()
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, schema)

@@ -171,6 +171,16 @@ def test_bpe_equals_the_reference_encoder():
         assert (np.diff(at[first[k] : first[k + 1]]) >= 0).all()
 
 
+def test_bpe_cache_holds_ids_in_four_bytes_each():
+    vocab = Vocabulary(read_ranks(RANKS))
+    pieces = [b" the", b"qzxqzxv", "漢é".encode()]
+    want = [list(ids) for ids in vocab.merge(pieces)]
+    for _ in range(2):  # made, then found
+        assert [list(ids) for ids in vocab.ids(pieces)] == want
+    assert list(vocab.cache) == pieces
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in vocab.cache.values()] == want
+
+
 def test_bpe_states_do_not_depend_on_lanes(monkeypatch):
     kinds = np.random.default_rng(2).integers(0, 11, 5000).astype(np.uint8)
     want = bpe_module.states(kinds)
