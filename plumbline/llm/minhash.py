@@ -97,7 +97,10 @@ def _looked_at(docs: DataFrame, id: str, text: str, wanted: DataFrame, near: Nea
     whatever the common order of rarity.  Chunks send their shingles with counts to buckets
     of the hash space and get each one's frequency back, so a text that owes its equal
     MinHash values to a passage of many documents finds its own shingles alone and drops out.
-    ``common`` counts the shingles that any other wanted document has: no overlap is larger.
+    Buckets also number the shingles that two or more wanted documents have; keys and packed
+    sets are such numbers, a third of the hashes in bytes.  Shingles that no other wanted
+    document has cannot be in an overlap: they are left out of the packed sets and count in
+    ``n`` alone.  ``common`` counts the others: no overlap is larger.
     """
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select(F.col("rep").alias("_wanted"))
@@ -142,18 +145,26 @@ def _looked_at(docs: DataFrame, id: str, text: str, wanted: DataFrame, near: Nea
         hashes = np.concatenate([undo(h) for h, _ in read])
         _, place = np.unique(hashes, return_inverse=True)
         total = np.bincount(place, np.concatenate([c for _, c in read]).astype(np.float64))
-        total = np.minimum(total, 255)[place].astype(np.uint64)
+        total = np.minimum(total, 255).astype(np.uint64)
+        number = np.maximum(np.cumsum(total > 1) - 1, 0)
         ends = np.cumsum([len(h) for h, _ in read])
-        blobs = [squeeze(total[e - len(h) : e]) for e, (h, _) in zip(ends, read)]
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "frequency": pa.array(blobs, pa.binary())})
+        asked = [place[e - len(h) : e] for e, (h, _) in zip(ends, read)]
+        blobs = [squeeze(total[p], deltas(number[p])) for p in asked]
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "numbered": pa.array(blobs, pa.binary())})
 
     def keyed(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         reps, ends, found = sets(table)
         n = np.diff(ends)
-        hashes, place = np.unique(found, return_inverse=True)
+        _, place = np.unique(found, return_inverse=True)
         told = told.sort_by("bucket")
-        df = [expand(blob.as_py(), 1)[0] for blob in told["frequency"]]
-        df = np.concatenate(df)[place] if df else np.zeros(0, np.uint64)
+        read = [expand(blob.as_py(), 2) for blob in told["numbered"]]
+        nothing = np.zeros(0, np.uint64)
+        df = np.concatenate([nothing, *[frequency for frequency, _ in read]])[place]
+        # numbers of all buckets lie between each other, so that those of a set are dense
+        found = np.concatenate([nothing, *[
+            undo(number) * np.uint64(buckets) + np.uint64(bucket)
+            for bucket, (_, number) in zip(told["bucket"].to_pylist(), read)
+        ]])[place]
         row = np.repeat(np.arange(len(reps)), n)
         order = np.lexsort((found, df, row))
         rank = np.arange(len(found)) - ends[:-1][row]
@@ -162,24 +173,26 @@ def _looked_at(docs: DataFrame, id: str, text: str, wanted: DataFrame, near: Nea
         bounds = np.searchsorted(row[picked], np.arange(len(reps) + 1))
         alive = np.flatnonzero(np.diff(bounds))
         keys = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found[picked].view(np.int64)))
-        common = np.bincount(row, df > 1, len(reps)).astype(np.int64)
+        shared = df > 1
+        common = np.bincount(row, shared, len(reps)).astype(np.int64)
+        held = [slice(ends[i], ends[i + 1]) for i in alive]
         return pa.table({"rep": reps[alive], "n": n[alive], "common": common[alive], "keys": keys.take(pa.array(alive)),
-                         "shingles": pa.array([squeeze(deltas(found[ends[i] : ends[i + 1]])) for i in alive], pa.binary())})
+                         "shingles": pa.array([squeeze(deltas(np.sort(found[h][shared[h]]))) for h in held], pa.binary())})
 
     shared = rows.groupBy("chunk").applyInArrow(lean(shares), "bucket long, chunk long, counted binary")
-    told = shared.groupBy("bucket").applyInArrow(lean(answers), "chunk long, bucket long, frequency binary")
+    told = shared.groupBy("bucket").applyInArrow(lean(answers), "chunk long, bucket long, numbered binary")
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
         lean(keyed), "rep long, n long, common long, keys array<long>, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Pairs (a, b) with enough equal MinHash values whose full sets are similar enough."""
-    side = lambda s, c: sets.select(F.col("rep").alias(s), F.col(c).alias(f"{s}_{c}"))
+    side = lambda s, *cs: sets.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cs])
     signed = pairs.join(side("a", "signature"), "a").join(side("b", "signature"), "b")
     equal = F.zip_with("a_signature", "b_signature", lambda x, y: (x == y).cast("int"))
     agree = F.aggregate(equal, F.lit(0), lambda n, x: n + x) >= near.matches
-    rows = signed.where(agree).select("a", "b").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-    rows = rows.select("a", "b", "a_shingles", "b_shingles")
+    rows = signed.where(agree).select("a", "b").join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b")
+    rows = rows.select("a", "b", "a_shingles", "b_shingles", (F.col("a_n") + F.col("b_n")).alias("n"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +202,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
                     last, first = a, undo(expand(batch.column(2)[row].as_py(), 1)[0])
                 second = undo(expand(batch.column(3)[row].as_py(), 1)[0])
                 both = len(np.intersect1d(first, second, assume_unique=True))
-                if 100 * both >= near.percent * (len(first) + len(second) - both):
+                if 100 * both >= near.percent * (batch.column(4)[row].as_py() - both):
                     good.append(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())),
                                               batch.column(1).take(pa.array(good, pa.int64()))], names=["a", "b"])
@@ -203,12 +216,12 @@ def _tiled(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     Tiles hold ``block`` rows a side; a row goes to the tiles of its line or column.
     Each row gets one link to every component of a tile that it reaches.
     """
-    rows = members.select("value", "members", "others", "label", "largest", F.col("me.rep").alias("rep"))
+    rows = members.select("value", "members", "others", "label", "largest", "me.rep", "me.n")
     rows = rows.join(sets.select("rep", "signature", "shingles"), "rep")
     tiles = lambda n: F.ceil(F.col(n) / near.block)
     own = lambda n: F.pmod(F.xxhash64("rep"), tiles(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (tiles(n) - 1).cast("long")))
-    row = ["rep", "label", "signature", "shingles"]
+    row = ["rep", "n", "label", "signature", "shingles"]
     few = rows.where("label <> largest").select(own("others").alias("i"), every("members").alias("j"), "value", *row)
     again = [F.col(c).alias(c) for c in ("value", *row)]
     all_ = rows.select(every("others").alias("i"), own("members").alias("j"), *again)
@@ -219,15 +232,16 @@ def _tiled(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             unpacked = lambda t: [undo(expand(b.as_py(), 1)[0]) for b in t["shingles"]]
             signed = lambda t: np.array(t["signature"].to_pylist(), np.int32)
             left, right = unpacked(few), unpacked(all_)
-            n = np.array([len(r) for r in right])
+            n = all_["n"].to_numpy()
             words, codes = np.unique(np.concatenate(right), return_inverse=True)
-            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            starts = np.concatenate(([0], np.cumsum([len(r) for r in right])[:-1]))
             s, t, labels, reps = signed(few), signed(all_), all_["label"].to_numpy(), all_["rep"].to_numpy()
-            for x, (one, rep, label) in enumerate(zip(left, few["rep"].to_pylist(), few["label"].to_pylist())):
+            lines = zip(left, few["n"].to_pylist(), few["rep"].to_pylist(), few["label"].to_pylist())
+            for x, (one, size, rep, label) in enumerate(lines):
                 held = np.zeros(len(words), np.int32)
                 held[np.searchsorted(words, one[np.isin(one, words, assume_unique=True)])] = 1
                 both = np.add.reduceat(held[codes], starts)
-                good = (100 * both >= near.percent * (len(one) + n - both)) & (labels != label)
+                good = (100 * both >= near.percent * (size + n - both)) & (labels != label)
                 good = np.flatnonzero(good & ((s[x] == t).sum(axis=1) >= near.matches))
                 _, first = np.unique(labels[good], return_index=True)
                 found += [(min(rep, int(y)), max(rep, int(y))) for y in reps[good[first]]]

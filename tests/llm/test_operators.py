@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import bpe as bpe_module
+from plumbline.llm import bpe as bpe_module, minhash as minhash_module
 from plumbline.llm.bpe import DIGESTS, Vocabulary, bpe, digests, encode, read_ranks
 from plumbline.llm.chat_format import (
     BEGIN, END, LAYOUTS, canonical_turns, conversation_records, format_chats, learned_text, read_back, shape, typed_shape,
@@ -124,6 +124,23 @@ def test_near_duplicates_against_all_pairs(spark, near):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_compare_numbers_of_shared_shingles(spark):
+    rng, near = random.Random(3), Near(width=2)
+    words = {k: [f"{k}x{rng.random()}" for _ in range(400)] for k in range(30)}
+    texts = {2 * k + side: " ".join(w[:370] + [f"{side}y{x}" for x in w[370:]]) for k, w in words.items() for side in (0, 1)}
+    docs = documents(spark, list(texts.items()))
+    wanted = minhash_module.signatures(docs, "doc_id", "text", near).select(F.col("id").alias("rep"), "h1", "signature")
+    rows = {r.rep: r for r in minhash_module._looked_at(docs, "doc_id", "text", wanted, near).collect()}
+    held = {rep: undo(expand(r.shingles, 1)[0]).tolist() for rep, r in rows.items()}
+    assert rows.keys() == texts.keys()
+    for rep, r in rows.items():
+        assert (r.n, r.common, len(set(held[rep]))) == (399, 369, 369) and set(r["keys"]) <= set(held[rep])
+        assert held[rep] == held[rep ^ 1] and len(r.shingles) < 3 * r.n
+    assert len({x for one in held.values() for x in one}) == 30 * 369
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, near=near).collect()}
+    assert got == brute.components(texts, 2)
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, empty):
     got = near_duplicates(odd).collect()
     by_id = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
