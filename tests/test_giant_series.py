@@ -28,6 +28,7 @@ def tables(spark, tmp_path_factory):
     ("cusum_chart_blocks", 3000),
     ("all_rules_blocks", 12854),
     ("excluded_moving_range", 2),
+    ("individuals_chart_blocks", 3000),
 ])
 def test_short_blocks_ask_for_no_more_partitions(spark, tables, monkeypatch, query, rows):
     """3,000 events are 6 to 20 blocks, 24,000 line items are 5; all fit one partition of the sort."""
